@@ -34,6 +34,11 @@ def rounded(df: DataFrame, scale: int = 4) -> DataFrame:
         for f in df.schema.fields])
 
 
+def R(expr: str, scale: int = 4) -> str:
+    """DuckDB side of :func:`rounded`: ``round`` plus ``0.0`` so -0.0 prints as 0.0 like Spark."""
+    return f"(round({expr}, {scale}) + 0.0)"
+
+
 def _load_all():
     from tabulon.catalog import (  # noqa: F401
         q_profile, q_select, q_clean, q_shape, q_features, q_encode, q_evaluate, q_learn,

@@ -113,3 +113,17 @@ def scouting_long(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(F.col("user_id"), F.dayofmonth("ts").alias("day"), "event_type", "value")
 
+
+
+SALARY_SQL = """(select p.*, per.lines, per.qty, per.revenue, per.c_lines, per.c_qty, per.c_revenue, per.years
+  from part p join (
+    select l_partkey,
+      count(*) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)) as lines,
+      coalesce(sum(l_quantity) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)), 0.0) as qty,
+      coalesce(sum(l_extendedprice) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)), 0.0)
+        as revenue,
+      count(*) as c_lines, sum(l_quantity) as c_qty, sum(l_extendedprice) as c_revenue,
+      count(distinct year(l_shipdate)) as years
+    from lineitem group by l_partkey) per on p.p_partkey = per.l_partkey)"""
+
+SALARY_NUM = ["p_size", "lines", "qty", "revenue", "c_lines", "c_qty", "c_revenue", "years"]

@@ -26,15 +26,29 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, scale: int = 4) -> DataFrame:
-    """Round every floating column (HALF_UP, as DuckDB's ``round``)."""
+def round_binary(x, scale: int):
+    """Round a double the way the DuckDB twin does: ``round_half_away(x * 10^s) / 10^s``
+    in binary floating point (``F.round`` rounds the decimal text instead, which
+    breaks exact ties such as 134.0215625 the other way)."""
+    m = float(10 ** scale)
+    v = x * F.lit(m)
+    fl = F.floor(v).cast("double")
+    frac = v - fl
+    r = (F.when(frac > 0.5, fl + 1.0).when(frac < 0.5, fl)
+         .otherwise(F.when(v > 0, fl + 1.0).otherwise(fl)))
+    out = r / F.lit(m)
+    return F.when(F.isnan(x) | (F.abs(x) > 1e300), x).otherwise(out + F.lit(0.0))
+
+
+def rounded(df: DataFrame, scale: int = 6) -> DataFrame:
+    """Round every floating column as the DuckDB twins do (see :func:`round_binary`)."""
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), scale).alias(f.name)
+        round_binary(F.col(f"`{f.name}`"), scale).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])
 
 
-def R(expr: str, scale: int = 4) -> str:
+def R(expr: str, scale: int = 6) -> str:
     """DuckDB side of :func:`rounded`: ``round`` plus ``0.0`` so -0.0 prints as 0.0 like Spark."""
     return f"(round({expr}, {scale}) + 0.0)"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulon.catalog import R, query, rounded
+from tabulon.catalog import R, query, round_binary, rounded
 from tabulon.operators import clean as C
 from tabulon.plans.standins import LINEITEM_NULLS_SQL, lineitem_nulls
 from tabulon.sources.io import table
@@ -21,13 +21,13 @@ def _limits_sql(c, src, q1, q3, k=1.5):
             f"(select quantile_cont({c}, {q1}) as qa, quantile_cont({c}, {q3}) as qb from {src})")
 
 
-@query("e01_outlier_limits", "select feature, round(low, 4) as low, round(up, 4) as up from ("
+@query("e01_outlier_limits", "select feature, round(low, 6) as low, round(up, 6) as up from ("
        + _union([_limits_sql("value", "events", 0.05, 0.95)]) + ")")
 def e01_outlier_limits(spark, sf):
     return rounded(C.outlier_limits(table(spark, sf, "events"), ["value"], 0.05, 0.95))
 
 
-@query("e01_outlier_limits_q10_q90", "select feature, round(low, 4) as low, round(up, 4) as up from ("
+@query("e01_outlier_limits_q10_q90", "select feature, round(low, 6) as low, round(up, 6) as up from ("
        + _union([_limits_sql(c, "lineitem", 0.10, 0.90) for c in ["l_extendedprice", "l_quantity"]]) + ")")
 def e01_outlier_limits_q10_q90(spark, sf):
     return rounded(C.outlier_limits(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], 0.10, 0.90))
@@ -97,8 +97,8 @@ def e08_fill_from_column(spark, sf):
 
 
 @query("e09_fill_mean", f"""select l_orderkey, l_linenumber,
-  round(coalesce(l_discount, (select avg(l_discount) from {LI_N})), 4) as l_discount,
-  round(coalesce(l_tax, (select avg(l_tax) from {LI_N})), 4) as l_tax from {LI_N}""")
+  round(coalesce(l_discount, (select avg(l_discount) from {LI_N})), 6) as l_discount,
+  round(coalesce(l_tax, (select avg(l_tax) from {LI_N})), 6) as l_tax from {LI_N}""")
 def e09_fill_mean(spark, sf):
     df = lineitem_nulls(spark, sf).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
     return rounded(C.MeanImputer(inputCols=["l_discount", "l_tax"]).fit(df).transform(df))
@@ -144,7 +144,7 @@ def e14_add_constant(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount")
     eps = C.add_constant(li, ["l_discount"], 1e-10)
     return eps.select("l_orderkey", "l_linenumber",
-                      F.round(F.col("l_tax") / F.col("l_discount"), 2).alias("tax_per_discount"))
+                      round_binary(F.col("l_tax") / F.col("l_discount"), 2).alias("tax_per_discount"))
 
 
 @query("e15_rare_encoder", """select p_partkey,

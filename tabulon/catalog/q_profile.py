@@ -33,10 +33,10 @@ def d01_table_overview(spark, sf):
 def _summary_sql(cols, probs, src):
     parts = []
     for c in cols:
-        qs = ", ".join(f"round(quantile_cont({c}, {p}), 4) as {P.qname(p)}" for p in probs)
-        parts.append(f"select '{c}' as feature, count({c}) as count, round(avg({c}), 4) as mean, "
-                     f"round(stddev_samp({c}), 4) as std, round(min({c}), 4) as min, {qs}, "
-                     f"round(max({c}), 4) as max from {src}")
+        qs = ", ".join(f"round(quantile_cont({c}, {p}), 6) as {P.qname(p)}" for p in probs)
+        parts.append(f"select '{c}' as feature, count({c}) as count, round(avg({c}), 6) as mean, "
+                     f"round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, {qs}, "
+                     f"round(max({c}), 6) as max from {src}")
     return _union(parts)
 
 
@@ -65,7 +65,7 @@ def d04_missing_table(spark, sf):
 
 @query("d05_missing_vs_target", _union([
     f"select '{c}' as feature, case when {c} is null then 1 else 0 end as na_flag, "
-    f"round(avg(price), 4) as target_mean, count(price) as count from {HOUSE_SQL} group by 1, 2"
+    f"round(avg(price), 6) as target_mean, count(price) as count from {HOUSE_SQL} group by 1, 2"
     for c in ["l_discount", "l_tax"]]))
 def d05_missing_vs_target(spark, sf):
     return rounded(P.missing_vs_target(house(spark, sf), "price", ["l_discount", "l_tax"]))
@@ -74,14 +74,14 @@ def d05_missing_vs_target(spark, sf):
 # ------------------------------------------------------------------ D06 - D10
 @query("d06_cat_summary", _union([
     f"select '{c}' as feature, cast({c} as varchar) as level, count(*) as count, "
-    f"round(count(*) * 100.0 / (select count(*) from customer), 4) as ratio "
+    f"round(count(*) * 100.0 / (select count(*) from customer), 6) as ratio "
     f"from customer where {c} is not null group by {c}" for c in ["c_mktsegment", "c_nationkey"]]))
 def d06_cat_summary(spark, sf):
     return rounded(P.cat_summary(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"]))
 
 
 @query("d07_target_by_category", _union([
-    f"select '{c}' as feature, {c} as level, round(avg(o_totalprice), 4) as target_mean "
+    f"select '{c}' as feature, {c} as level, round(avg(o_totalprice), 6) as target_mean "
     f"from orders where {c} is not null group by {c}" for c in ["o_orderpriority", "o_orderstatus"]]))
 def d07_target_by_category(spark, sf):
     return rounded(P.target_by_category(table(spark, sf, "orders"), "o_totalprice",
@@ -89,8 +89,8 @@ def d07_target_by_category(spark, sf):
 
 
 @query("d08_target_by_category_wide", _union([
-    f"select '{c}' as feature, {c} as level, round(avg(o_totalprice), 4) as target_mean, "
-    f"count(o_totalprice) as count, round(count(*) * 100.0 / (select count(*) from orders), 4) as ratio "
+    f"select '{c}' as feature, {c} as level, round(avg(o_totalprice), 6) as target_mean, "
+    f"count(o_totalprice) as count, round(count(*) * 100.0 / (select count(*) from orders), 6) as ratio "
     f"from orders where {c} is not null group by {c}" for c in ["o_orderpriority", "o_orderstatus"]]))
 def d08_target_by_category_wide(spark, sf):
     return rounded(P.target_by_category(table(spark, sf, "orders"), "o_totalprice",
@@ -98,7 +98,7 @@ def d08_target_by_category_wide(spark, sf):
 
 
 @query("d09_numeric_by_target", f"""
-select l_returnflag, {", ".join(f"round(avg({c}), 4) as {c}" for c in LI_NUM)}
+select l_returnflag, {", ".join(f"round(avg({c}), 6) as {c}" for c in LI_NUM)}
 from {LI_N} where l_returnflag is not null group by l_returnflag""")
 def d09_numeric_by_target(spark, sf):
     return rounded(P.numeric_by_target(lineitem_nulls(spark, sf), "l_returnflag", LI_NUM))
@@ -106,8 +106,8 @@ def d09_numeric_by_target(spark, sf):
 
 @query("d10_rare_analysis", _union([
     f"""select '{c}' as feature, (select count(distinct {c}) from part) as n_levels, {c} as level,
-    count(*) as count, round(count(*) / (select count(*) from part), 4) as ratio,
-    round(avg(p_retailprice), 4) as target_mean from part where {c} is not null group by {c}"""
+    count(*) as count, round(count(*) / (select count(*) from part), 6) as ratio,
+    round(avg(p_retailprice), 6) as target_mean from part where {c} is not null group by {c}"""
     for c in ["p_type", "p_brand"]]))
 def d10_rare_analysis(spark, sf):
     return rounded(P.rare_analysis(table(spark, sf, "part"), "p_retailprice", ["p_type", "p_brand"]))
@@ -142,8 +142,8 @@ def _hist_sql(cols, bins, src):
     parts = []
     for c in cols:
         parts.append(f"""select '{c}' as feature, b.bin,
-  round(r.lo + b.bin * ((r.hi - r.lo) / {bins}), 4) as "left",
-  round(r.lo + (b.bin + 1) * ((r.hi - r.lo) / {bins}), 4) as "right",
+  round(r.lo + b.bin * ((r.hi - r.lo) / {bins}), 6) as "left",
+  round(r.lo + (b.bin + 1) * ((r.hi - r.lo) / {bins}), 6) as "right",
   coalesce(h.cnt, 0) as count
 from (select min({c}) as lo, max({c}) as hi from {src}) r
 cross join (select cast(range as integer) as bin from range({bins})) b
@@ -170,8 +170,8 @@ def d13_category_counts_by_source(spark, sf):
 def _sigma_sql(cols, src, k=3.0):
     parts = []
     for c in cols:
-        parts.append(f"""select '{c}' as feature, round(m, 4) as mean, round(s, 4) as std,
-  round(m - {k} * s, 4) as lower, round(m + {k} * s, 4) as upper,
+        parts.append(f"""select '{c}' as feature, round(m, 6) as mean, round(s, 6) as std,
+  round(m - {k} * s, 6) as lower, round(m + {k} * s, 6) as upper,
   (select count(*) from {src} where {c} < m - {k} * s or {c} > m + {k} * s) as n_outside
 from (select avg({c}) as m, stddev_samp({c}) as s from {src})""")
     return _union(parts)
@@ -203,8 +203,8 @@ from (select *, 1.0 / (1.0 + 0.3275911 * (abs(z) / sqrt(2.0))) as t from (
     return _union(parts)
 
 
-@query("d16_skew_test", "select feature, cast(n as bigint) as n, round(skew, 4) as skew, round(z, 4) as z, "
-       "round(p_value, 4) as p_value from (" + _skewtest_sql(["l_extendedprice", "l_quantity"], "lineitem") + ")")
+@query("d16_skew_test", "select feature, cast(n as bigint) as n, round(skew, 6) as skew, round(z, 6) as z, "
+       "round(p_value, 6) as p_value from (" + _skewtest_sql(["l_extendedprice", "l_quantity"], "lineitem") + ")")
 def d16_skew_test(spark, sf):
     return rounded(P.skew_test(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"]))
 
@@ -214,10 +214,10 @@ def d16_skew_test(spark, sf):
 with st as (select count(l_quantity) as n, stddev_samp(l_quantity) as sd, min(l_quantity) as lo,
                    max(l_quantity) as hi from lineitem),
      g as (select cast(range as integer) as point from range(50))
-select g.point, round(st.lo + g.point * (st.hi - st.lo) / 49, 4) as x,
+select g.point, round(st.lo + g.point * (st.hi - st.lo) / 49, 6) as x,
        round(sum(exp(-0.5 * pow((st.lo + g.point * (st.hi - st.lo) / 49 - l.l_quantity)
                                 / (st.sd * pow(st.n, -0.2)), 2)))
-             / (st.n * st.sd * pow(st.n, -0.2) * sqrt(2 * pi())) * 1000, 4) as density_x1000
+             / (st.n * st.sd * pow(st.n, -0.2) * sqrt(2 * pi())) * 1000, 6) as density_x1000
 from lineitem l, st, g where l.l_quantity is not null
 group by g.point, st.lo, st.hi, st.n, st.sd""")
 def d24_kde(spark, sf):

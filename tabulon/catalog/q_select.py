@@ -31,13 +31,13 @@ def d15_skewed_columns(spark, sf):
 
 
 @query("d17_correlation_matrix", _union([
-    f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 4) as r from {LI_N}" for a, b in combinations(LI_NUM, 2)]))
+    f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from {LI_N}" for a, b in combinations(LI_NUM, 2)]))
 def d17_correlation_matrix(spark, sf):
     return rounded(S.correlation_matrix(lineitem_nulls(spark, sf), LI_NUM))
 
 
 @query("d18_corr_with_target", _union([
-    f"select '{c}' as feature, round(corr({c}, p_retailprice), 4) as r from {SALARY_SQL}" for c in SALARY_NUM]))
+    f"select '{c}' as feature, round(corr({c}, p_retailprice), 6) as r from {SALARY_SQL}" for c in SALARY_NUM]))
 def d18_corr_with_target(spark, sf):
     return rounded(S.corr_with_target(salary(spark, sf), "p_retailprice", SALARY_NUM))
 
@@ -52,7 +52,7 @@ def _dominant_sql(cols, src):
     return _union(parts)
 
 
-@query("d19_dominant_ratio", "select feature, round(dominant_ratio, 4) as dominant_ratio, "
+@query("d19_dominant_ratio", "select feature, round(dominant_ratio, 6) as dominant_ratio, "
        "case when dominant_ratio > 0.5 then 1 else 0 end as over from (" + _dominant_sql(_D19_COLS, LI_N) + ")")
 def d19_dominant_ratio(spark, sf):
     return rounded(S.dominant_ratio(lineitem_nulls(spark, sf), _D19_COLS, threshold=0.5))
@@ -82,7 +82,7 @@ def d20_columns_to_drop(spark, sf):
 _D21_COLS = ["p_partkey", "p_size", "lines", "qty", "c_lines", "c_qty", "years"]
 
 
-@query("d21_low_corr_columns", "select feature, round(r, 4) as r from (" + _union([
+@query("d21_low_corr_columns", "select feature, round(r, 6) as r from (" + _union([
     f"select '{c}' as feature, corr({c}, p_retailprice) as r from {SALARY_SQL}" for c in _D21_COLS])
        + ") where abs(r) < 0.1 and feature not like '%key%'")
 def d21_low_corr_columns(spark, sf):
@@ -103,7 +103,7 @@ def d22_corr_band_columns(spark, sf):
     return S.corr_band_columns(salary(spark, sf), _D22_COLS, 0.3, 0.9)
 
 
-@query("d23_corr_tiers", """select feature, round(r, 4) as r,
+@query("d23_corr_tiers", """select feature, round(r, 6) as r,
   case when abs(r) < 0.1 and feature not like '%key%' then 'low'
        when abs(r) > 0.1 and abs(r) < 0.3 then 'mid'
        when abs(r) > 0.3 and feature <> 'p_retailprice' then 'good' end as tier

@@ -133,5 +133,9 @@ def two_sided_p_from_z(z: Column) -> Column:
 
 
 def seconds_between(a: str | Column, b: str | Column) -> Column:
-    """``(a - b).total_seconds()`` as double."""
-    return (F.unix_micros(c(a).cast("timestamp")) - F.unix_micros(c(b).cast("timestamp"))) / 1e6
+    """``(a - b).total_seconds()`` as double.
+
+    ``timestamp_diff`` works on wall-clock (``timestamp_ntz``) values directly,
+    so the result does not depend on the session time zone.
+    """
+    return F.timestamp_diff("MICROSECOND", c(b), c(a)) / 1e6

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 from tabulon.sources.io import table
 
+
+def money_sum(x) -> "F.Column":
+    """Exact sum of a 2-decimal amount (decimal arithmetic), returned as double.
+
+    Float sums depend on the order of addition; the exact decimal sum does not,
+    so every engine and every partitioning gives the same double.
+    """
+    return F.sum(x.cast("decimal(18,2)")).cast("double")
+
 # ------------------------------------------------------------------ lineitem with missing values
 # House-price stand-in: zero discount / tax become missing, the odd half of the
 # orders is the unlabelled part (target missing).
@@ -53,16 +62,18 @@ def customer_history(spark: SparkSession, sf: str) -> DataFrame:
         F.max("o_orderdate").alias("last_order_date"),
         F.count_if(online).alias("order_num_online"),
         F.count_if(~online).alias("order_num_offline"),
-        F.coalesce(F.sum(F.when(online, F.col("o_totalprice"))), F.lit(0.0)).alias("value_online"),
-        F.coalesce(F.sum(F.when(~online, F.col("o_totalprice"))), F.lit(0.0)).alias("value_offline"))
+        F.coalesce(money_sum(F.when(online, F.col("o_totalprice"))), F.lit(0.0)).alias("value_online"),
+        F.coalesce(money_sum(F.when(~online, F.col("o_totalprice"))), F.lit(0.0)).alias("value_offline"))
 
 
 CUSTOMER_HISTORY_SQL = """(select o_custkey as customer_id, min(o_orderdate) as first_order_date,
   max(o_orderdate) as last_order_date,
   count(*) filter (where o_orderpriority in ('1-URGENT', '2-HIGH')) as order_num_online,
   count(*) filter (where o_orderpriority not in ('1-URGENT', '2-HIGH')) as order_num_offline,
-  coalesce(sum(o_totalprice) filter (where o_orderpriority in ('1-URGENT', '2-HIGH')), 0.0) as value_online,
-  coalesce(sum(o_totalprice) filter (where o_orderpriority not in ('1-URGENT', '2-HIGH')), 0.0) as value_offline
+  coalesce(cast(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderpriority in ('1-URGENT', '2-HIGH'))
+    as double), 0.0) as value_online,
+  coalesce(cast(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderpriority not in ('1-URGENT', '2-HIGH'))
+    as double), 0.0) as value_offline
   from orders group by o_custkey)"""
 
 
@@ -99,10 +110,10 @@ def salary(spark: SparkSession, sf: str) -> DataFrame:
     per = li.groupBy("l_partkey").agg(
         F.count_if(season).alias("lines"),
         F.coalesce(F.sum(F.when(season, F.col("l_quantity"))), F.lit(0.0)).alias("qty"),
-        F.coalesce(F.sum(F.when(season, F.col("l_extendedprice"))), F.lit(0.0)).alias("revenue"),
+        F.coalesce(money_sum(F.when(season, F.col("l_extendedprice"))), F.lit(0.0)).alias("revenue"),
         F.count(F.lit(1)).alias("c_lines"),
         F.sum("l_quantity").alias("c_qty"),
-        F.sum("l_extendedprice").alias("c_revenue"),
+        money_sum(F.col("l_extendedprice")).alias("c_revenue"),
         F.count_distinct(F.year("l_shipdate")).alias("years"))
     return p.join(per, p.p_partkey == per.l_partkey, "inner").drop("l_partkey")
 
@@ -120,9 +131,10 @@ SALARY_SQL = """(select p.*, per.lines, per.qty, per.revenue, per.c_lines, per.c
     select l_partkey,
       count(*) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)) as lines,
       coalesce(sum(l_quantity) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)), 0.0) as qty,
-      coalesce(sum(l_extendedprice) filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)), 0.0)
-        as revenue,
-      count(*) as c_lines, sum(l_quantity) as c_qty, sum(l_extendedprice) as c_revenue,
+      coalesce(cast(sum(cast(l_extendedprice as decimal(18,2)))
+        filter (where year(l_shipdate) = (select max(year(l_shipdate)) from lineitem)) as double), 0.0) as revenue,
+      count(*) as c_lines, sum(l_quantity) as c_qty,
+      cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as c_revenue,
       count(distinct year(l_shipdate)) as years
     from lineitem group by l_partkey) per on p.p_partkey = per.l_partkey)"""
 

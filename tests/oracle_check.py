@@ -28,11 +28,13 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v.is_integer() and abs(v) < 2**53:
+            return int(v)
         return round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())

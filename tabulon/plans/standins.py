@@ -139,3 +139,32 @@ SALARY_SQL = """(select p.*, per.lines, per.qty, per.revenue, per.c_lines, per.c
     from lineitem group by l_partkey) per on p.p_partkey = per.l_partkey)"""
 
 SALARY_NUM = ["p_size", "lines", "qty", "revenue", "c_lines", "c_qty", "c_revenue", "years"]
+
+
+# ------------------------------------------------------------------ deterministic prediction tables
+# Metric and ensemble queries score fixed expressions, so the SQL twin can repeat them.
+def regression_preds(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("y"),
+        (F.col("l_quantity") * 1500.0).alias("p1"),
+        (F.col("l_quantity") * 1000.0 + 20000.0).alias("p2"),
+        (F.col("l_extendedprice") * (1 + F.col("l_discount") - F.col("l_tax"))).alias("p3"))
+
+
+REGRESSION_PREDS_SQL = """(select l_orderkey, l_linenumber, l_extendedprice as y, l_quantity * 1500.0 as p1,
+  l_quantity * 1000.0 + 20000.0 as p2, l_extendedprice * (1 + l_discount - l_tax) as p3 from lineitem)"""
+
+
+def classification_preds(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels")
+    j = d.join(lab, "doc_id")
+    score = F.col("n_chars") / (F.col("n_chars") + 1000.0)
+    return j.select("doc_id", F.col("quality").alias("y"), score.alias("score"),
+                    F.when(score > 0.7, 1).otherwise(0).alias("pred"))
+
+
+CLASSIFICATION_PREDS_SQL = """(select doc_id, quality as y, n_chars / (n_chars + 1000.0) as score,
+  case when n_chars / (n_chars + 1000.0) > 0.7 then 1 else 0 end as pred
+  from documents join labels using (doc_id))"""

@@ -1 +1,226 @@
-"""(filled in below)"""
+"""Model, tuning, stacking and segmentation queries.
+
+Fitted models have arbitrary internals, so most of these are rows-only checks;
+one-feature OLS and ridge have closed forms and a DuckDB twin, and the segment
+profile is checked on a fixed segment rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.catalog import R, query, rounded
+from tabulon.learn import models as M
+from tabulon.learn import segment as K
+from tabulon.learn import tune as TU
+from tabulon.learn.evaluate import kfold, stratified_kfold
+from tabulon.plans.rfm import RFM_COLS, rfm_features
+from tabulon.plans.standins import CUSTOMER_HISTORY_SQL, SALARY_NUM, SALARY_SQL, churn, customer_history, salary
+
+SAL_X = SALARY_NUM
+CH_X = ["c_acctbal", "n_orders", "total_value", "avg_value", "n_finished", "n_urgent", "c_nationkey"]
+
+
+def _salary_folds(spark, sf, k=5):
+    s = salary(spark, sf).select("p_partkey", *SAL_X, F.col("p_retailprice").alias("label"))
+    return kfold(s, "p_partkey", k)
+
+
+def _churn_folds(spark, sf, k=5):
+    c = churn(spark, sf).select("c_custkey", *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x)
+                                               for x in CH_X], F.col("churn").cast("double").alias("label"))
+    return stratified_kfold(c, "c_custkey", "label", k)
+
+
+def _fit_score(spark, sf, est, key="p_partkey", folds=_salary_folds, feats=SAL_X):
+    df = folds(spark, sf)
+    model, pred = M.fit_predict(est, df, df, feats, "label")
+    return pred.select(key, "label", "prediction")
+
+
+# ------------------------------------------------------------------ M01 / M02 with closed forms
+@query("m01_linear", f"""select {R('regr_slope(p_retailprice, c_lines)')} as coef,
+  {R('regr_intercept(p_retailprice, c_lines)')} as intercept from {SALARY_SQL}""")
+def m01_linear(spark, sf):
+    s = salary(spark, sf)
+    model, _ = M.fit_predict(M.regressor("lr"), s.withColumn("label", F.col("p_retailprice")), s.limit(0),
+                             ["c_lines"])
+    lr = model.stages[-1]
+    return rounded(spark.range(1).select(F.lit(float(lr.coefficients[0])).alias("coef"),
+                                         F.lit(float(lr.intercept)).alias("intercept")))
+
+
+_ALPHA = 10000.0
+
+
+@query("m02_ridge", f"""select {R('slope', 4)} as coef, {R('ybar - slope * xbar', 4)} as intercept from (
+  select covar_pop(p_retailprice, c_lines) * count(*) / (var_pop(c_lines) * count(*) + {_ALPHA}) as slope,
+         avg(c_lines) as xbar, avg(p_retailprice) as ybar from {SALARY_SQL})""")
+def m02_ridge(spark, sf):
+    s = salary(spark, sf)
+    model, _ = M.fit_predict(M.regressor("ridge", alpha=_ALPHA), s.withColumn("label", F.col("p_retailprice")),
+                             s.limit(0), ["c_lines"])
+    lr = model.stages[-1]
+    return rounded(spark.range(1).select(F.lit(float(lr.coefficients[0])).alias("coef"),
+                                         F.lit(float(lr.intercept)).alias("intercept")), 4)
+
+
+# ------------------------------------------------------------------ M03 - M13: rows-only predictions
+@query("m03_lasso")
+def m03_lasso(spark, sf):
+    return _fit_score(spark, sf, M.regressor("lasso", alpha=1.0))
+
+
+@query("m04_elastic_net")
+def m04_elastic_net(spark, sf):
+    return _fit_score(spark, sf, M.regressor("enet", alpha=1.0, l1_ratio=0.5))
+
+
+@query("m06_decision_tree")
+def m06_decision_tree(spark, sf):
+    return _fit_score(spark, sf, M.regressor("cart", max_depth=8))
+
+
+@query("m07_random_forest")
+def m07_random_forest(spark, sf):
+    return _fit_score(spark, sf, M.regressor("rf", n_estimators=20, max_depth=6))
+
+
+@query("m08_gradient_boosting")
+def m08_gradient_boosting(spark, sf):
+    return _fit_score(spark, sf, M.regressor("gbm", n_estimators=20))
+
+
+@query("m09_booster_regressors")
+def m09_booster_regressors(spark, sf):
+    parts = []
+    for name in ("xgb", "lgbm", "catboost"):
+        p = _fit_score(spark, sf, M.regressor(name, n_estimators=10, learning_rate=0.1, max_depth=4))
+        parts.append(p.withColumn("model", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("m10_booster_classifiers")
+def m10_booster_classifiers(spark, sf):
+    parts = []
+    for name in ("xgb", "lgbm", "catboost"):
+        p = _fit_score(spark, sf, M.classifier(name, n_estimators=10, max_depth=4), "c_custkey", _churn_folds, CH_X)
+        parts.append(p.withColumn("model", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("m11_logistic_regression")
+def m11_logistic_regression(spark, sf):
+    return _fit_score(spark, sf, M.classifier("logreg"), "c_custkey", _churn_folds, CH_X)
+
+
+@query("m12_kernel_svm")
+def m12_kernel_svm(spark, sf):
+    df = _churn_folds(spark, sf)
+    from tabulon.operators.encode import StandardScaler
+    scaled = StandardScaler(inputCols=CH_X).fit(df).transform(df)
+    model = M.kernel_svc(CH_X, "label", dim=32, maxIter=25).fit(scaled)
+    return model.transform(scaled).select("c_custkey", "label", "prediction")
+
+
+@query("m12_kernel_svr")
+def m12_kernel_svr(spark, sf):
+    df = _salary_folds(spark, sf)
+    from tabulon.operators.encode import StandardScaler
+    scaled = StandardScaler(inputCols=SAL_X).fit(df).transform(df)
+    model = M.kernel_svr(SAL_X, "label", dim=32).fit(scaled)
+    return model.transform(scaled).select("p_partkey", "label", "prediction")
+
+
+@query("m13_adaboost")
+def m13_adaboost(spark, sf):
+    return _fit_score(spark, sf, M.classifier("adaboost", n_estimators=10), "c_custkey", _churn_folds, CH_X)
+
+
+@query("m14_feature_importance")
+def m14_feature_importance(spark, sf):
+    df = _salary_folds(spark, sf)
+    model, _ = M.fit_predict(M.regressor("rf", n_estimators=20, max_depth=6), df, df.limit(0), SAL_X)
+    return M.feature_importance(model, SAL_X, top=5)
+
+
+@query("m15_predict")
+def m15_predict(spark, sf):
+    """Fit on the labelled half (even part keys), score the other half."""
+    df = _salary_folds(spark, sf)
+    train, test = df.where(F.col("p_partkey") % 2 == 0), df.where(F.col("p_partkey") % 2 == 1)
+    _, pred = M.fit_predict(M.regressor("gbm", n_estimators=20), train, test, SAL_X)
+    return pred.select("p_partkey", "prediction")
+
+
+# ------------------------------------------------------------------ T08 - T10, T12, N03
+@query("t08_grid_search")
+def t08_grid_search(spark, sf):
+    from pyspark.ml.regression import GBTRegressor
+    _, table = TU.grid_search(GBTRegressor(seed=42), {"maxDepth": [2, 4], "maxIter": [5, 10]},
+                              _salary_folds(spark, sf), SAL_X, "label")
+    return table
+
+
+@query("t09_compare_models")
+def t09_compare_models(spark, sf):
+    models = {"lr": M.regressor("lr"), "ridge": M.regressor("ridge", alpha=1.0),
+              "cart": M.regressor("cart", max_depth=6), "rf": M.regressor("rf", n_estimators=10, max_depth=5)}
+    return TU.compare_models(models, _salary_folds(spark, sf), SAL_X, "label")
+
+
+@query("t09_compare_classifiers")
+def t09_compare_classifiers(spark, sf):
+    models = {"logreg": M.classifier("logreg"), "cart": M.classifier("cart", max_depth=5),
+              "rf": M.classifier("rf", n_estimators=10, max_depth=5)}
+    return TU.compare_models(models, _churn_folds(spark, sf), CH_X, "label", task="classification")
+
+
+@query("t10_tune_models")
+def t10_tune_models(spark, sf):
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+    cands = {"cart": (DecisionTreeRegressor(seed=42), {"maxDepth": [3, 6]}),
+             "rf": (RandomForestRegressor(seed=42, numTrees=10), {"maxDepth": [3, 6]})}
+    return TU.tune_models(cands, _salary_folds(spark, sf), SAL_X, "label")
+
+
+@query("t12_validation_curve")
+def t12_validation_curve(spark, sf):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    return TU.validation_curve(DecisionTreeRegressor(seed=42), "maxDepth", [2, 4, 8],
+                               _salary_folds(spark, sf, 3), SAL_X, "label")
+
+
+@query("n03_stacking")
+def n03_stacking(spark, sf):
+    df = _salary_folds(spark, sf)
+    st = TU.StackingRegressor([M.regressor("lr"), M.regressor("cart", max_depth=5)], SAL_X, "label").fit(df)
+    return st.transform(df).select("p_partkey", "label", "prediction")
+
+
+# ------------------------------------------------------------------ K01 - K04
+@query("k01_kmeans")
+def k01_kmeans(spark, sf):
+    seg, _ = K.kmeans_segments(rfm_features(spark, sf), RFM_COLS, 4, seed=42)
+    return seg.select("customer_id", "segment")
+
+
+@query("k02_elbow")
+def k02_elbow(spark, sf):
+    return K.elbow(rfm_features(spark, sf), RFM_COLS, 2, 8, seed=42)
+
+
+@query("k03_segment_profile", f"""select segment, count(*) as n, """ + ", ".join(
+    f"{R(f'avg({c})')} as {c}_mean, {R(f'min({c})')} as {c}_min, {R(f'max({c})')} as {c}_max"
+    for c in ["order_num_online", "order_num_offline", "value_online", "value_offline"])
+       + f" from (select *, cast(customer_id % 4 as integer) as segment from {CUSTOMER_HISTORY_SQL}) group by segment")
+def k03_segment_profile(spark, sf):
+    h = customer_history(spark, sf).withColumn("segment", (F.col("customer_id") % 4).cast("int"))
+    return rounded(K.segment_profile(h, "segment", ["order_num_online", "order_num_offline", "value_online",
+                                                    "value_offline"]))
+
+
+@query("k04_hierarchical_segments")
+def k04_hierarchical_segments(spark, sf):
+    seg, _ = K.hierarchical_segments(rfm_features(spark, sf), RFM_COLS, 5, seed=42)
+    return seg.select("customer_id", "hsegment")

@@ -27,17 +27,11 @@ def query(name: str, sql: str | None = None):
 
 
 def round_binary(x, scale: int):
-    """Round a double the way the DuckDB twin does: ``round_half_away(x * 10^s) / 10^s``
-    in binary floating point (``F.round`` rounds the decimal text instead, which
-    breaks exact ties such as 134.0215625 the other way)."""
-    m = float(10 ** scale)
-    v = x * F.lit(m)
-    fl = F.floor(v).cast("double")
-    frac = v - fl
-    r = (F.when(frac > 0.5, fl + 1.0).when(frac < 0.5, fl)
-         .otherwise(F.when(v > 0, fl + 1.0).otherwise(fl)))
-    out = r / F.lit(m)
-    return F.when(F.isnan(x) | (F.abs(x) > 1e300), x).otherwise(out + F.lit(0.0))
+    """Round a double the way the DuckDB twin does: half away from zero on ``x * 10^s`` in
+    binary floating point, then divide (``F.round`` rounds the decimal text instead,
+    which breaks exact ties such as 134.0215625 the other way).  ``+ 0.0`` folds -0.0."""
+    m = F.lit(float(10 ** scale))
+    return F.signum(x) * F.floor(F.abs(x * m) + F.lit(0.5)) / m + F.lit(0.0)
 
 
 def rounded(df: DataFrame, scale: int = 6) -> DataFrame:

@@ -114,7 +114,7 @@ def f07_sums_diffs(spark, sf):
 @query("f08_safe_ratio", f"""select l_orderkey, l_linenumber,
   {R('l_extendedprice / (l_quantity + 1)')} as price_per_qty,
   {R('l_tax / (l_discount + 0.001)')} as tax_per_disc,
-  {R('l_extendedprice / (l_discount + 1e-05) / (l_tax + 1e-05)', 2)} as chained,
+  {R('l_extendedprice / (l_discount + 1e-05) / (l_tax + 1e-05)', 0)} as chained,
   {R('l_tax / nullif(l_discount, 0)')} as unguarded from lineitem""")
 def f08_safe_ratio(spark, sf):
     li = _li(spark, sf, ["l_extendedprice", "l_quantity", "l_discount", "l_tax"])
@@ -122,7 +122,7 @@ def f08_safe_ratio(spark, sf):
                     X.ratio("l_tax", "l_discount", 1e-3).alias("tax_per_disc"),
                     X.chained_ratio("l_extendedprice", "l_discount", "l_tax", 1e-5).alias("chained"),
                     X.ratio("l_tax", "l_discount").alias("unguarded"))
-    return out.select(*KEY, *[round_binary(F.col(c), 2 if c == "chained" else 6).alias(c)
+    return out.select(*KEY, *[round_binary(F.col(c), 0 if c == "chained" else 6).alias(c)
                               for c in ["price_per_qty", "tax_per_disc", "chained", "unguarded"]])
 
 

@@ -23,13 +23,13 @@ CH_X = ["c_acctbal", "n_orders", "total_value", "avg_value", "n_finished", "n_ur
 
 def _salary_folds(spark, sf, k=5):
     s = salary(spark, sf).select("p_partkey", *SAL_X, F.col("p_retailprice").alias("label"))
-    return kfold(s, "p_partkey", k)
+    return kfold(s, "p_partkey", k).cache()  # reused by every fit of the query
 
 
 def _churn_folds(spark, sf, k=5):
     c = churn(spark, sf).select("c_custkey", *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x)
                                                for x in CH_X], F.col("churn").cast("double").alias("label"))
-    return stratified_kfold(c, "c_custkey", "label", k)
+    return stratified_kfold(c, "c_custkey", "label", k).cache()  # reused by every fit of the query
 
 
 def _fit_score(spark, sf, est, key="p_partkey", folds=_salary_folds, feats=SAL_X):

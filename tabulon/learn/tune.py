@@ -162,7 +162,7 @@ class StackingRegressor(Estimator):
                             numFolds=len(_folds(oof, self.fold)),
                             evaluator=RegressionEvaluator(labelCol="label", metricName="rmse"))
         meta = cv.fit(meta_in.withColumn(self.fold, F.col(self.fold).cast("int"))).bestModel
-        data = assemble(self.features).transform(dataset).withColumn("label", F.col(self.label).cast("double"))
+        data = assemble(self.features).transform(keyed).withColumn("label", F.col(self.label).cast("double"))
         bases = [b.copy().setFeaturesCol("features").setLabelCol("label").fit(data) for b in self.bases]
         return StackingModel(bases, meta, self.features)
 

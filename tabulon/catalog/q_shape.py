@@ -195,3 +195,66 @@ def c06_crosstab(spark, sf):
   round(count(*) / (select count(*) from lineitem), 6) as share from lineitem group by 1, 2""")
 def c07_contingency(spark, sf):
     return rounded(S.contingency(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+# ------------------------------------------------------------------ H01 - H04
+@query("h01_window_mean", f"""select o_orderkey,
+  {R('avg(o_totalprice) over (partition by o_orderstatus, o_orderpriority)')} as mean_status_priority from orders""")
+def h01_window_mean(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return rounded(S.window_mean(o, "o_totalprice", ["o_orderstatus", "o_orderpriority"], "mean_status_priority")
+                   .select("o_orderkey", "mean_status_priority"))
+
+
+@query("h02_sort_report", f"""select p_brand, {R('avg(p_retailprice)')} as mean_price from part
+  group by p_brand order by mean_price desc, p_brand""")
+def h02_sort_report(spark, sf):
+    p = table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean_price"))
+    return rounded(S.sort_report(p, "mean_price", "p_brand"))
+
+
+@query("h03_top_k", """select o_orderkey, o_custkey, o_totalprice from orders
+  order by o_totalprice desc, o_orderkey limit 20""")
+def h03_top_k(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return S.top_k(o, "o_totalprice", 20, tie="o_orderkey")
+
+
+@query("h04_value_counts", """select l_suppkey, count(*) as count from lineitem where l_suppkey is not null
+  group by l_suppkey order by count desc, l_suppkey""")
+def h04_value_counts(spark, sf):
+    return S.value_counts(table(spark, sf, "lineitem"), "l_suppkey")
+
+
+# ------------------------------------------------------------------ A01 - A03
+@query("a01_read_table", """select c_custkey, case when c_custkey % 7 = 0 then null else c_mktsegment end as c_mktsegment,
+  case when c_custkey % 5 = 0 then null else c_acctbal end as c_acctbal from customer""")
+def a01_read_table(spark, sf):
+    from tabulon.session import scratch_path
+    from tabulon.sources.io import read_table
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 == 0, "NA").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+        F.when(F.col("c_custkey") % 5 == 0, "NA").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    path = scratch_path(spark, "a01")
+    c.write.option("header", True).csv(path)
+    return read_table(spark, path, schema="c_custkey bigint, c_mktsegment string, c_acctbal double")
+
+
+@query("a02_read_semicolon_table", """select s_suppkey, s_name, s_nationkey, s_acctbal from supplier""")
+def a02_read_semicolon_table(spark, sf):
+    from tabulon.session import scratch_path
+    from tabulon.sources.io import read_semicolon_table
+    path = scratch_path(spark, "a02")
+    table(spark, sf, "supplier").write.option("header", True).option("sep", ";").csv(path)
+    return read_semicolon_table(spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int, "
+                                                    "s_acctbal double")
+
+
+@query("a03_write_predictions", f"""select o_orderkey, {R('o_totalprice * 0.9 + 1000')} as prediction from orders""")
+def a03_write_predictions(spark, sf):
+    from tabulon.session import scratch_path
+    from tabulon.sources.io import read_table, write_predictions
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 0.9 + 1000).alias("prediction"))
+    path = scratch_path(spark, "a03")
+    write_predictions(rounded(o), path, "o_orderkey", "prediction")
+    return read_table(spark, path, schema="o_orderkey bigint, prediction double")

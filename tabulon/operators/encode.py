@@ -22,16 +22,21 @@ from tabulon.operators._mlbase import ColumnsEstimator, ColumnsModel
 
 
 def _levels(df: DataFrame, cols: Sequence[str], cap: int) -> dict[str, list]:
-    """Sorted distinct non-null levels per column; raises above ``cap`` levels (bounded state)."""
+    """Sorted distinct non-null levels per column; raises above ``cap`` levels (bounded state).
+
+    Levels are counted with a grouped aggregation first; only when every column is
+    within the cap are the (at most ``cap``) levels per column brought to the driver.
+    """
     long = unpivot_values(df, cols, value_type="string", val="level")
-    per = long.groupBy("feature").agg(F.count_distinct("level").alias("n"),
-                                      F.sort_array(F.collect_set("level")).alias("levels"))
+    distinct = long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("_c"))
+    too_many = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).collect()
+    if too_many:
+        r = too_many[0]
+        raise ValueError(f"column {r['feature']} has {r['n']} levels (> maxLevels={cap})")
     out = {x: [] for x in cols}
-    for r in per.collect():  # one row per column
-        if r["n"] > cap:
-            raise ValueError(f"column {r['feature']} has {r['n']} levels (> maxLevels={cap})")
-        out[r["feature"]] = list(r["levels"])
-    return out
+    for r in distinct.select("feature", "level").collect():  # at most cap rows per column
+        out[r["feature"]].append(r["level"])
+    return {k: sorted(v) for k, v in out.items()}
 
 
 class _LevelParams(Params):

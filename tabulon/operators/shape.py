@@ -161,3 +161,28 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("count"))
     total = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.count(F.lit(1))).scalar()
     return g.select(a, b, "count", (F.col("count") / total).alias("share"))
+
+
+# ----------------------------------------------------------------- H01 - H04
+def window_mean(df: DataFrame, target: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Whole-partition window mean (``transform('mean')``) as an aggregation joined back
+    on the keys (see :func:`tabulon.operators.features.group_means`)."""
+    from tabulon.operators.features import group_means
+    return group_means(df, target, [list(keys)], [name])
+
+
+def sort_report(df: DataFrame, value: str, name: str, ascending: bool = False) -> DataFrame:
+    """A report sorted by value, the name as tie-break (a total, repeatable order)."""
+    return df.orderBy(F.col(value).asc() if ascending else F.col(value).desc(), F.col(name).asc())
+
+
+def top_k(df: DataFrame, value: str, n: int, tie: str | None = None) -> DataFrame:
+    """The n rows with the largest value (``TakeOrderedAndProject``: per-task top-n, then merged)."""
+    order = [F.col(value).desc()] + ([F.col(tie).asc()] if tie else [])
+    return df.orderBy(*order).limit(n)
+
+
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Levels by descending frequency (missing level dropped), level as tie-break."""
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), col))

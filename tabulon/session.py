@@ -51,3 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files under the shared checkpoint directory."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-scratch/{name}-{uuid.uuid4().hex}"

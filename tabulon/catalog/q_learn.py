@@ -224,3 +224,35 @@ def k03_segment_profile(spark, sf):
 def k04_hierarchical_segments(spark, sf):
     seg, _ = K.hierarchical_segments(rfm_features(spark, sf), RFM_COLS, 5, seed=42)
     return seg.select("customer_id", "hsegment")
+
+
+# ------------------------------------------------------------------ M05: exact kNN with pivot pruning
+_KNN_SQL = """with e as (select vec_id, label, embedding from embeddings),
+d as (select a.vec_id as qid, b.vec_id as tid, b.label as tlabel,
+        sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+             lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))) as dist
+      from e a, e b where a.vec_id <> b.vec_id),
+r as (select qid, tlabel, row_number() over (partition by qid order by dist, tid) as rn from d),
+v as (select qid, tlabel, count(*) as c from r where rn <= 5 group by qid, tlabel)
+select qid as vec_id, tlabel as prediction from (
+  select qid, tlabel, row_number() over (partition by qid order by c desc, tlabel) as rn from v) where rn = 1"""
+
+
+@query("m05_knn_classifier", _KNN_SQL)
+def m05_knn_classifier(spark, sf):
+    """Leave-one-out 5-NN label of every embedding (exact, pivot-pruned)."""
+    from tabulon.learn.knn import knn_classify
+    from tabulon.sources.io import table
+    e = table(spark, sf, "embeddings")
+    return knn_classify(e, e, "vec_id", "embedding", "label", k=5, exclude_self=True)
+
+
+@query("m05_knn_regressor")
+def m05_knn_regressor(spark, sf):
+    """5-NN regression of the part price from scaled salary features (rows-only)."""
+    from tabulon.learn.knn import knn_regress
+    from tabulon.operators.encode import StandardScaler
+    s = _salary_folds(spark, sf)
+    scaled = StandardScaler(inputCols=SAL_X).fit(s).transform(s)
+    vec = scaled.select("p_partkey", F.array(*SAL_X).alias("x"), "label")
+    return knn_regress(vec, vec, "p_partkey", "x", "label", k=5, exclude_self=True)

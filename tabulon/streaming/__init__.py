@@ -1,0 +1,7 @@
+"""Streaming: the reference reads no stream (no watermark, window, session or state), so
+there is no streaming operator to build.  Every fitted stage of this library is a
+stateless projection and applies to a streaming DataFrame unchanged, e.g.::
+
+    model = OutlierCapper(inputCols=cols).fit(history)
+    scored = model.transform(spark.readStream.schema(schema).parquet(path))
+"""

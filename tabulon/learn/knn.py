@@ -34,6 +34,26 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def sq_dist_unrolled(a: Column, b: Column, dim: int) -> Column:
+    """Squared distance written out term by term: plain array-element arithmetic stays in
+    whole-stage codegen (higher-order lambdas are interpreted row by row)."""
+    total = None
+    for i in range(dim):
+        t = (a.getItem(i) - b.getItem(i)) * (a.getItem(i) - b.getItem(i))
+        total = t if total is None else total + t
+    return total
+
+
+def sq_dist_block(a: Column, b: Column, dims) -> Column:
+    """Squared distance over a few dimensions; short expressions keep each one small
+    enough for whole-stage codegen (one deep tree over all dimensions falls back)."""
+    total = None
+    for i in dims:
+        t = (a.getItem(i) - b.getItem(i)) * (a.getItem(i) - b.getItem(i))
+        total = t if total is None else total + t
+    return total
+
+
 def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, label_col: str,
                    k: int = 5, n_pivots: int = 32, exclude_self: bool = False, seed: int = 42) -> DataFrame:
     """(qid, tid, tlabel, dist, rank) for the k nearest training rows of every query row."""
@@ -72,8 +92,16 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
     pairs = cand.join(cells.select("cell", "tid", "tv", "tlabel"), "cell")
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("tid"))
-    pairs = pairs.select("qid", "tid", "tlabel", F.sqrt(sq_dist(F.col("qv"), F.col("tv"))).alias("dist"), "_tau")
-    pairs = pairs.where(F.col("dist") <= F.col("_tau"))
+    dim = len(piv_rows[0]["tv"])
+    blocks = [list(range(i, min(i + 8, dim))) for i in range(0, dim, 8)]
+    parts = [sq_dist_block(F.col("qv"), F.col("tv"), b).alias(f"_p{j}") for j, b in enumerate(blocks)]
+    pairs = pairs.select("qid", "tid", "tlabel", "_tau", *parts)
+    total = None
+    for j in range(len(blocks)):
+        total = F.col(f"_p{j}") if total is None else total + F.col(f"_p{j}")
+    pairs = pairs.select("qid", "tid", "tlabel", F.sqrt(total).alias("dist"), "_tau")
+    # no "dist <= tau" filter here: Catalyst would push it into the join condition and
+    # evaluate the distance twice; the per-task group limit below already trims the rows
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_tau")
 

@@ -244,7 +244,7 @@ def m05_knn_classifier(spark, sf):
     from tabulon.learn.knn import knn_classify
     from tabulon.sources.io import table
     e = table(spark, sf, "embeddings")
-    return knn_classify(e, e, "vec_id", "embedding", "label", k=5, exclude_self=True)
+    return knn_classify(e, e, "vec_id", "embedding", "label", k=5, exclude_self=True, n_pivots=32)
 
 
 @query("m05_knn_regressor")
@@ -255,4 +255,4 @@ def m05_knn_regressor(spark, sf):
     s = _salary_folds(spark, sf)
     scaled = StandardScaler(inputCols=SAL_X).fit(s).transform(s)
     vec = scaled.select("p_partkey", F.array(*SAL_X).alias("x"), "label")
-    return knn_regress(vec, vec, "p_partkey", "x", "label", k=5, exclude_self=True)
+    return knn_regress(vec, vec, "p_partkey", "x", "label", k=5, exclude_self=True, n_pivots=128)

@@ -55,7 +55,8 @@ def sq_dist_block(a: Column, b: Column, dims) -> Column:
 
 
 def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, label_col: str,
-                   k: int = 5, n_pivots: int = 32, exclude_self: bool = False, seed: int = 42) -> DataFrame:
+                   k: int = 5, n_pivots: int = 64, exclude_self: bool = False, seed: int = 42,
+                   rings: int = 8) -> DataFrame:
     """(qid, tid, tlabel, dist, rank) for the k nearest training rows of every query row."""
     tr = train.select(F.col(id_col).alias("tid"), _as_doubles(vec_col).alias("tv"),
                       F.col(label_col).alias("tlabel"))
@@ -75,6 +76,17 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
     sizes = [0] * len(piv_rows)
     for r in stats:  # one row per pivot
         radius[r["cell"]], sizes[r["cell"]] = float(r["radius"]), int(r["n"])
+    # rings: each cell cut into equal-width shells of distance to its pivot; a shell's
+    # [rmin, rmax] gives the lower bound max(d(q,p) - rmax, rmin - d(q,p)) on d(q, t)
+    rad_arr = F.array(*[F.lit(x) for x in radius])
+    cells = cells.withColumn("ring", F.least(F.lit(rings - 1), F.floor(
+        F.try_divide(F.col("_r"), F.element_at(rad_arr, F.col("cell") + 1)) * rings)).cast("int"))
+    cells = cells.withColumn("ring", F.coalesce(F.col("ring"), F.lit(0)))
+    shells = cells.groupBy("cell", "ring").agg(F.min("_r").alias("rmin"), F.max("_r").alias("rmax")).collect()
+    shell_c = [int(r["cell"]) for r in shells]  # at most pivots x rings rows
+    shell_g = [int(r["ring"]) for r in shells]
+    shell_lo = [float(r["rmin"]) for r in shells]
+    shell_hi = [float(r["rmax"]) for r in shells]
     need = k + (1 if exclude_self else 0)
     info = F.arrays_zip(F.col("_qd").alias("d"), F.array(*[F.lit(x) for x in radius]).alias("r"),
                         F.array(*[F.lit(x) for x in sizes]).alias("n"),
@@ -85,25 +97,45 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
                         lambda acc, s: F.when(acc["cnt"] >= need, acc).otherwise(
                             F.struct((acc["cnt"] + s["n"]).alias("cnt"),
                                      F.greatest(acc["tau"], s["d"] + s["r"]).alias("tau"))))
-    q = (qu.withColumn("_qd", pivot_dists(F.col("qv"))).withColumn("_info", info)
-         .withColumn("_tau", bound["tau"] * (1 + 1e-9) + 1e-12))
-    cand = q.select("qid", "qv", "_tau", F.explode(F.filter("_info", lambda s: s["d"] - s["r"] <= F.col("_tau")))
-                    .alias("s")).select("qid", "qv", "_tau", F.col("s.c").alias("cell"))
-    pairs = cand.join(cells.select("cell", "tid", "tv", "tlabel"), "cell")
-    if exclude_self:
-        pairs = pairs.where(F.col("qid") != F.col("tid"))
     dim = len(piv_rows[0]["tv"])
     blocks = [list(range(i, min(i + 8, dim))) for i in range(0, dim, 8)]
-    parts = [sq_dist_block(F.col("qv"), F.col("tv"), b).alias(f"_p{j}") for j, b in enumerate(blocks)]
-    pairs = pairs.select("qid", "tid", "tlabel", "_tau", *parts)
-    total = None
-    for j in range(len(blocks)):
-        total = F.col(f"_p{j}") if total is None else total + F.col(f"_p{j}")
-    pairs = pairs.select("qid", "tid", "tlabel", F.sqrt(total).alias("dist"), "_tau")
+
+    def with_dist(pairs_df, keep):
+        parts = [sq_dist_block(F.col("qv"), F.col("tv"), b).alias(f"_p{j}") for j, b in enumerate(blocks)]
+        out = pairs_df.select(*keep, *parts)
+        total = None
+        for j in range(len(blocks)):
+            total = F.col(f"_p{j}") if total is None else total + F.col(f"_p{j}")
+        return out.select(*keep, F.sqrt(total).alias("dist"))
+
+    # phase 1: exact k-th distance inside the query's own cell -> a tight upper bound
+    q0 = (qu.withColumn("_qd", pivot_dists(F.col("qv"))).withColumn("_info", info)
+          .withColumn("cell", (F.array_position(F.col("_qd"), F.array_min("_qd")) - 1).cast("int")))
+    own = q0.select("qid", "qv", "cell").join(cells.select("cell", "tid", "tv"), "cell")
+    if exclude_self:
+        own = own.where(F.col("qid") != F.col("tid"))
+    own = with_dist(own, ["qid", "tid"])
+    kth = (own.withColumn("_rk", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "tid")))
+           .where(F.col("_rk") <= k).groupBy("qid").agg(F.max("dist").alias("_t1"), F.count(F.lit(1)).alias("_m")))
+    tau = F.when(F.col("_m") >= k, F.col("_t1")).otherwise(bound["tau"])
+    q = q0.drop("cell").join(kth, "qid", "left").withColumn("_tau", tau * (1 + 1e-9) + 1e-12)
+    shell_info = F.arrays_zip(F.array(*[F.lit(x) for x in shell_c]).alias("c"),
+                              F.array(*[F.lit(x) for x in shell_g]).alias("g"),
+                              F.array(*[F.lit(x) for x in shell_lo]).alias("lo"),
+                              F.array(*[F.lit(x) for x in shell_hi]).alias("hi"))
+    keep = F.filter(shell_info, lambda sh: F.greatest(F.element_at(F.col("_qd"), sh["c"] + 1) - sh["hi"],
+                                                      sh["lo"] - F.element_at(F.col("_qd"), sh["c"] + 1))
+                    <= F.col("_tau"))
+    cand = q.select("qid", "qv", F.explode(keep).alias("s")).select(
+        "qid", "qv", F.col("s.c").alias("cell"), F.col("s.g").alias("ring"))
+    pairs = cand.join(cells.select("cell", "ring", "tid", "tv", "tlabel"), ["cell", "ring"])
+    if exclude_self:
+        pairs = pairs.where(F.col("qid") != F.col("tid"))
+    pairs = with_dist(pairs, ["qid", "tid", "tlabel"])
     # no "dist <= tau" filter here: Catalyst would push it into the join condition and
     # evaluate the distance twice; the per-task group limit below already trims the rows
     w = Window.partitionBy("qid").orderBy("dist", "tid")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_tau")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,

@@ -242,3 +242,26 @@ def test_column_kinds_invariant(spark):
     kinds = {r.feature: r.kind for r in P.column_kinds(df).collect()}
     assert kinds == {"a": "num", "b": "cat", "c": "cardinal", "d": "cat"}
     assert len(kinds) == len(df.columns)
+
+
+def test_knn_exact_against_brute_force(spark):
+    import numpy as np
+    from tabulon.learn.knn import knn_classify, knn_regress
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 10, size=(4, 3))
+    pts = np.vstack([c + rng.normal(0, 1, size=(60, 3)) for c in centers] + [rng.normal(0, 30, size=(10, 3))])
+    labels = [int(i % 3) for i in range(len(pts))]
+    rows = [(i, [float(v) for v in p], labels[i]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, y int")
+    got = {r.id: r.prediction for r in knn_classify(df, df, "id", "v", "y", k=5, exclude_self=True,
+                                                   n_pivots=8).collect()}
+    reg = {r.id: r.prediction for r in knn_regress(df, df, "id", "v", "y", k=5, exclude_self=True,
+                                                  n_pivots=8).collect()}
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
+        order = sorted((d[j], j) for j in range(len(pts)) if j != i)[:5]
+        ys = [labels[j] for _, j in order]
+        counts = {v: ys.count(v) for v in set(ys)}
+        best = min(counts, key=lambda v: (-counts[v], v))
+        assert got[i] == best
+        assert reg[i] == pytest.approx(sum(ys) / 5)

@@ -125,7 +125,8 @@ def n01_blend(spark, sf):
 
 
 def _grid_sql():
-    rows = [f"select {i} as idx, {w[0]} as w1, {w[1]} as w2, {w[2]} as w3" for i, w in enumerate(N.weight_grid())]
+    rows = [f"select {i} as idx, cast({w[0]} as double) as w1, cast({w[1]} as double) as w2, "
+            f"cast({w[2]} as double) as w3" for i, w in enumerate(N.weight_grid())]
     return " union all ".join(rows)
 
 

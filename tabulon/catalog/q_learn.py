@@ -211,7 +211,8 @@ def k02_elbow(spark, sf):
 
 
 @query("k03_segment_profile", f"""select segment, count(*) as n, """ + ", ".join(
-    f"{R(f'avg({c})')} as {c}_mean, {R(f'min({c})')} as {c}_min, {R(f'max({c})')} as {c}_max"
+    f"{R(f'avg({c}::double)')} as {c}_mean, {R(f'min({c}::double)')} as {c}_min, "
+    f"{R(f'max({c}::double)')} as {c}_max"
     for c in ["order_num_online", "order_num_offline", "value_online", "value_offline"])
        + f" from (select *, cast(customer_id % 4 as integer) as segment from {CUSTOMER_HISTORY_SQL}) group by segment")
 def k03_segment_profile(spark, sf):

@@ -170,7 +170,8 @@ def c02_concat_rows(spark, sf):
 # ------------------------------------------------------------------ C03, C05 - C07
 @query("c03_pivot_mean", "select user_id, day, " + ", ".join(
     f"round(avg(value) filter (where event_type = '{t}'), 6) as {t}" for t in EVENT_TYPES)
-       + " from (select user_id, dayofmonth(ts) as day, event_type, value from events) group by user_id, day")
+       + " from (select user_id, cast(dayofmonth(ts) as integer) as day, event_type, value from events) "
+       "group by user_id, day")
 def c03_pivot_mean(spark, sf):
     from tabulon.plans.standins import scouting_long
     return rounded(S.pivot_mean(scouting_long(spark, sf), ["user_id", "day"], "event_type", "value", EVENT_TYPES))

@@ -7,9 +7,10 @@ one task.  These helpers get the same answers with a range-partitioned sort:
    holds a third of the rows is still spread over many tasks),
 2. ``monotonically_increasing_id`` after ``sortWithinPartitions`` numbers the
    rows inside each range partition,
-3. a per-(partition, group) count table -- at most ``P x groups`` rows, which
-   is the proven bound for its broadcast -- turns local numbers into global
-   ones.
+3. a per-(partition, group) count table turns local numbers into global
+   ones.  Each range partition holds one contiguous key range, so it meets at
+   most a few groups: the table has at most ``P + groups`` rows, the proven
+   bound of its broadcast.
 
 Both uses of the sorted frame sit in one plan, so Spark reuses the exchange
 and the data are sorted once.
@@ -65,7 +66,8 @@ def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str
     Ties in ``order_cols`` are broken by a per-row id; callers that need tie
     groups (average ranks) aggregate the positions afterwards.  ``group_cols``
     must have few distinct values (classes, column names): the offset table has
-    ``P x groups`` rows and is broadcast.
+    at most ``P + groups`` rows (a range partition spans a contiguous key range)
+    and is broadcast.
     """
     return _ranked(df, order_cols, group_cols, name, num_partitions, tiebreak)[0]
 

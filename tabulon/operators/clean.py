@@ -245,6 +245,7 @@ class RareEncoder(ColumnsEstimator, _RareParams):
         per = counts.groupBy("feature").agg(
             F.collect_list(F.when(share >= p, F.col("level"))).alias("frequent"),
             F.count_if(share < p).alias("n_rare"))
+        # one row per column, at most 1/rarePerc frequent levels each
         return {r["feature"]: sorted(r["frequent"]) for r in per.collect() if r["n_rare"] > 0}
 
 

@@ -265,3 +265,14 @@ def test_knn_exact_against_brute_force(spark):
         best = min(counts, key=lambda v: (-counts[v], v))
         assert got[i] == best
         assert reg[i] == pytest.approx(sum(ys) / 5)
+
+
+def test_quantiles_with_one_hot_value(spark):
+    # a third of the rows share one value; the sort still spreads them (tiebreak) and
+    # the interpolated quantiles stay exact
+    vals = [5.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    q = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], [0.25, 0.5, 0.9]).collect()}
+    import numpy as np
+    for p in (0.25, 0.5, 0.9):
+        assert q[p] == pytest.approx(float(np.quantile(vals, p)))

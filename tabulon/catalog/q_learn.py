@@ -257,3 +257,10 @@ def m05_knn_regressor(spark, sf):
     scaled = StandardScaler(inputCols=SAL_X).fit(s).transform(s)
     vec = scaled.select("p_partkey", F.array(*SAL_X).alias("x"), "label")
     return knn_regress(vec, vec, "p_partkey", "x", "label", k=5, exclude_self=True, n_pivots=128)
+
+
+@query("t08_ridge_grid_search")
+def t08_ridge_grid_search(spark, sf):
+    """The reference's 1,000-alpha ridge grid (logspace(-5, 5)) by 5-fold CV, from one aggregation."""
+    import numpy as np
+    return TU.ridge_grid_search(_salary_folds(spark, sf), SAL_X, "label", list(np.logspace(-5, 5, 1000)))

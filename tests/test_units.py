@@ -276,3 +276,29 @@ def test_quantiles_with_one_hot_value(spark):
     import numpy as np
     for p in (0.25, 0.5, 0.9):
         assert q[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_ridge_grid_search_matches_direct_fits(spark):
+    import numpy as np
+    from tabulon.learn.tune import ridge_grid_search
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(120, 3)) * [1.0, 10.0, 100.0] + [5.0, -3.0, 1000.0]
+    y = X @ [2.0, -0.5, 0.03] + rng.normal(size=120) * 2 + 7
+    fold = np.arange(120) % 4
+    df = spark.createDataFrame([(float(a), float(b), float(c), float(t), int(f))
+                                for (a, b, c), t, f in zip(X, y, fold)], "a double, b double, c double, y double, fold int")
+    alphas = [0.01, 1.0, 100.0]
+    got = {r.alpha: (r.mean_r2, r.mean_rmse) for r in ridge_grid_search(df, ["a", "b", "c"], "y", alphas).collect()}
+    for al in alphas:
+        r2s, rmses = [], []
+        for f in range(4):
+            tr, va = fold != f, fold == f
+            mx, my = X[tr].mean(0), y[tr].mean()
+            Xc = X[tr] - mx
+            w = np.linalg.solve(Xc.T @ Xc + al * np.eye(3), Xc.T @ (y[tr] - my))
+            pred = (X[va] - mx) @ w + my
+            res = y[va] - pred
+            r2s.append(1 - (res ** 2).sum() / ((y[va] - y[va].mean()) ** 2).sum())
+            rmses.append(np.sqrt((res ** 2).mean()))
+        assert got[al][0] == pytest.approx(np.mean(r2s), rel=1e-9)
+        assert got[al][1] == pytest.approx(np.mean(rmses), rel=1e-9)

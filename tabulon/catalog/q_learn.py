@@ -264,3 +264,22 @@ def t08_ridge_grid_search(spark, sf):
     """The reference's 1,000-alpha ridge grid (logspace(-5, 5)) by 5-fold CV, from one aggregation."""
     import numpy as np
     return TU.ridge_grid_search(_salary_folds(spark, sf), SAL_X, "label", list(np.logspace(-5, 5, 1000)))
+
+
+# ------------------------------------------------------------------ SURVEY section 3: whole flows (rows-only)
+@query("s31_house_price_flow")
+def s31_house_price_flow(spark, sf):
+    from tabulon.plans.flows import house_price_flow
+    return house_price_flow(spark, sf)
+
+
+@query("s32_churn_flow")
+def s32_churn_flow(spark, sf):
+    from tabulon.plans.flows import churn_flow
+    return churn_flow(spark, sf)
+
+
+@query("s33_scouting_flow")
+def s33_scouting_flow(spark, sf):
+    from tabulon.plans.flows import scouting_flow
+    return scouting_flow(spark, sf)

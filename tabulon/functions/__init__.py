@@ -3,7 +3,6 @@ from tabulon.functions.ranking import (  # noqa: F401
     average_ranks,
     column_modes,
     exact_quantiles,
-    global_scalar,
     quantile_row,
     row_index,
     row_index_with_sizes,

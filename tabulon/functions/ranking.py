@@ -22,7 +22,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOCAL_BITS = 33
 
@@ -161,10 +160,5 @@ def average_ranks(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
     return g.withColumn(name, F.col("_ar") + 1).drop("_ar")
 
 
-def global_scalar(df: DataFrame, *aggs) -> DataFrame:
-    """One-row aggregate frame, safe to broadcast (its size is one row)."""
-    return F.broadcast(df.agg(*aggs))
-
-
 __all__ = ["row_index", "row_index_with_sizes", "unpivot_values", "exact_quantiles", "quantile_row", "column_modes",
-           "average_ranks", "global_scalar", "T"]
+           "average_ranks"]

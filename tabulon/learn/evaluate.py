@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.ranking import average_ranks, row_index, row_index_with_sizes
+from tabulon.functions.ranking import average_ranks, row_index_with_sizes
 
 
 # ----------------------------------------------------------------- T01
@@ -164,4 +164,4 @@ def comparison_table(df: DataFrame, key: str, y: str, pred: str, n: int = 20) ->
 
 __all__ = ["train_test_split", "kfold", "stratified_kfold", "regression_metrics", "cv_rmse",
            "rmse_original_scale", "classification_metrics", "roc_auc", "metrics_by_fold",
-           "cross_validated_scores", "comparison_table", "split_bucket", "row_index"]
+           "cross_validated_scores", "comparison_table", "split_bucket"]

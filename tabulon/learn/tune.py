@@ -13,12 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.learn.evaluate import classification_metrics, metrics_by_fold, regression_metrics
+from tabulon.learn.evaluate import metrics_by_fold, regression_metrics
 from tabulon.learn.models import assemble
 
 
@@ -168,7 +167,7 @@ class StackingRegressor(Estimator):
 
 
 __all__ = ["out_of_fold", "compare_models", "grid_search", "tune_models", "validation_curve",
-           "StackingRegressor", "classification_metrics"]
+           "StackingRegressor", "fold_moments", "ridge_grid_search"]
 
 
 # ----------------------------------------------------------------- T08 for ridge: one pass for the whole grid

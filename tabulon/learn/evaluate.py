@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.ranking import average_ranks, row_index_with_sizes
+from tabulon.functions.ranking import average_ranks, row_index
 
 
 # ----------------------------------------------------------------- T01
@@ -39,8 +39,8 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.25, seed: int
 def kfold(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
     """Unshuffled k-fold -- contiguous blocks in key order; the first n % k folds
     hold one row more (``KFold(shuffle=False)``)."""
-    ranked, sizes = row_index_with_sizes(df, [key], name="_r")
-    n = sizes.select("_n").scalar()
+    n = F.lit(df.count())  # one number; a scalar subquery over the sorted frame would sort again
+    ranked = row_index(df, [key], name="_r")
     q = F.floor(n / k)
     rem = n - q * k
     big = rem * (q + 1)
@@ -59,7 +59,8 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, name: str
     numbers) are computed on the side; the rows get their within-class position
     from the distributed row numbering.
     """
-    ranked, sizes = row_index_with_sizes(df, [key], group_cols=[label], name="_r")
+    ranked = row_index(df, [key], group_cols=[label], name="_r")
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
     start = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
     cls = sizes.withColumn("_start", start)  # one row per class

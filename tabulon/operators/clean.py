@@ -61,10 +61,8 @@ def outlier_columns(df: DataFrame, cols: Sequence[str], q1: float = 0.25, q3: fl
 def outlier_rows(df: DataFrame, col: str, key: str, q1: float = 0.25, q3: float = 0.75,
                  k: float = 1.5) -> DataFrame:
     """The rows outside the limits of ``col`` (key + value); the key replaces the pandas index."""
-    lim = outlier_limits(df, [col], q1, q3, k)
-    low = lim.select("low").scalar()
-    up = lim.select("up").scalar()
-    return df.where((F.col(col) < low) | (F.col(col) > up)).select(key, col)
+    lim = outlier_limits(df, [col], q1, q3, k).first()  # two numbers from one distributed sort
+    return df.where((F.col(col) < F.lit(lim["low"])) | (F.col(col) > F.lit(lim["up"]))).select(key, col)
 
 
 # ----------------------------------------------------------------- E05 / E06
@@ -132,9 +130,9 @@ def fill_from_column(df: DataFrame, col: str, other: str) -> DataFrame:
 
 
 def fill_median_of_other(df: DataFrame, col: str, other: str) -> DataFrame:
-    """Missing ``col`` gets the median of ``other`` (a scalar subquery)."""
-    med = exact_quantiles(df, [other], [0.5]).select("value").scalar()
-    return df.withColumn(col, F.coalesce(F.col(col), med))
+    """Missing ``col`` gets the median of ``other``."""
+    med = exact_quantiles(df, [other], [0.5]).first()["value"]  # one number from one distributed sort
+    return df.withColumn(col, F.coalesce(F.col(col), F.lit(med).cast(df.schema[col].dataType)))
 
 
 def value_to_null(df: DataFrame, cols: Sequence[str], value=0) -> DataFrame:

@@ -105,8 +105,8 @@ def salary(spark: SparkSession, sf: str) -> DataFrame:
     """Part attributes plus season (latest ship year) and career lineitem totals; target p_retailprice."""
     p = table(spark, sf, "part")
     li = table(spark, sf, "lineitem")
-    last_year = li.select(F.max(F.year("l_shipdate"))).scalar()
-    season = F.year("l_shipdate") == last_year
+    last_year = li.agg(F.max(F.year("l_shipdate"))).first()[0]  # one number
+    season = F.year("l_shipdate") == F.lit(last_year)
     per = li.groupBy("l_partkey").agg(
         F.count_if(season).alias("lines"),
         F.coalesce(F.sum(F.when(season, F.col("l_quantity"))), F.lit(0.0)).alias("qty"),

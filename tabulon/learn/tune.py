@@ -25,15 +25,26 @@ def _folds(df: DataFrame, fold: str) -> list[int]:
     return sorted(r[0] for r in df.select(fold).distinct().collect())  # k values
 
 
+def _parallel(fn, items, parallelism: int):
+    """Run independent fits on a thread pool, as ``CrossValidator(parallelism=...)`` does:
+    each thread submits its own Spark jobs and the scheduler interleaves their tasks."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def out_of_fold(estimator, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                keep: Sequence[str] = ()) -> DataFrame:
-    """Out-of-fold predictions: for each fold, fit on the other folds and score this one."""
+                keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+    """Out-of-fold predictions: for each fold, fit on the other folds and score this one
+    (folds fitted concurrently)."""
     pipe = Pipeline(stages=[assemble(features), estimator])
     base = df.select(*keep, *features, F.col(label).alias("label"), fold).cache()
-    parts = []
-    for f in _folds(base, fold):
+
+    def one(f):
         model = pipe.fit(base.where(F.col(fold) != f))
-        parts.append(model.transform(base.where(F.col(fold) == f)).select(*keep, "label", fold, "prediction"))
+        return model.transform(base.where(F.col(fold) == f)).select(*keep, "label", fold, "prediction")
+
+    parts = _parallel(one, _folds(base, fold), parallelism)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -104,17 +115,21 @@ def validation_curve(estimator, param: str, values: Sequence, df: DataFrame, fea
     data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"),
                                                    fold).cache()
     ev = RegressionEvaluator(labelCol="label", metricName=metric)
-    rows = []
     folds = _folds(data, fold)
+
+    def one(job):
+        v, f = job
+        m = estimator.copy({estimator.getParam(param): v}).fit(data.where(F.col(fold) != f))
+        return (v, ev.evaluate(m.transform(data.where(F.col(fold) != f))),
+                ev.evaluate(m.transform(data.where(F.col(fold) == f))))
+
+    scores = _parallel(one, [(v, f) for v in values for f in folds], 4)
+    rows = []
     for v in values:
-        est = estimator.copy({estimator.getParam(param): v})
-        tr_scores, va_scores = [], []
-        for f in folds:
-            m = est.fit(data.where(F.col(fold) != f))
-            tr_scores.append(ev.evaluate(m.transform(data.where(F.col(fold) != f))))
-            va_scores.append(ev.evaluate(m.transform(data.where(F.col(fold) == f))))
-        rows.append((str(v), "train", sum(tr_scores) / len(tr_scores)))
-        rows.append((str(v), "validation", sum(va_scores) / len(va_scores)))
+        tr = [t for vv, t, _ in scores if vv == v]
+        va = [a for vv, _, a in scores if vv == v]
+        rows.append((str(v), "train", sum(tr) / len(tr)))
+        rows.append((str(v), "validation", sum(va) / len(va)))
     return df.sparkSession.createDataFrame(rows, "value string, split string, score double")
 
 

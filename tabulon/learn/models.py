@@ -204,10 +204,11 @@ class AdaBoostSAMME(Estimator):
             alpha = self.learning_rate * (math.log((1 - err) / err) + math.log(K - 1))
             stumps.append(model)
             alphas.append(alpha)
+            # new total weight follows from this round's sums: no extra job to normalise
+            new_total = (row["t"] - row["e"]) + row["e"] * math.exp(alpha)
             d = p.select(self.featuresCol, self.labelCol,
-                         (F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)).alias("__w"))
-            tot = d.select(F.sum("__w")).scalar()
-            d = d.withColumn("__w", F.col("__w") / tot)
+                         (F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)
+                          / F.lit(new_total)).alias("__w"))
             if (m + 1) % self.checkpoint_every == 0:
                 d = d.checkpoint(eager=True)
         return AdaBoostSAMMEModel(stumps, alphas, classes, self.featuresCol)

@@ -302,3 +302,17 @@ def test_ridge_grid_search_matches_direct_fits(spark):
             rmses.append(np.sqrt((res ** 2).mean()))
         assert got[al][0] == pytest.approx(np.mean(r2s), rel=1e-9)
         assert got[al][1] == pytest.approx(np.mean(rmses), rel=1e-9)
+
+
+def test_adaboost_samme_learns_a_threshold(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from tabulon.learn.models import AdaBoostSAMME
+    rows = [(float(i), 1.0 if (i % 20) >= 12 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, label double")
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df.withColumn("x2", F.col("x") % 20))
+    df = VectorAssembler(inputCols=["x2"], outputCol="f2").transform(df).drop("features").withColumnRenamed("f2", "features")
+    model = AdaBoostSAMME(n_estimators=5, checkpoint_every=2).fit(df)
+    out = model.transform(df)
+    acc = out.where(F.col("prediction") == F.col("label")).count() / 200
+    assert set(r.prediction for r in out.select("prediction").distinct().collect()) <= {0.0, 1.0}
+    assert acc == 1.0

@@ -60,17 +60,18 @@ def product(cols: Sequence[str | Column]) -> Column:
 
 
 # ---------------------------------------------------------------- row statistics
-def _present(cols: Sequence[str | Column]) -> Column:
-    return F.filter(F.array(*[c(x).cast("double") for x in cols]), lambda v: v.isNotNull())
+# Written as plain column arithmetic (no lambda functions), so they stay in codegen.
+def _d(x):
+    return c(x).cast("double")
 
 
 def row_count(cols: Sequence[str | Column]) -> Column:
-    return F.size(_present(cols))
+    return reduce(operator.add, [F.when(_d(x).isNotNull(), F.lit(1)).otherwise(F.lit(0)) for x in cols])
 
 
 def row_sum(cols: Sequence[str | Column]) -> Column:
     """Sum skipping missing values; a row with nothing present sums to 0."""
-    return F.aggregate(_present(cols), F.lit(0.0), lambda acc, v: acc + v)
+    return reduce(operator.add, [F.coalesce(_d(x), F.lit(0.0)) for x in cols])
 
 
 def row_mean(cols: Sequence[str | Column]) -> Column:
@@ -80,10 +81,10 @@ def row_mean(cols: Sequence[str | Column]) -> Column:
 
 def row_std(cols: Sequence[str | Column]) -> Column:
     """Sample std (ddof=1) skipping missing values, two-pass like pandas."""
-    arr = _present(cols)
-    n = F.size(arr).cast("double")
-    mean = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v) / n
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    n = row_count(cols).cast("double")
+    mean = row_mean(cols)
+    ss = reduce(operator.add, [F.when(_d(x).isNotNull(), (_d(x) - mean) * (_d(x) - mean)).otherwise(F.lit(0.0))
+                               for x in cols])
     return F.when(n > 1, F.sqrt(ss / (n - 1)))
 
 
@@ -96,11 +97,14 @@ def row_max(cols: Sequence[str | Column]) -> Column:
 
 
 def row_median(cols: Sequence[str | Column]) -> Column:
-    arr = F.sort_array(_present(cols))
-    n = F.size(arr)
+    """Median skipping missing values: ``sort_array`` puts the nulls first, so the middle
+    of the present values is offset by the number of nulls."""
+    arr = F.sort_array(F.array(*[_d(x) for x in cols]))
+    n = row_count(cols)
+    off = F.lit(len(cols)) - n
     mid = F.floor(n / 2).cast("int")
-    odd = F.element_at(arr, mid + 1)
-    even = (F.element_at(arr, F.greatest(mid, F.lit(1))) + F.element_at(arr, mid + 1)) / 2.0
+    odd = F.element_at(arr, off + mid + 1)
+    even = (F.element_at(arr, off + F.greatest(mid, F.lit(1))) + F.element_at(arr, off + mid + 1)) / 2.0
     return F.when(n == 0, F.lit(None).cast("double")).when(n % 2 == 1, odd).otherwise(even)
 
 

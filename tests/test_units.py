@@ -316,3 +316,15 @@ def test_adaboost_samme_learns_a_threshold(spark):
     acc = out.where(F.col("prediction") == F.col("label")).count() / 200
     assert set(r.prediction for r in out.select("prediction").distinct().collect()) <= {0.0, 1.0}
     assert acc == 1.0
+
+
+def test_group_mean_and_merge_with_hot_key(spark):
+    # one key holds a third of the rows on the big side
+    rows = [(0 if i % 3 == 0 else i, float(i)) for i in range(3000)]
+    big = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    out = X.group_mean(big, "v", "k", "m").where("k = 0").select("m").distinct().collect()
+    assert len(out) == 1 and out[0].m == pytest.approx(sum(v for k, v in rows if k == 0) / 1000)
+    small = spark.createDataFrame([(0, "hot"), (1, "one"), (99999, "none")], "k int, tag string")
+    merged = S.outer_merge(big, small, ["k"])
+    assert merged.count() == 3000 + 1  # every big row once, plus the unmatched small row
+    assert merged.where("k = 0 and tag = 'hot'").count() == 1000

@@ -1,10 +1,9 @@
 from tabulon.functions.exprs import *  # noqa: F401,F403
 from tabulon.functions.ranking import (  # noqa: F401
-    average_ranks,
     column_modes,
     exact_quantiles,
-    quantile_row,
     row_index,
     row_index_with_sizes,
+    running_sums,
     unpivot_values,
 )

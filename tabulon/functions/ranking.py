@@ -1,19 +1,19 @@
-"""Distributed order statistics: row positions, exact quantiles, modes.
+"""Distributed order statistics: row positions, running sums, exact quantiles, modes.
 
 A global window (``Window.orderBy`` without ``partitionBy``) moves every row to
-one task.  These helpers get the same answers with a range-partitioned sort:
-
-1. ``repartitionByRange`` on the sort key (plus a row tiebreak so a value that
-   holds a third of the rows is still spread over many tasks),
-2. ``monotonically_increasing_id`` after ``sortWithinPartitions`` numbers the
-   rows inside each range partition,
-3. a per-(partition, group) count table turns local numbers into global
-   ones.  Each range partition holds one contiguous key range, so it meets at
-   most a few groups: the table has at most ``P + groups`` rows, the proven
-   bound of its broadcast.
-
-Both uses of the sorted frame sit in one plan, so Spark reuses the exchange
-and the data are sorted once.
+one task.  These helpers get the same answers from a range-partitioned sort
+whose result is first written as a table in the shared folder
+(``spark.checkpoint.dir``):
+
+1. ``repartitionByRange`` on the sort key (plus a row tiebreak, so that a value
+   that holds a third of the rows is still spread over many tasks), sorted
+   inside each range, with the range's number and the row's number in it;
+2. the written table is what both later steps read, so positions do not depend
+   on whether Spark reuses an exchange, samples the same boundaries twice or
+   runs a task again;
+3. a per-(range, group) table of counts turns numbers in a range into global
+   ones.  A range holds a contiguous stretch of keys, so that table has at most
+   ``ranges + groups`` rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.session import scratch_path
+
 _LOCAL_BITS = 33
 
 
@@ -32,29 +34,60 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _ranked(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str],
-            name: str, num_partitions: int | None, tiebreak: bool):
-    groups = list(group_cols)
-    keys = groups + list(order_cols)
-    p = _num_partitions(df, num_partitions)
+def _frozen_sort(df: DataFrame, keys: Sequence[str], num_partitions: int | None, tiebreak: bool) -> DataFrame:
+    """``df`` in key order as a written table: ``_pid`` numbers the range, ``_mid`` the row."""
+    keys = list(keys)
     d = df
     if tiebreak:
         d = d.withColumn("_tb", F.monotonically_increasing_id())
         keys = keys + ["_tb"]
-    d = (d.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
+    d = (d.repartitionByRange(_num_partitions(df, num_partitions), *keys).sortWithinPartitions(*keys)
          .withColumn("_mid", F.monotonically_increasing_id())
          .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)))
+    if tiebreak:
+        d = d.drop("_tb")
+    path = scratch_path(df.sparkSession, "sorted")
+    d.write.parquet(path)
+    return df.sparkSession.read.schema(d.schema).parquet(path)
+
+
+def _ranked(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str],
+            name: str, num_partitions: int | None, tiebreak: bool):
+    groups = list(group_cols)
+    d = _frozen_sort(df, groups + list(order_cols), num_partitions, tiebreak)
     stats = d.groupBy("_pid", *groups).agg(F.min("_mid").alias("_first"),
                                           F.count(F.lit(1)).alias("_cnt"))
     spec = Window.partitionBy(*groups) if groups else Window.partitionBy()
     before = spec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    out = d.join(F.broadcast(stats.select("_pid", *groups, "_first", "_off")),
-                 on=["_pid", *groups], how="inner")
+    same = F.lit(True)
+    side = stats.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_first", "_off")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = d.join(side, (F.col("_pid") == F.col("_p")) & same, "inner")
     out = out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
-    drop = ["_pid", "_first", "_off", "_mid"] + (["_tb"] if tiebreak else [])
     sizes = stats.groupBy(*groups).agg(F.sum("_cnt").alias("_n"))
-    return out.drop(*drop), sizes
+    return out.select(*df.columns, name), sizes
+
+
+def running_sums(df: DataFrame, order_cols: Sequence[str], sums: Sequence[str], name: str = "_rn",
+                 num_partitions: int | None = None) -> DataFrame:
+    """0-based position ``name`` and, for each column s of ``sums``, ``{s}_before``: the sum of the rows before.
+
+    ``order_cols`` should identify a row; rows equal in all of them follow one another in some order.
+    """
+    d = _frozen_sort(df, order_cols, num_partitions, False)
+    per = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    off = per.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                     *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums])
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    out = d.withColumn("_in", F.row_number().over(Window.partitionBy("_pid").orderBy("_mid")) - 1)
+    for s in sums:
+        out = out.withColumn(f"_in_{s}", F.coalesce(F.sum(s).over(inside), F.lit(0)))
+    out = out.join(off, F.col("_pid") == F.col("_p"))
+    return out.select(*df.columns, (F.col("_off") + F.col("_in")).alias(name),
+                      *[(F.col(f"_off_{s}") + F.col(f"_in_{s}")).alias(f"{s}_before") for s in sums])
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -63,10 +96,7 @@ def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str
     """0-based position of each row within its group in ``order_cols`` order.
 
     Ties in ``order_cols`` are broken by a per-row id; callers that need tie
-    groups (average ranks) aggregate the positions afterwards.  ``group_cols``
-    must have few distinct values (classes, column names): the offset table has
-    at most ``P + groups`` rows (a range partition spans a contiguous key range)
-    and is broadcast.
+    groups (average ranks) aggregate the positions afterwards.
     """
     return _ranked(df, order_cols, group_cols, name, num_partitions, tiebreak)[0]
 
@@ -123,16 +153,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                       (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
 
 
-def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                 approx: bool = False) -> DataFrame:
-    """One-row frame with columns ``{col}__q{k}`` for the k-th prob (for broadcasting back)."""
-    q = exact_quantiles(df, cols, probs, approx=approx)
-    pos = F.array_position(F.array(*[F.lit(float(p)) for p in probs]), F.col("prob")) - 1
-    keyed = q.withColumn("_k", F.concat(F.col("feature"), F.lit("__q"), pos.cast("string")))
-    names = [f"{x}__q{i}" for x in cols for i in range(len(probs))]
-    return keyed.groupBy().pivot("_k", names).agg(F.first("value"))
-
-
 def column_modes(df: DataFrame, cols: Sequence[str], value_type: str = "string") -> DataFrame:
     """Most frequent non-null value per column, smallest value on ties (``mode()[0]``).
 
@@ -145,20 +165,4 @@ def column_modes(df: DataFrame, cols: Sequence[str], value_type: str = "string")
     return best.select("feature", F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("count"))
 
 
-def average_ranks(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
-    """1-based ranks with ties averaged, computed without a single-partition window.
-
-    Rows are numbered in a distributed sort, then each tie group gets the mean
-    of its positions.  Returns one row per distinct score with ``rank``, the
-    number of rows ``n`` and any summed ``_pos`` column the caller provided.
-    """
-    ranked = row_index(df, [score], name="_r")
-    agg = [F.avg("_r").alias("_ar"), F.count(F.lit(1)).alias("n")]
-    if "_pos" in df.columns:
-        agg.append(F.sum("_pos").alias("_pos"))
-    g = ranked.groupBy(score).agg(*agg)
-    return g.withColumn(name, F.col("_ar") + 1).drop("_ar")
-
-
-__all__ = ["row_index", "row_index_with_sizes", "unpivot_values", "exact_quantiles", "quantile_row", "column_modes",
-           "average_ranks"]
+__all__ = ["row_index", "row_index_with_sizes", "running_sums", "unpivot_values", "exact_quantiles", "column_modes"]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.ranking import average_ranks, row_index
+from tabulon.functions.ranking import row_index, running_sums
 
 
 # ----------------------------------------------------------------- T01
@@ -123,12 +123,15 @@ def classification_metrics(df: DataFrame, y: str, pred: str, score: str | None =
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Exact ROC AUC: (sum of positive ranks - P(P+1)/2) / (P N), ties averaged.
 
-    Ranks come from a range-partitioned sort, so no single task sees all rows.
+    Rows are first counted per distinct score; the average rank of a score is the
+    number of rows below it plus half of its own, from running sums over the
+    distinct scores.
     """
     d = df.select(F.col(score).cast("double").alias("_s"), F.col(y).cast("int").alias("_pos"))
-    r = average_ranks(d, "_s")
-    agg = r.agg(F.sum(F.col("rank") * F.col("_pos")).alias("rs"), F.sum("_pos").alias("P"),
-                F.sum("n").alias("N_all"))
+    g = d.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), F.sum("_pos").alias("_pos"))
+    r = running_sums(g, ["_s"], ["n"])
+    rank = F.col("n_before") + (F.col("n") + 1) / 2
+    agg = r.agg(F.sum(rank * F.col("_pos")).alias("rs"), F.sum("_pos").alias("P"), F.sum("n").alias("N_all"))
     P, N = F.col("P"), F.col("N_all") - F.col("P")
     return agg.select(((F.col("rs") - P * (P + 1) / 2) / (P * N)).alias("auc"))
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
+from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
 
 QUERIES = {
     "op8_mix_sources": op8_mix_sources,
+    "op9_divergence_rules": op9_divergence_rules,
 }
 
 ORACLE = {
     "op8_mix_sources": OP8_SQL,
+    "op9_divergence_rules": OP9_SQL,
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +33,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_aware_join(big: DataFrame, small: DataFrame, on: str | list[str], hot: DataFrame, how: str = "left") -> DataFrame:
-    """Join where ``hot`` names the keys that hold many rows of ``big``.
+def hot_aware_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Left join to ``small`` (one row a key) where the keys in ``hot`` hold many rows of ``big``.
 
     ``hot`` must be bounded by construction (keys with at least a fixed share of
-    all rows).  Rows of hot keys meet ``small`` by broadcast of just the hot
-    part; the others by an ordinary join.
+    all rows).  Rows of hot keys get their match by a broadcast of the hot part
+    of ``small`` and are then dealt by ``spread`` columns, not by their key; the
+    others meet ``small`` in an ordinary join.
     """
-    on = [on] if isinstance(on, str) else on
-    flag = F.broadcast(hot.select(*on).withColumn("__hot", F.lit(True)))
-    tagged = big.join(flag, on, "left")
-    cold = tagged.where(F.col("__hot").isNull()).drop("__hot")
-    warm = tagged.where(F.col("__hot").isNotNull()).drop("__hot")
-    hot_small = small.join(F.broadcast(hot.select(*on)), on, "left_semi")
-    return cold.join(small, on, how).unionByName(warm.join(F.broadcast(hot_small), on, how))
+    values = [c for c in small.columns if c not in on]
+    few = small.join(F.broadcast(hot.select(*on)), on, "left_semi")
+    few = few.select(*on, F.struct(*values).alias("__warm"))
+    tagged = big.join(F.broadcast(few), on, "left")
+    tagged = tagged.withColumn("__deal", F.when(F.col("__warm").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(4096)) + 1))
+    rest = small.select(*on, F.lit(0).cast("long").alias("__deal"), F.struct(*values).alias("__cold"))
+    joined = tagged.join(rest, [*on, "__deal"], "left")
+    both = [F.coalesce(F.col(f"__warm.{v}"), F.col(f"__cold.{v}")).alias(v) for v in values]
+    return joined.select(*big.columns, *both)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         if batch.num_rows == 0:
             continue
         col = batch.column(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths.astype(np.int64))
         at = 0
         while at < batch.num_rows:
@@ -66,7 +70,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
 
 def utf8_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
-    col = pa.compute.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
+    col = pc.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     col = col.cast(pa.large_binary())
     off = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset: col.offset + len(col) + 1]
     raw = col.buffers()[2]

@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total: floa
     else:
         rows = targets.agg(F.sum("n_rows")).first()[0]
         hot = targets.where(F.col("n_rows") >= rows / 1000.0)  # at most 1,000 sources
-        joined = hot_aware_join(row, targets, on, hot)
+        joined = hot_aware_join(row, targets, on, hot, [f"row.{id_col}"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (uniform(F.col(f"row.{id_col}"), seed) < rate - F.floor(rate)).cast("long")
     return joined.select("row.*", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
+from tabulon.llm.pack import op7_pack_pow2
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
+from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
 QUERIES = {
+    "op5_wacz": op5_wacz,
+    "op7_pack_pow2": op7_pack_pow2,
     "op8_mix_sources": op8_mix_sources,
     "op9_divergence_rules": op9_divergence_rules,
 }
 
 ORACLE = {
+    "op5_wacz": OP5_SQL,
     "op8_mix_sources": OP8_SQL,
     "op9_divergence_rules": OP9_SQL,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
 from tabulon.llm.pack import op7_pack_pow2
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
+from tabulon.llm.simhash import op6_golay_simhash
 from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
 QUERIES = {
     "op5_wacz": op5_wacz,
+    "op6_golay_simhash": op6_golay_simhash,
     "op7_pack_pow2": op7_pack_pow2,
     "op8_mix_sources": op8_mix_sources,
     "op9_divergence_rules": op9_divergence_rules,

@@ -6,9 +6,11 @@ from tabulon.llm.mix import OP8_SQL, op8_mix_sources
 from tabulon.llm.pack import op7_pack_pow2
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
 from tabulon.llm.simhash import op6_golay_simhash
+from tabulon.llm.topk import OP2_SQL, op2_pivot_topk
 from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
 QUERIES = {
+    "op2_pivot_topk": op2_pivot_topk,
     "op5_wacz": op5_wacz,
     "op6_golay_simhash": op6_golay_simhash,
     "op7_pack_pow2": op7_pack_pow2,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_pivot_topk": OP2_SQL,
     "op5_wacz": OP5_SQL,
     "op8_mix_sources": OP8_SQL,
     "op9_divergence_rules": OP9_SQL,

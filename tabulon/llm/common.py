@@ -52,7 +52,8 @@ def hot_aware_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFra
     return joined.select(*big.columns, *both)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES,
+                max_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column`` (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -64,6 +65,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
+            to = min(to, at + max_rows)
             yield batch.slice(at, to - at)
             at = to
 
@@ -120,5 +122,10 @@ class Words:
             self.vocabulary = coded.dictionary
 
 
+def remainder(id_col: str, of: int):
+    """crc32 of an id as text, modulo ``of``; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tabulon.llm.langid import op4_string_kernel_langid
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
 from tabulon.llm.pack import op7_pack_pow2
+from tabulon.llm.quality import op3_attention_quality
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
 from tabulon.llm.simhash import op6_golay_simhash
 from tabulon.llm.topk import OP2_SQL, op2_pivot_topk
@@ -11,6 +13,8 @@ from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
 QUERIES = {
     "op2_pivot_topk": op2_pivot_topk,
+    "op3_attention_quality": op3_attention_quality,
+    "op4_string_kernel_langid": op4_string_kernel_langid,
     "op5_wacz": op5_wacz,
     "op6_golay_simhash": op6_golay_simhash,
     "op7_pack_pow2": op7_pack_pow2,

@@ -8,6 +8,7 @@ from tabulon.llm.pack import op7_pack_pow2
 from tabulon.llm.quality import op3_attention_quality
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
 from tabulon.llm.simhash import op6_golay_simhash
+from tabulon.llm.suffix import op10_suffix_dedup
 from tabulon.llm.topk import OP2_SQL, op2_pivot_topk
 from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_pack_pow2": op7_pack_pow2,
     "op8_mix_sources": op8_mix_sources,
     "op9_divergence_rules": op9_divergence_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {

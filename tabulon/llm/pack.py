@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -28,66 +29,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Words, read_table, text_slices
+from tabulon.llm.common import SLICE_BYTES, Words, read_table, text_slices
 
 MAX_TOKENS = 4096
 END_ID = 2
-CACHE_WORDS = 1_000_000  # encoded words that a Python worker remembers
+CACHE_WORDS = 2_000_000  # encoded words that a Python worker remembers
 
 PIECE_COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """ids of words, each encoded once while it stays in the memory of ``CACHE_WORDS`` words."""
+    """Ids of words.  Each is encoded once while it stays in the memory of about ``CACHE_WORDS`` words:
+    ``place`` numbers the words, ``start`` and ``size`` give their stretch of ``pool``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
         words = ["Aa", "b1,", "it's", "é..", "x"]
         whole = self._encode([" \n".join(words)])[0].ids
         if whole != [i for e in self._encode(words) for i in e.ids]:
             raise ValueError("this tokenizer joins text across white space; encode whole texts instead")
-        self.word_ends = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.word_ends[i] = token.endswith("</w>")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _plain(self, words: list[str]) -> list[np.ndarray] | None:
-        """Ids of words of letters only: encoded as one text, cut after each id that ends a word."""
-        ids = np.array(self._encode([" ".join(words)])[0].ids, dtype=np.uint32)
+    def _remember(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.place)
+        self.place.update(zip(words, range(known, known + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+
+    def _add(self, words: list[bytes], texts: list[str]) -> None:
+        found = [e.ids for e in self._encode(texts)]
+        self._remember(words, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _add_letters(self, words: list[bytes], texts: list[str]) -> None:
+        """Words of letters only: encoded as one text, cut after each id that ends a word."""
+        ids = np.array(self._encode([" ".join(texts)])[0].ids, dtype=np.uint32)
         ends = np.flatnonzero(self.word_ends[ids]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            return None  # a letter that the normalizer takes apart
-        return np.split(ids, ends[:-1])
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        text = {w: w.decode() for w in new}
-        # "word," is the word's ids and the mark's
-        marks = {w: t[-1] for w, t in text.items() if len(t) > 1 and t[-1] in ".,;:!?" and t[:-1].isalpha()}
-        plain = {t for t in text.values() if t.isalpha()} | {text[w][:-1] for w in marks}
-        plain = sorted(t for t in plain if t.encode() not in known)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at: at + 20_000]
-            found = self._plain(some) or [np.array(e.ids, np.uint32) for e in self._encode(some)]
-            known.update((t.encode(), i) for t, i in zip(some, found, strict=True))
-        for mark in set(marks.values()):
-            if mark.encode() not in known:
-                known[mark.encode()] = np.array(self._encode([mark])[0].ids, np.uint32)
-        for w, mark in marks.items():
-            known[w] = np.concatenate([known[text[w][:-1].encode()], known[mark.encode()]])
-        rest = [w for w in new if w not in known]
-        for at in range(0, len(rest), 20_000):
-            some = rest[at: at + 20_000]
-            known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(some, self._encode([text[w] for w in some]), strict=True))
-        return [known[w] for w in words]
+        if len(ends) != len(words) or ends[-1] != len(ids):  # a letter that the normalizer takes apart
+            self._add(words, texts)
+        else:
+            self._remember(words, ids, np.diff(ends, prepend=0))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words one after the other, offsets of the words in them)."""
+        size = self.size[places]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.pool[np.repeat(self.start[places] - total[:-1], size) + np.arange(total[-1])], total
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Places of words, for :meth:`gather`."""
+        if len(self.place) > CACHE_WORDS:
+            self._forget()
+        place = self.place
+        at = list(map(place.get, words))
+        new = [w for w, k in zip(words, at, strict=True) if k is None]
+        texts = [w.decode() for w in new]
+        letters, marked, rest = {}, [], []
+        for w, t in zip(new, texts, strict=True):
+            if t.isalpha():
+                letters[w] = t
+            elif t[-1] in ".,;:!?" and t[:-1].isalpha():  # the word's ids and the mark's
+                marked.append((w, w[:-1], w[-1:]))
+                if w[:-1] not in place:
+                    letters[w[:-1]] = t[:-1]
+            else:
+                rest.append((w, t))
+        for some in batched(letters.items(), 50_000):
+            self._add_letters([w for w, _ in some], [t for _, t in some])
+        marks = [m for m in {m for _, _, m in marked} if m not in place]
+        self._add(marks, [m.decode() for m in marks])
+        rest = [(w, t) for w, t in rest if w not in place]
+        self._add([w for w, _ in rest], [t for _, t in rest])
+        if marked:
+            both = np.array([(place[core], place[m]) for _, core, m in marked])
+            ids, total = self.gather(both.ravel())
+            self._remember([w for w, _, _ in marked], ids, np.diff(total[::2]))
+        return np.array([place[w] if k is None else k for w, k in zip(words, at, strict=True)], np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -98,13 +127,8 @@ def word_encoder(path: str) -> WordEncoder:
 def encode_texts(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, each with its end id; offsets of the texts in them)."""
     words = Words(col)
-    per_word = word_encoder(path)(words.vocabulary.to_pylist())
-    lengths = np.array([len(x) for x in per_word], dtype=np.int64)
-    pool = np.concatenate([*per_word, np.zeros(0, np.uint32)])
-    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    n = lengths[words.codes]
-    total = np.concatenate([[0], np.cumsum(n)])
-    ids = pool[np.repeat(first[words.codes] - total[:-1], n) + np.arange(total[-1])]
+    encoder = word_encoder(path)
+    ids, total = encoder.gather(encoder(words.vocabulary.to_pylist())[words.codes])
     offsets = total[words.edges] + np.arange(len(words.edges))  # an end id for each text before
     out = np.full(offsets[-1], end_id, np.uint32)
     doc_of = np.repeat(np.arange(len(words.counts)), np.diff(total[words.edges]))
@@ -120,7 +144,7 @@ def piece_lengths(tokens: int, max_tokens: int) -> list[int]:
 def _packer(path: str, max_tokens: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = TaskContext.get().partitionId(), [0] * max_tokens.bit_length()
-        for b in text_slices(batches, "__text"):
+        for b in text_slices(batches, "__text", 2 * SLICE_BYTES):
             ids, offsets = encode_texts(b.column("__text"), path, end_id)
             doc, start, length, numbers = [], [], [], []
             for k, n in enumerate(np.diff(offsets).tolist()):

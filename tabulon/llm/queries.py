@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabulon.llm.langid import op4_string_kernel_langid
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
 from tabulon.llm.pack import op7_pack_pow2
+from tabulon.llm.passages import op1_compact_windows
 from tabulon.llm.quality import op3_attention_quality
 from tabulon.llm.rules import OP9_SQL, op9_divergence_rules
 from tabulon.llm.simhash import op6_golay_simhash
@@ -13,6 +14,7 @@ from tabulon.llm.topk import OP2_SQL, op2_pivot_topk
 from tabulon.llm.wacz import OP5_SQL, op5_wacz
 
 QUERIES = {
+    "op1_compact_windows": op1_compact_windows,
     "op2_pivot_topk": op2_pivot_topk,
     "op3_attention_quality": op3_attention_quality,
     "op4_string_kernel_langid": op4_string_kernel_langid,

@@ -447,7 +447,7 @@ def _shared_windows(texts: list[bytes], places: np.ndarray, group: np.ndarray, o
         yield int(places[k]), int(x[a] - begin[k]), int(x[z] - begin[k]) + 1
 
 
-def _remover():
+def _remover(as_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             b = b.filter(pc.invert(b.column("partner")))  # here, so that the exchange before it is the same for both readers
@@ -463,7 +463,7 @@ def _remover():
                 removed.append(gone)
                 runs.append(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                [b.column("row"), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
                 names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return remove
@@ -495,8 +495,9 @@ def _spans_of_hot(src: DataFrame, hot: np.ndarray, min_bytes: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text",
-                 keep: list[str] | None = None, hot_least: float = 100.0, hot_share: float = 0.25) -> DataFrame:
+                 keep: list[str] | None = None, as_text: bool = False, hot_least: float = 100.0, hot_share: float = 0.25) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``kept`` (binary: the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``.
+    With ``as_text``, ``kept`` is a string: characters of which a part was removed go as a whole.
 
     A document is known by its id and the 64-bit hash of its text.  An anchor is hot with ``hot_share`` of a
     partition's even part of all occurrences, and ``hot_least`` of them.
@@ -544,9 +545,9 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
         spans = both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
     kind = src.schema["row"].dataType.simpleString()
     left = moved.join(spans, ["k1", "k2"], "left").mapInArrow(
-        _remover(), f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+        _remover(as_text), f"row {kind}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     size = F.octet_length("text").cast("long")
-    away = copies.select("row", F.lit(b"").alias("kept"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
+    away = copies.select("row", F.lit("" if as_text else b"").alias("kept"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
     return left.unionByName(away).select("row.*", *own)
 
 

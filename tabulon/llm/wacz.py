@@ -62,9 +62,13 @@ def read_end(file) -> tuple[int, int, int]:
     size = file.size()
     tail_at = max(0, size - END_SIZE - FULL16)
     tail = file.read_at(size - tail_at, tail_at)
+
+    def is_end(at: int) -> bool:  # else these bytes stand in the comment
+        return at + END_SIZE <= len(tail) and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
+
     at = tail.rfind(END_SIGNATURE)
-    while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END_SIGNATURE, 0, at)  # these bytes stand in the comment
+    while at >= 0 and not is_end(at):
+        at = tail.rfind(END_SIGNATURE, 0, at + 3)
     if at < 0:
         raise ValueError("no end of a ZIP directory")
     entries, length, offset = struct.unpack_from("<HII", tail, at + 10)

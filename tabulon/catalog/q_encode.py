@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabulon.catalog import R, query, rounded
 from tabulon.operators import encode as G
 from tabulon.sources.io import table
@@ -12,17 +14,21 @@ P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 @query("g01_label_encoder", """select l_orderkey, l_linenumber,
   cast(dense_rank() over (order by l_linestatus) - 1 as integer) as l_linestatus,
-  cast(dense_rank() over (order by l_returnflag) - 1 as integer) as l_returnflag from lineitem""")
+  cast(dense_rank() over (order by l_returnflag) - 1 as integer) as l_returnflag,
+  cast(dense_rank() over (order by l_quantity) - 1 as integer) as l_quantity,
+  cast(dense_rank() over (order by l_partkey) - 1 as integer) as l_partkey from lineitem""")
 def g01_label_encoder(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
-    return G.LabelEncoder(inputCols=["l_linestatus", "l_returnflag"]).fit(li).transform(li)
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag",
+                                             "l_quantity", "l_partkey")
+    return G.LabelEncoder(inputCols=["l_linestatus", "l_returnflag", "l_quantity", "l_partkey"]).fit(li).transform(li)
 
 
-@query("g02_one_hot", "select p_partkey, p_size, " + ", ".join(
-    f"case when p_type = '{v}' then 1 else 0 end as p_type_{v}" for v in P_TYPES[1:]) + " from part")
+@query("g02_one_hot", "select p_partkey, " + ", ".join(
+    [f"case when p_type = '{v}' then 1 else 0 end as p_type_{v}" for v in P_TYPES[1:]]
+    + [f"case when p_size % 12 = {v} then 1 else 0 end as p_size_{v}" for v in range(1, 12)]) + " from part")
 def g02_one_hot(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
-    return G.OneHotEncoder(inputCols=["p_type"]).fit(p).transform(p)
+    p = table(spark, sf, "part").select("p_partkey", "p_type", (F.col("p_size") % 12).alias("p_size"))
+    return G.OneHotEncoder(inputCols=["p_type", "p_size"]).fit(p).transform(p)
 
 
 @query("g03_standard_scaler", f"""select l_orderkey, l_linenumber,

@@ -23,13 +23,13 @@ def t01_train_test_split(spark, sf):
     return tr.withColumn("part", F.lit("train")).unionByName(te.withColumn("part", F.lit("test")))
 
 
-@query("t02_kfold", """select o_orderkey, cast(case when r < rem * (q + 1) then floor(r / (q + 1))
+@query("t02_kfold", """select o_orderkey, o_custkey, o_orderdate, o_totalprice, cast(case when r < rem * (q + 1) then floor(r / (q + 1))
   else rem + floor((r - rem * (q + 1)) / q) end as integer) as fold
-from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as r,
+from (select o_orderkey, o_custkey, o_orderdate, o_totalprice, row_number() over (order by o_orderkey) - 1 as r,
              floor(count(*) over () / 5) as q, count(*) over () - floor(count(*) over () / 5) * 5 as rem
       from orders)""")
 def t02_kfold(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     return T.kfold(o, "o_orderkey", 5)
 
 
@@ -40,17 +40,17 @@ def _strat_sql(k=5):
                  for j in range(i + 1)]
         ends.append(" + ".join(terms))
     cases = " + ".join(f"case when r >= ({e}) then 1 else 0 end" for e in ends)
-    return f"""with c as (select o_orderstatus, count(*) as n from orders group by o_orderstatus),
-s as (select o_orderstatus, n, coalesce(sum(n) over (order by o_orderstatus rows between unbounded preceding
+    return f"""with c as (select o_orderstatus, count(*) as n, min(o_orderkey) as f from orders group by o_orderstatus),
+s as (select o_orderstatus, n, coalesce(sum(n) over (order by f rows between unbounded preceding
       and 1 preceding), 0) as s from c),
-r as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as r
+r as (select o_orderkey, o_orderstatus, o_custkey, o_totalprice, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as r
       from orders)
-select r.o_orderkey, r.o_orderstatus, cast({cases} as integer) as fold from r join s using (o_orderstatus)"""
+select r.o_orderkey, r.o_orderstatus, r.o_custkey, r.o_totalprice, cast({cases} as integer) as fold from r join s using (o_orderstatus)"""
 
 
 @query("t03_stratified_kfold", _strat_sql(5))
 def t03_stratified_kfold(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice")
     return T.stratified_kfold(o, "o_orderkey", "o_orderstatus", 5)
 
 
@@ -58,7 +58,12 @@ def _cp_folds(spark, sf):
     return classification_preds(spark, sf).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
 
 
-@query("t04_cross_validate", f"""select {R('avg(accuracy)')} as accuracy, {R('avg(precision)')} as precision,
+@query("t04_cross_validate", f"""with rk as (select doc_id % 5 as fold, y,
+    rank() over (partition by doc_id % 5 order by score)
+      + (count(*) over (partition by doc_id % 5, score) - 1) / 2.0 as rnk from {CP}),
+  a as (select avg(auc) as auc from (select fold, (sum(rnk) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0)
+        / (sum(y) * (count(*) - sum(y))) as auc from rk group by fold))
+select {R('any_value(a.auc)')} as auc, {R('avg(accuracy)')} as accuracy, {R('avg(precision)')} as precision,
   {R('avg(recall)')} as recall, {R('avg(f1)')} as f1 from (
   select fold, accuracy, precision, recall,
     case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1 from (
@@ -67,9 +72,9 @@ def _cp_folds(spark, sf):
       case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall from (
       select doc_id % 5 as fold, count(*) filter (where y = 1 and pred = 1) as tp,
         count(*) filter (where y = 0 and pred = 1) as fp, count(*) filter (where y = 1 and pred = 0) as fn,
-        count(*) filter (where y = 0 and pred = 0) as tn, count(*) as n from {CP} group by 1)))""")
+        count(*) filter (where y = 0 and pred = 0) as tn, count(*) as n from {CP} group by 1))), a""")
 def t04_cross_validate(spark, sf):
-    return rounded(T.cross_validated_scores(_cp_folds(spark, sf), "y", "pred"))
+    return rounded(T.cross_validated_scores(_cp_folds(spark, sf), "y", "pred", score="score"))
 
 
 @query("t05_cv_rmse", f"""select {R('avg(rmse)')} as cv_rmse, count(*) as folds from (

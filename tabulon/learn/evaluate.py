@@ -52,18 +52,18 @@ def kfold(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, name: str = "fold") -> DataFrame:
     """``StratifiedKFold(shuffle=False)``.
 
-    Classes in sorted order occupy consecutive blocks of the sorted label
-    vector; fold i takes every k-th position starting at i, which fixes how many
-    rows of each class go to each fold.  Within a class, rows in key order fill
-    fold 0 first, then fold 1, ...  Only the per-class boundaries (classes x k
-    numbers) are computed on the side; the rows get their within-class position
-    from the distributed row numbering.
+    Classes, in order of their first row (smallest key), occupy consecutive blocks
+    of the label vector; fold i takes every k-th position starting at i, which
+    fixes how many rows of each class go to each fold.  Within a class, rows in key
+    order fill fold 0 first, then fold 1, ...  Only the per-class boundaries
+    (classes x k numbers) are computed on the side; the rows get their within-class
+    position from the distributed row numbering.
     """
     ranked = row_index(df, [key], group_cols=[label], name="_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    start = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)),
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))  # one row per class
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
-    cls = sizes.withColumn("_start", start)  # one row per class
+    cls = sizes.withColumn("_start", start)
 
     def below(x, i):  # positions p in [0, x) with p = i (mod k)
         return F.greatest(F.floor((x - i + (k - 1)) / k), F.lit(0))
@@ -74,10 +74,10 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, name: str
     for a in alloc:
         acc = a if acc is None else acc + a
         ends.append(acc)
-    bounds = cls.select(label, F.array(*ends).alias("_ends"))
-    out = ranked.join(F.broadcast(bounds), label)  # classes rows
+    bounds = cls.select(F.col(label).alias("_class"), F.array(*ends).alias("_ends"))
+    out = ranked.join(bounds, F.col(label).eqNullSafe(F.col("_class")))  # Spark broadcasts it when it is small
     fold = F.size(F.filter("_ends", lambda e: e <= F.col("_r")))
-    return out.withColumn(name, fold.cast("int")).drop("_r", "_ends")
+    return out.withColumn(name, fold.cast("int")).select(*df.columns, name)
 
 
 # ----------------------------------------------------------------- T05 / T06 / T11
@@ -120,24 +120,25 @@ def classification_metrics(df: DataFrame, y: str, pred: str, score: str | None =
     return out
 
 
-def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Exact ROC AUC: (sum of positive ranks - P(P+1)/2) / (P N), ties averaged.
+def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ROC AUC (per group of ``by``): (sum of positive ranks - P(P+1)/2) / (P N), ties averaged.
 
     Rows are first counted per distinct score; the average rank of a score is the
     number of rows below it plus half of its own, from running sums over the
     distinct scores.
     """
-    d = df.select(F.col(score).cast("double").alias("_s"), F.col(y).cast("int").alias("_pos"))
-    g = d.groupBy("_s").agg(F.count(F.lit(1)).alias("n"), F.sum("_pos").alias("_pos"))
-    r = running_sums(g, ["_s"], ["n"])
+    d = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(y).cast("int").alias("_pos"))
+    g = d.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("_pos").alias("_pos"))
+    r = running_sums(g, [*by, "_s"], ["n"])
     rank = F.col("n_before") + (F.col("n") + 1) / 2
-    agg = r.agg(F.sum(rank * F.col("_pos")).alias("rs"), F.sum("_pos").alias("P"), F.sum("n").alias("N_all"))
+    agg = r.groupBy(*by).agg(F.sum(rank * F.col("_pos")).alias("rs"), F.sum("_pos").alias("P"), F.sum("n").alias("N_all"),
+                             F.min("n_before").alias("before"))
     P, N = F.col("P"), F.col("N_all") - F.col("P")
-    return agg.select(((F.col("rs") - P * (P + 1) / 2) / (P * N)).alias("auc"))
+    return agg.select(*by, ((F.col("rs") - F.col("before") * P - P * (P + 1) / 2) / (P * N)).alias("auc"))
 
 
-def metrics_by_fold(df: DataFrame, y: str, pred: str, fold: str = "fold") -> DataFrame:
-    """T04 on a table of out-of-fold predictions: per-fold accuracy / precision / recall / F1."""
+def metrics_by_fold(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None) -> DataFrame:
+    """T04 on a table of out-of-fold predictions: per-fold accuracy / precision / recall / F1, and AUC with ``score``."""
     yy, pp = F.col(y).cast("int"), F.col(pred).cast("int")
     g = df.groupBy(fold).agg(F.count_if((yy == 1) & (pp == 1)).alias("tp"),
                              F.count_if((yy == 0) & (pp == 1)).alias("fp"),
@@ -148,15 +149,16 @@ def metrics_by_fold(df: DataFrame, y: str, pred: str, fold: str = "fold") -> Dat
     rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     g = g.select(fold, ((F.col("tp") + tn) / F.col("n")).alias("accuracy"), prec.alias("precision"),
                  rec.alias("recall"))
-    return g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                     2 * F.col("precision") * F.col("recall") /
-                                     (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    g = g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                  2 * F.col("precision") * F.col("recall") /
+                                  (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    return g.join(roc_auc(df, y, score, [fold]), fold) if score else g
 
 
-def cross_validated_scores(df: DataFrame, y: str, pred: str, fold: str = "fold") -> DataFrame:
-    """Mean over folds of accuracy, precision, recall and F1."""
-    return metrics_by_fold(df, y, pred, fold).agg(*[F.avg(m).alias(m) for m in
-                                                   ["accuracy", "precision", "recall", "f1"]])
+def cross_validated_scores(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None) -> DataFrame:
+    """Mean over folds of accuracy, precision, recall and F1, and of AUC with ``score``."""
+    names = ["accuracy", "precision", "recall", "f1"] + (["auc"] if score else [])
+    return metrics_by_fold(df, y, pred, fold, score).agg(*[F.avg(m).alias(m) for m in names])
 
 
 # ----------------------------------------------------------------- T13

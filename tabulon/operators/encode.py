@@ -4,68 +4,58 @@ MLlib's own stages differ from the reference in ways that change results
 (``StandardScaler`` divides by the sample std, ``MinMaxScaler`` maps a constant
 column to 0.5, ``OneHotEncoder`` drops the last level, ``StringIndexer`` orders
 by frequency), so these are small Estimators of their own.  Fitting is one
-aggregation (scalers) or one grouped distinct (encoders, level lists capped by
-``maxLevels``); transforming is a single projection.
+aggregation (scalers) or a distinct (encoders); transforming is a projection, or
+for label codes a join with their table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.ranking import unpivot_values
+from tabulon.functions.ranking import row_index
 from tabulon.operators._mlbase import ColumnsEstimator, ColumnsModel
+from tabulon.session import scratch_path
 
 
-def _levels(df: DataFrame, cols: Sequence[str], cap: int) -> dict[str, list]:
-    """Sorted distinct non-null levels per column; raises above ``cap`` levels (bounded state).
-
-    Levels are counted with a grouped aggregation first; only when every column is
-    within the cap are the (at most ``cap``) levels per column brought to the driver.
-    """
-    long = unpivot_values(df, cols, value_type="string", val="level")
-    distinct = long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("_c"))
-    too_many = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).collect()
-    if too_many:
-        r = too_many[0]
-        raise ValueError(f"column {r['feature']} has {r['n']} levels (> maxLevels={cap})")
-    out = {x: [] for x in cols}
-    for r in distinct.select("feature", "level").collect():  # at most cap rows per column
-        out[r["feature"]].append(r["level"])
-    return {k: sorted(v) for k, v in out.items()}
-
-
-class _LevelParams(Params):
-    maxLevels = Param(Params._dummy(), "maxLevels", "largest number of levels a column may have",
-                      typeConverter=TypeConverters.toInt)
+def _levels(df: DataFrame, col: str) -> list[str]:
+    """Distinct non-null levels of a column as text, in the order of the column's own type."""
+    rows = df.select(F.col(col).alias("v")).where("v is not null").distinct().orderBy("v")
+    return [r[0] for r in rows.select(F.col("v").cast("string")).collect()]  # as many as the result has columns
 
 
 # ----------------------------------------------------------------- G01
-class LabelEncoderModel(ColumnsModel, _LevelParams):
-    def _transform(self, dataset):
-        lv = self._state()
-        return dataset.select(*[
-            (F.array_position(F.array(*[F.lit(v) for v in lv[x]]), F.col(x).cast("string")) - 1)
-            .cast("int").alias(x) if x in lv else F.col(f"`{x}`") for x in dataset.columns])
+class LabelEncoderModel(ColumnsModel):
+    """The codes of a column are a written table (level, code); transforming joins it."""
 
+    def _transform(self, dataset):
+        out, tables = dataset, self._state()
+        for x in dataset.columns:
+            if x in tables:
+                codes = dataset.sparkSession.read.parquet(tables[x]).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+                out = out.join(codes, F.col(f"`{x}`") == F.col("_level"), "left").drop("_level").withColumn(x, F.col("_code")).drop("_code")
+        return out.select(*[F.col(f"`{x}`") for x in dataset.columns])
 
-class LabelEncoder(ColumnsEstimator, _LevelParams):
-    """Sorted levels -> 0..n-1 in place (``LabelEncoder``); missing stays missing."""
 
-    model_class = LabelEncoderModel
+class LabelEncoder(ColumnsEstimator):
+    """Levels in their own order -> 0..n-1 in place (``LabelEncoder``); missing stays missing.
 
-    def _defaults(self):
-        return dict(maxLevels=1000)
+    Any number of levels: they are numbered by the distributed row numbering and
+    kept as a table in the shared folder, never as a list.
+    """
 
-    def _extra_params(self):
-        return ["maxLevels"]
+    model_class = LabelEncoderModel
 
     def _fit_state(self, df):
-        return _levels(df, self.getInputCols(), self.getOrDefault(self.maxLevels))
+        tables = {}
+        for x in self.getInputCols():
+            levels = df.select(F.col(f"`{x}`").alias("level")).where("level is not null").distinct()
+            tables[x] = scratch_path(df.sparkSession, f"levels-{len(tables)}")
+            row_index(levels, ["level"], name="code", tiebreak=False).withColumn("code", F.col("code").cast("int")).write.parquet(tables[x])
+        return tables
 
 
 def binary_string_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
@@ -79,7 +69,7 @@ def binary_string_columns(df: DataFrame, cols: Sequence[str] | None = None) -> l
 
 
 # ----------------------------------------------------------------- G02
-class _OneHotParams(_LevelParams):
+class _OneHotParams(Params):
     dropFirst = Param(Params._dummy(), "dropFirst", "drop the first sorted level",
                       typeConverter=TypeConverters.toBoolean)
 
@@ -105,19 +95,20 @@ class OneHotModel(ColumnsModel, _OneHotParams):
 
 
 class OneHotEncoder(ColumnsEstimator, _OneHotParams):
-    """One 0/1 column ``col_level`` per sorted level (first dropped by default);
-    a missing value gives an all-zero row, like ``get_dummies``."""
+    """One 0/1 column ``col_level`` per level in the order of its own type (first dropped by default);
+    a missing value gives an all-zero row, like ``get_dummies``.  The levels are the result's columns, so
+    their list is as long as the schema the caller asks for."""
 
     model_class = OneHotModel
 
     def _defaults(self):
-        return dict(dropFirst=True, maxLevels=1000)
+        return dict(dropFirst=True)
 
     def _extra_params(self):
-        return ["dropFirst", "maxLevels"]
+        return ["dropFirst"]
 
     def _fit_state(self, df):
-        return _levels(df, self.getInputCols(), self.getOrDefault(self.maxLevels))
+        return {x: _levels(df, x) for x in self.getInputCols()}
 
 
 # ----------------------------------------------------------------- G03 / G04
@@ -164,7 +155,3 @@ class MinMaxScaler(ColumnsEstimator):
             rng = (hi - lo) if lo is not None and hi is not None and hi != lo else 1.0
             out[x] = [lo, rng]
         return out
-
-
-def safe_name(s: str) -> str:
-    return re.sub(r"[^0-9A-Za-z_]", "_", s)

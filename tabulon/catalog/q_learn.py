@@ -23,13 +23,13 @@ CH_X = ["c_acctbal", "n_orders", "total_value", "avg_value", "n_finished", "n_ur
 
 def _salary_folds(spark, sf, k=5):
     s = salary(spark, sf).select("p_partkey", *SAL_X, F.col("p_retailprice").alias("label"))
-    return kfold(s, "p_partkey", k).cache()  # reused by every fit of the query
+    return kfold(s, "p_partkey", k)
 
 
 def _churn_folds(spark, sf, k=5):
     c = churn(spark, sf).select("c_custkey", *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x)
                                                for x in CH_X], F.col("churn").cast("double").alias("label"))
-    return stratified_kfold(c, "c_custkey", "label", k).cache()  # reused by every fit of the query
+    return stratified_kfold(c, "c_custkey", "label", k)
 
 
 def _fit_score(spark, sf, est, key="p_partkey", folds=_salary_folds, feats=SAL_X):
@@ -65,6 +65,31 @@ def m02_ridge(spark, sf):
                                          F.lit(float(lr.intercept)).alias("intercept")), 4)
 
 
+def _one_feature(spark, sf, est, digits=4):
+    """Coefficient and intercept of a linear model of the price on the number of lines."""
+    s = salary(spark, sf).withColumn("label", F.col("p_retailprice"))
+    lr = M.fit_predict(est, s, s.limit(0), ["c_lines"])[0].stages[-1]
+    return rounded(s.limit(1).select(F.lit(float(lr.coefficients[0])).alias("coef"), F.lit(float(lr.intercept)).alias("intercept")), digits)
+
+
+def _soft_sql(alpha, l1):
+    """Soft threshold of the covariance: the closed form of lasso and elastic net with one feature."""
+    return f"""select {R('slope', 2)} as coef, {R('ybar - slope * xbar', 2)} as intercept from (
+  select sign(c) * greatest(abs(c) - {alpha * l1}, 0) / (v + {alpha * (1 - l1)}) as slope, xbar, ybar from (
+    select covar_pop(p_retailprice, c_lines) as c, var_pop(c_lines) as v, avg(c_lines) as xbar, avg(p_retailprice) as ybar
+    from {SALARY_SQL}))"""
+
+
+@query("m03_lasso_one_feature", _soft_sql(0.5, 1.0))
+def m03_lasso_one_feature(spark, sf):
+    return _one_feature(spark, sf, M.regressor("lasso", alpha=0.5), 2)
+
+
+@query("m04_elastic_net_one_feature", _soft_sql(0.5, 0.5))
+def m04_elastic_net_one_feature(spark, sf):
+    return _one_feature(spark, sf, M.regressor("enet", alpha=0.5, l1_ratio=0.5), 2)
+
+
 # ------------------------------------------------------------------ M03 - M13: rows-only predictions
 @query("m03_lasso")
 def m03_lasso(spark, sf):
@@ -83,19 +108,19 @@ def m06_decision_tree(spark, sf):
 
 @query("m07_random_forest")
 def m07_random_forest(spark, sf):
-    return _fit_score(spark, sf, M.regressor("rf", n_estimators=20, max_depth=6))
+    return _fit_score(spark, sf, M.regressor("rf", max_depth=8))
 
 
 @query("m08_gradient_boosting")
 def m08_gradient_boosting(spark, sf):
-    return _fit_score(spark, sf, M.regressor("gbm", n_estimators=20))
+    return _fit_score(spark, sf, M.regressor("gbm"))
 
 
 @query("m09_booster_regressors")
 def m09_booster_regressors(spark, sf):
     parts = []
     for name in ("xgb", "lgbm", "catboost"):
-        p = _fit_score(spark, sf, M.regressor(name, n_estimators=10, learning_rate=0.1, max_depth=4))
+        p = _fit_score(spark, sf, M.regressor(name, n_estimators=30))
         parts.append(p.withColumn("model", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -104,7 +129,7 @@ def m09_booster_regressors(spark, sf):
 def m10_booster_classifiers(spark, sf):
     parts = []
     for name in ("xgb", "lgbm", "catboost"):
-        p = _fit_score(spark, sf, M.classifier(name, n_estimators=10, max_depth=4), "c_custkey", _churn_folds, CH_X)
+        p = _fit_score(spark, sf, M.classifier(name, n_estimators=30), "c_custkey", _churn_folds, CH_X)
         parts.append(p.withColumn("model", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -119,7 +144,7 @@ def m12_kernel_svm(spark, sf):
     df = _churn_folds(spark, sf)
     from tabulon.operators.encode import StandardScaler
     scaled = StandardScaler(inputCols=CH_X).fit(df).transform(df)
-    model = M.kernel_svc(CH_X, "label", dim=32, maxIter=25).fit(scaled)
+    model = M.kernel_svc(CH_X, "label").fit(scaled)
     return model.transform(scaled).select("c_custkey", "label", "prediction")
 
 
@@ -128,19 +153,19 @@ def m12_kernel_svr(spark, sf):
     df = _salary_folds(spark, sf)
     from tabulon.operators.encode import StandardScaler
     scaled = StandardScaler(inputCols=SAL_X).fit(df).transform(df)
-    model = M.kernel_svr(SAL_X, "label", dim=32).fit(scaled)
+    model = M.kernel_svr(SAL_X, "label").fit(scaled)
     return model.transform(scaled).select("p_partkey", "label", "prediction")
 
 
 @query("m13_adaboost")
 def m13_adaboost(spark, sf):
-    return _fit_score(spark, sf, M.classifier("adaboost", n_estimators=10), "c_custkey", _churn_folds, CH_X)
+    return _fit_score(spark, sf, M.classifier("adaboost"), "c_custkey", _churn_folds, CH_X)
 
 
 @query("m14_feature_importance")
 def m14_feature_importance(spark, sf):
     df = _salary_folds(spark, sf)
-    model, _ = M.fit_predict(M.regressor("rf", n_estimators=20, max_depth=6), df, df.limit(0), SAL_X)
+    model, _ = M.fit_predict(M.regressor("rf", max_depth=8), df, df.limit(0), SAL_X)
     return M.feature_importance(model, SAL_X, top=5)
 
 
@@ -149,11 +174,14 @@ def m15_predict(spark, sf):
     """Fit on the labelled half (even part keys), score the other half."""
     df = _salary_folds(spark, sf)
     train, test = df.where(F.col("p_partkey") % 2 == 0), df.where(F.col("p_partkey") % 2 == 1)
-    _, pred = M.fit_predict(M.regressor("gbm", n_estimators=20), train, test, SAL_X)
+    _, pred = M.fit_predict(M.regressor("gbm"), train, test, SAL_X)
     return pred.select("p_partkey", "prediction")
 
 
 # ------------------------------------------------------------------ T08 - T10, T12, N03
+ROUNDS = 5  # trees or rounds of the ensembles in comparisons of many models and folds
+
+
 @query("t08_grid_search")
 def t08_grid_search(spark, sf):
     from pyspark.ml.regression import GBTRegressor
@@ -164,24 +192,32 @@ def t08_grid_search(spark, sf):
 
 @query("t09_compare_models")
 def t09_compare_models(spark, sf):
-    models = {"lr": M.regressor("lr"), "ridge": M.regressor("ridge", alpha=1.0),
-              "cart": M.regressor("cart", max_depth=6), "rf": M.regressor("rf", n_estimators=10, max_depth=5)}
+    """All regressors of the comparison that MLlib fits; ensembles with ROUNDS trees (a parameter of the query)."""
+    models = {n: M.regressor(n) for n in ("lr", "ridge", "lasso", "enet")}
+    models |= {"cart": M.regressor("cart", max_depth=8), "rf": M.regressor("rf", n_estimators=ROUNDS, max_depth=8)}
+    models |= {n: M.regressor(n, n_estimators=ROUNDS) for n in ("gbm", "xgb", "lgbm", "catboost")}
     return TU.compare_models(models, _salary_folds(spark, sf), SAL_X, "label")
 
 
 @query("t09_compare_classifiers")
 def t09_compare_classifiers(spark, sf):
-    models = {"logreg": M.classifier("logreg"), "cart": M.classifier("cart", max_depth=5),
-              "rf": M.classifier("rf", n_estimators=10, max_depth=5)}
+    models = {"logreg": M.classifier("logreg"), "cart": M.classifier("cart", max_depth=8),
+              "rf": M.classifier("rf", n_estimators=ROUNDS, max_depth=8),
+              "adaboost": M.classifier("adaboost", n_estimators=ROUNDS)}
+    models |= {n: M.classifier(n, n_estimators=ROUNDS) for n in ("gbm", "xgb", "lgbm", "catboost")}
     return TU.compare_models(models, _churn_folds(spark, sf), CH_X, "label", task="classification")
 
 
 @query("t10_tune_models")
 def t10_tune_models(spark, sf):
     from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-    cands = {"cart": (DecisionTreeRegressor(seed=42), {"maxDepth": [3, 6]}),
+    cands = {"ridge": (M.Ridge(), {"alpha": [0.1, 1.0, 10.0]}),
+             "enet": (M.ElasticNet(), {"alpha": [0.1, 1.0], "l1_ratio": [0.2, 0.8]}),
+             "cart": (DecisionTreeRegressor(seed=42), {"maxDepth": [3, 6]}),
              "rf": (RandomForestRegressor(seed=42, numTrees=10), {"maxDepth": [3, 6]})}
-    return TU.tune_models(cands, _salary_folds(spark, sf), SAL_X, "label")
+    df = _salary_folds(spark, sf)
+    held = F.col("p_partkey") % 5 == 0
+    return TU.tune_models(cands, df.where(~held), SAL_X, "label", holdout=df.where(held))
 
 
 @query("t12_validation_curve")
@@ -191,6 +227,13 @@ def t12_validation_curve(spark, sf):
                                _salary_folds(spark, sf, 3), SAL_X, "label")
 
 
+@query("t12_validation_curve_auc")
+def t12_validation_curve_auc(spark, sf):
+    from pyspark.ml.classification import RandomForestClassifier
+    return TU.validation_curve(RandomForestClassifier(seed=42, numTrees=10), "maxDepth", [2, 5, 8],
+                               _churn_folds(spark, sf, 3), CH_X, "label", metric="roc_auc", task="classification")
+
+
 @query("n03_stacking")
 def n03_stacking(spark, sf):
     df = _salary_folds(spark, sf)
@@ -207,7 +250,7 @@ def k01_kmeans(spark, sf):
 
 @query("k02_elbow")
 def k02_elbow(spark, sf):
-    return K.elbow(rfm_features(spark, sf), RFM_COLS, 2, 8, seed=42)
+    return K.elbow(rfm_features(spark, sf), RFM_COLS, 2, 20, seed=42)
 
 
 @query("k03_segment_profile", f"""select segment, count(*) as n, """ + ", ".join(
@@ -250,7 +293,7 @@ def m05_knn_classifier(spark, sf):
 
 @query("m05_knn_regressor")
 def m05_knn_regressor(spark, sf):
-    """5-NN regression of the part price from scaled salary features (rows-only)."""
+    """5-NN regression of the part price from scaled salary features (rows-only; ties in distance are common)."""
     from tabulon.learn.knn import knn_regress
     from tabulon.operators.encode import StandardScaler
     s = _salary_folds(spark, sf)

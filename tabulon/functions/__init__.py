@@ -3,7 +3,6 @@ from tabulon.functions.ranking import (  # noqa: F401
     column_modes,
     exact_quantiles,
     row_index,
-    row_index_with_sizes,
     running_sums,
     unpivot_values,
 )

@@ -50,10 +50,6 @@ def trunc_to_int(x: str | Column) -> Column:
     return F.when(c(x) >= 0, F.floor(c(x))).otherwise(F.ceil(c(x))).cast("double")
 
 
-def round_half_even(x: str | Column, scale: int = 0) -> Column:
-    return F.bround(c(x), scale)
-
-
 def product(cols: Sequence[str | Column]) -> Column:
     """Product of columns in double (ANSI would raise on long overflow)."""
     return reduce(operator.mul, [c(x).cast("double") for x in cols])

@@ -18,6 +18,7 @@ whose result is first written as a table in the shared folder
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -52,7 +53,7 @@ def _frozen_sort(df: DataFrame, keys: Sequence[str], num_partitions: int | None,
 
 
 def _ranked(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str],
-            name: str, num_partitions: int | None, tiebreak: bool):
+            name: str, num_partitions: int | None, tiebreak: bool) -> DataFrame:
     groups = list(group_cols)
     d = _frozen_sort(df, groups + list(order_cols), num_partitions, tiebreak)
     stats = d.groupBy("_pid", *groups).agg(F.min("_mid").alias("_first"),
@@ -66,8 +67,7 @@ def _ranked(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str],
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = d.join(side, (F.col("_pid") == F.col("_p")) & same, "inner")
     out = out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
-    sizes = stats.groupBy(*groups).agg(F.sum("_cnt").alias("_n"))
-    return out.select(*df.columns, name), sizes
+    return out.select(*df.columns, name)
 
 
 def running_sums(df: DataFrame, order_cols: Sequence[str], sums: Sequence[str], name: str = "_rn",
@@ -98,13 +98,7 @@ def row_index(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str
     Ties in ``order_cols`` are broken by a per-row id; callers that need tie
     groups (average ranks) aggregate the positions afterwards.
     """
-    return _ranked(df, order_cols, group_cols, name, num_partitions, tiebreak)[0]
-
-
-def row_index_with_sizes(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                         name: str = "_rn", num_partitions: int | None = None):
-    """:func:`row_index` plus the group sizes (``_n``) taken from the same sort."""
-    return _ranked(df, order_cols, group_cols, name, num_partitions, True)
+    return _ranked(df, order_cols, group_cols, name, num_partitions, tiebreak)
 
 
 def unpivot_values(df: DataFrame, cols: Sequence[str], value_type: str = "double",
@@ -116,13 +110,62 @@ def unpivot_values(df: DataFrame, cols: Sequence[str], value_type: str = "double
     return long.where(F.col(val).isNotNull()) if drop_null else long
 
 
+class _Bracket:
+    """Limits that hold the ranks of one (column, prob), and the rows below and inside them."""
+
+    def __init__(self, col: str, prob: float, n: int):
+        self.col, self.prob = col, prob
+        h = (n - 1) * prob
+        self.low_rank, self.high_rank, self.fraction = math.floor(h), math.ceil(h), h - math.floor(h)
+        self.lo, self.hi, self.below, self.inside = -math.inf, math.inf, 0, n
+
+    def holds(self, below: int, inside: int) -> bool:
+        return below <= self.low_rank and self.high_rank < below + inside
+
+
+def _value(col: str):
+    """The column as double; NaN counts as missing."""
+    v = F.col(f"`{col}`").cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _aggregated(df: DataFrame, exprs: list, at_once: int = 64) -> list:
+    """Values of many aggregates, some at a time so that each plan stays small."""
+    out = []
+    for k in range(0, len(exprs), at_once):
+        out += list(df.agg(*[e.alias(f"a{j}") for j, e in enumerate(exprs[k:k + at_once])]).first())
+    return out
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """One sketch pass proposes narrower limits, one counting pass accepts those that hold the ranks."""
+    margin = 2.0 / accuracy
+    asked = []
+    for b in brackets:
+        v = _value(b.col)
+        span = max(b.inside - 1, 1)
+        probs = [max(0.0, (b.low_rank - b.below) / span - margin), min(1.0, (b.high_rank - b.below) / span + margin)]
+        asked.append(F.percentile_approx(F.when(v.between(b.lo, b.hi), v), probs, accuracy))
+    limits = _aggregated(df, asked)
+    counts = []
+    for b, (lo, hi) in zip(brackets, limits, strict=True):
+        v = _value(b.col)
+        counts += [F.count_if(v < lo), F.count_if(v.between(lo, hi))]
+    found = _aggregated(df, counts)
+    for b, (lo, hi), below, inside in zip(brackets, limits, found[::2], found[1::2], strict=True):
+        if b.holds(below, inside):
+            b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    approx: bool = False, accuracy: int = 100000) -> DataFrame:
+                    approx: bool = False, accuracy: int = 10000, inside_rows: int = 100_000) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``) of many columns.
 
-    Result: one row per (column, prob) with ``value``.  ``approx=True`` uses the
-    bounded-memory ``percentile_approx`` sketch in one aggregation instead of
-    the exact distributed sort.
+    Result: one row per (column, prob) with ``value``.  Exact without sorting the
+    column: a sketch brackets each quantile, a count of the rows below and inside
+    checks that the bracket holds its ranks (else the wider one stays), which
+    repeats until few rows are inside; only their distinct values are then grouped
+    and read off by rank.  ``approx=True`` returns the sketch's value.
     """
     probs = [float(q) for q in probs]
     if approx:
@@ -132,25 +175,29 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return long.select("feature", F.posexplode("vals").alias("i", "value")).select(
             "feature", F.element_at(F.array(*[F.lit(q) for q in probs]), F.col("i") + 1).alias("prob"),
             "value")
-    long = unpivot_values(df, cols)
-    ranked, sizes = row_index_with_sizes(long, ["v"], group_cols=["feature"], name="_r")
-    # targets: columns x probs x 2 rows, the bound of the broadcast below
-    tgt = (sizes.select("feature", "_n", F.explode(F.array(*[F.lit(q) for q in probs])).alias("prob"))
-           .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-           .withColumn("_lo", F.floor("_h").cast("long"))
-           .withColumn("_hi", F.ceil("_h").cast("long"))
-           .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    ends = tgt.select("feature", "prob", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("_r")),
-        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("_r")))).alias("e")).select(
-        "feature", "prob", "_frac", "e.side", "e._r")
-    hit = ranked.select("feature", "_r", "v").join(F.broadcast(ends), ["feature", "_r"])
-    res = hit.groupBy("feature", "prob").agg(
-        F.first("_frac").alias("_frac"),
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("_vlo"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("_vhi"))
-    return res.select("feature", "prob",
-                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value"))
+    sizes = _aggregated(df, [F.count(_value(x)) for x in cols])
+    brackets = [_Bracket(x, q, n) for x, n in zip(cols, sizes, strict=True) if n for q in probs]
+    for _ in range(6):
+        wide = [b for b in brackets if b.inside > inside_rows and b.lo < b.hi]
+        if not wide:
+            break
+        _narrow(df, wide, accuracy)
+    spark = df.sparkSession
+    limits = spark.createDataFrame([(b.col, b.prob, b.lo, b.hi, b.low_rank - b.below, b.high_rank - b.below, b.fraction) for b in brackets],
+                                   "feature string, prob double, lo double, hi double, r_lo long, r_hi long, fraction double")
+    long = df.select(*[_value(x).alias(x) for x in dict.fromkeys(cols)]).unpivot([], list(dict.fromkeys(cols)), "feature", "v")
+    # columns x probs rows: bounded by the call
+    inside = long.where(F.col("v").isNotNull()).join(F.broadcast(limits), "feature").where("v between lo and hi")
+    key = ["feature", "prob", "r_lo", "r_hi", "fraction"]
+    counts = inside.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "prob").orderBy("v"))
+    ranked = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+
+    def at(rank: str):
+        return F.max(F.when((F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v")))
+
+    ends = ranked.groupBy(*key).agg(at("r_lo").alias("low"), at("r_hi").alias("high"))
+    return ends.select("feature", "prob", (F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction")).alias("value"))
 
 
 def column_modes(df: DataFrame, cols: Sequence[str], value_type: str = "string") -> DataFrame:
@@ -165,4 +212,4 @@ def column_modes(df: DataFrame, cols: Sequence[str], value_type: str = "string")
     return best.select("feature", F.col("m.v").alias("mode"), (-F.col("m.neg")).alias("count"))
 
 
-__all__ = ["row_index", "row_index_with_sizes", "running_sums", "unpivot_values", "exact_quantiles", "column_modes"]
+__all__ = ["row_index", "running_sums", "unpivot_values", "exact_quantiles", "column_modes"]

@@ -34,16 +34,6 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def sq_dist_unrolled(a: Column, b: Column, dim: int) -> Column:
-    """Squared distance written out term by term: plain array-element arithmetic stays in
-    whole-stage codegen (higher-order lambdas are interpreted row by row)."""
-    total = None
-    for i in range(dim):
-        t = (a.getItem(i) - b.getItem(i)) * (a.getItem(i) - b.getItem(i))
-        total = t if total is None else total + t
-    return total
-
-
 def sq_dist_block(a: Column, b: Column, dims) -> Column:
     """Squared distance over a few dimensions; short expressions keep each one small
     enough for whole-stage codegen (one deep tree over all dimensions falls back)."""

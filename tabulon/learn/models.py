@@ -17,8 +17,12 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +30,40 @@ from tabulon.session import ensure_checkpoint_dir
 
 
 # ----------------------------------------------------------------- linear models with translated penalties
-class _StatsLinear(Estimator):
+class _ColumnParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Columns and penalties as ``Param``s: ``copy``, grids and persistence work as for MLlib's estimators."""
+
+    def _start(self, values: dict, **defaults):
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", **defaults)
+        self._set(**{k: v for k, v in values.items() if v is not None})
+
+    def setFeaturesCol(self, value):
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value):
+        return self._set(labelCol=value)
+
+    def setPredictionCol(self, value):
+        return self._set(predictionCol=value)
+
+
+def _number(name: str, doc: str) -> Param:
+    return Param(Params._dummy(), name, doc, typeConverter=TypeConverters.toFloat)
+
+
+class _StatsLinear(Estimator, _ColumnParams):
     """Base: fit a ``LinearRegression`` whose parameters depend on n and std(y)."""
 
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction"):
-        super().__init__()
-        self.featuresCol, self.labelCol, self.predictionCol = featuresCol, labelCol, predictionCol
+    alpha = _number("alpha", "weight of the penalty")
 
     def _params_for(self, n: int, sd: float) -> dict:  # pragma: no cover - abstract
         raise NotImplementedError
 
     def _fit(self, dataset):
-        row = dataset.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(self.labelCol)).alias("sd")).first()
-        lr = LinearRegression(featuresCol=self.featuresCol, labelCol=self.labelCol,
-                              predictionCol=self.predictionCol, standardization=False,
+        label = self.getOrDefault("labelCol")
+        row = dataset.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(label)).alias("sd")).first()
+        lr = LinearRegression(featuresCol=self.getOrDefault("featuresCol"), labelCol=label,
+                              predictionCol=self.getOrDefault("predictionCol"), standardization=False,
                               **self._params_for(row["n"], row["sd"] or 1.0))
         return lr.fit(dataset)
 
@@ -47,49 +71,56 @@ class _StatsLinear(Estimator):
 class Ridge(_StatsLinear):
     """``Ridge(alpha)`` -- penalty alpha on the residual **sum** of squares."""
 
-    def __init__(self, alpha: float = 1.0, **kw):
-        super().__init__(**kw)
-        self.alpha = alpha
+    def __init__(self, alpha: float | None = None, featuresCol=None, labelCol=None, predictionCol=None):
+        super().__init__()
+        self._start(dict(alpha=alpha, featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol), alpha=1.0)
 
     def _params_for(self, n, sd):
-        return dict(solver="normal", elasticNetParam=0.0, regParam=self.alpha * sd / n)
+        return dict(solver="normal", elasticNetParam=0.0, regParam=self.getOrDefault("alpha") * sd / n)
 
 
 class Lasso(_StatsLinear):
     """``Lasso(alpha)`` (coordinate-descent objective 1/(2n)||r||^2 + alpha||w||_1)."""
 
-    def __init__(self, alpha: float = 1.0, **kw):
-        super().__init__(**kw)
-        self.alpha = alpha
+    def __init__(self, alpha: float | None = None, featuresCol=None, labelCol=None, predictionCol=None):
+        super().__init__()
+        self._start(dict(alpha=alpha, featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol), alpha=1.0)
 
     def _params_for(self, n, sd):
-        return dict(elasticNetParam=1.0, regParam=self.alpha, maxIter=1000, tol=1e-8)
+        return dict(elasticNetParam=1.0, regParam=self.getOrDefault("alpha"), maxIter=1000, tol=1e-8)
 
 
 class ElasticNet(_StatsLinear):
     """``ElasticNet(alpha, l1_ratio)`` with MLlib's label scaling of the L2 part undone."""
 
-    def __init__(self, alpha: float = 1.0, l1_ratio: float = 0.5, **kw):
-        super().__init__(**kw)
-        self.alpha, self.l1_ratio = alpha, l1_ratio
+    l1_ratio = _number("l1_ratio", "share of the L1 penalty")
+
+    def __init__(self, alpha: float | None = None, l1_ratio: float | None = None, featuresCol=None, labelCol=None, predictionCol=None):
+        super().__init__()
+        self._start(dict(alpha=alpha, l1_ratio=l1_ratio, featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol),
+                    alpha=1.0, l1_ratio=0.5)
 
     def _params_for(self, n, sd):
-        a, r = self.alpha, self.l1_ratio
+        a, r = self.getOrDefault("alpha"), self.getOrDefault("l1_ratio")
         lam = a * r + a * (1 - r) * sd
         return dict(regParam=lam, elasticNetParam=(a * r / lam) if lam else 0.0, maxIter=1000, tol=1e-8)
 
 
-class LogisticC(Estimator):
+class LogisticC(Estimator, _ColumnParams):
     """``LogisticRegression(C=1)`` -- L2 penalty 1/(2C) on the log-loss **sum**."""
 
-    def __init__(self, C: float = 1.0, maxIter: int = 100, featuresCol="features", labelCol="label"):
+    C = _number("C", "inverse weight of the penalty")
+    maxIter = Param(Params._dummy(), "maxIter", "iterations at most", typeConverter=TypeConverters.toInt)
+
+    def __init__(self, C: float | None = None, maxIter: int | None = None, featuresCol=None, labelCol=None, predictionCol=None):
         super().__init__()
-        self.C, self.maxIter, self.featuresCol, self.labelCol = C, maxIter, featuresCol, labelCol
+        self._start(dict(C=C, maxIter=maxIter, featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol), C=1.0, maxIter=100)
 
     def _fit(self, dataset):
         n = dataset.count()
-        return LogisticRegression(featuresCol=self.featuresCol, labelCol=self.labelCol, maxIter=self.maxIter,
-                                  regParam=1.0 / (self.C * n), elasticNetParam=0.0,
+        return LogisticRegression(featuresCol=self.getOrDefault("featuresCol"), labelCol=self.getOrDefault("labelCol"),
+                                  predictionCol=self.getOrDefault("predictionCol"), maxIter=self.getOrDefault("maxIter"),
+                                  regParam=1.0 / (self.getOrDefault("C") * n), elasticNetParam=0.0,
                                   standardization=False).fit(dataset)
 
 
@@ -140,6 +171,8 @@ def kernel_svr(inputCols: Sequence[str], labelCol: str = "label", dim: int = 100
 
 # ----------------------------------------------------------------- M13: AdaBoost SAMME
 class AdaBoostSAMMEModel(Model):
+    """Adds the class with the most weighted votes, and ``probability``: the classes' shares of the votes."""
+
     def __init__(self, stumps, alphas, classes, featuresCol, predictionCol="prediction"):
         super().__init__()
         self.stumps, self.alphas, self.classes = stumps, alphas, classes
@@ -154,43 +187,59 @@ class AdaBoostSAMMEModel(Model):
                        .setProbabilityCol(f"__prob{m}").transform(out).drop(f"__raw{m}", f"__prob{m}")
             for k in self.classes:
                 votes[k] = votes[k] + F.when(F.col(col) == float(k), F.lit(a)).otherwise(0.0)
-        best = F.greatest(*votes.values())
+        best = F.greatest(*votes.values()) if len(votes) > 1 else next(iter(votes.values()))
         pred = None
         for k in self.classes:  # first class with the top vote (argmax)
             pred = F.when(votes[k] == best, F.lit(float(k))) if pred is None else pred.when(votes[k] == best,
                                                                                           F.lit(float(k)))
-        return out.withColumn(self.predictionCol, pred).drop(*[f"__h{m}" for m in range(len(self.stumps))])
+        whole = float(sum(self.alphas)) or 1.0
+        shares = array_to_vector(F.array(*[votes[k] / F.lit(whole) for k in self.classes]))
+        return out.withColumn("probability", shares).withColumn(self.predictionCol, pred).drop(
+            *[f"__h{m}" for m in range(len(self.stumps))])
 
 
-class AdaBoostSAMME(Estimator):
+class AdaBoostSAMME(Estimator, _ColumnParams):
     """``AdaBoostClassifier(algorithm='SAMME')`` with depth-1 trees and a weight column.
 
     Each round is a distributed stump fit plus one aggregation for the weighted
-    error; the re-weighted frame is checkpointed to the cluster's checkpoint
-    directory every few rounds so the lineage stays short.
+    error.  The weighted frame of a round is persisted while it is in use; every few
+    rounds it is checkpointed to the cluster's checkpoint directory so the lineage
+    stays short.
     """
 
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, featuresCol="features",
-                 labelCol="label", checkpoint_every: int = 5, seed: int = 0):
+    MAX_CLASSES = 1000
+
+    n_estimators = Param(Params._dummy(), "n_estimators", "rounds at most", typeConverter=TypeConverters.toInt)
+    learning_rate = _number("learning_rate", "factor of each round's vote")
+    checkpoint_every = Param(Params._dummy(), "checkpoint_every", "rounds between checkpoints", typeConverter=TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the stumps", typeConverter=TypeConverters.toInt)
+
+    def __init__(self, n_estimators=None, learning_rate=None, featuresCol=None, labelCol=None, predictionCol=None,
+                 checkpoint_every=None, seed=None):
         super().__init__()
-        self.n_estimators, self.learning_rate = n_estimators, learning_rate
-        self.featuresCol, self.labelCol = featuresCol, labelCol
-        self.checkpoint_every, self.seed = checkpoint_every, seed
+        self._start(dict(n_estimators=n_estimators, learning_rate=learning_rate, featuresCol=featuresCol, labelCol=labelCol,
+                         predictionCol=predictionCol, checkpoint_every=checkpoint_every, seed=seed),
+                    n_estimators=50, learning_rate=1.0, checkpoint_every=5, seed=0)
 
     def _fit(self, dataset):
-        spark = dataset.sparkSession
-        classes = sorted(r[0] for r in dataset.select(self.labelCol).distinct().collect())  # few classes
+        features, label = self.getOrDefault("featuresCol"), self.getOrDefault("labelCol")
+        found = dataset.select(label).distinct().limit(self.MAX_CLASSES + 1).collect()
+        if len(found) > self.MAX_CLASSES:
+            raise ValueError(f"{label} has over {self.MAX_CLASSES} values: not a class column")
+        classes = sorted(r[0] for r in found)
         K = len(classes)
+        if K < 2:
+            raise ValueError(f"{label} has one class only")
         n = dataset.count()
-        d = dataset.select(self.featuresCol, self.labelCol).withColumn("__w", F.lit(1.0 / n))
+        d = dataset.select(features, label).withColumn("__w", F.lit(1.0 / n)).persist()
         stumps, alphas = [], []
-        ensure_checkpoint_dir(spark)
-        for m in range(self.n_estimators):
-            tree = DecisionTreeClassifier(featuresCol=self.featuresCol, labelCol=self.labelCol, weightCol="__w",
-                                          maxDepth=1, seed=self.seed + m)
+        ensure_checkpoint_dir(dataset.sparkSession)
+        for m in range(self.getOrDefault("n_estimators")):
+            tree = DecisionTreeClassifier(featuresCol=features, labelCol=label, weightCol="__w",
+                                          maxDepth=1, seed=self.getOrDefault("seed") + m)
             model = tree.fit(d)
             p = model.setPredictionCol("__p").setRawPredictionCol("__r").setProbabilityCol("__q").transform(d)
-            miss = F.col("__p") != F.col(self.labelCol)
+            miss = F.col("__p") != F.col(label)
             row = p.agg(F.sum(F.when(miss, F.col("__w")).otherwise(0.0)).alias("e"), F.sum("__w").alias("t")).first()
             err = row["e"] / row["t"]
             if err <= 0:
@@ -201,17 +250,22 @@ class AdaBoostSAMME(Estimator):
                 if not stumps:
                     raise ValueError("first stump is no better than chance")
                 break
-            alpha = self.learning_rate * (math.log((1 - err) / err) + math.log(K - 1))
+            alpha = self.getOrDefault("learning_rate") * (math.log((1 - err) / err) + math.log(K - 1))
             stumps.append(model)
             alphas.append(alpha)
             # new total weight follows from this round's sums: no extra job to normalise
             new_total = (row["t"] - row["e"]) + row["e"] * math.exp(alpha)
-            d = p.select(self.featuresCol, self.labelCol,
-                         (F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)
-                          / F.lit(new_total)).alias("__w"))
-            if (m + 1) % self.checkpoint_every == 0:
-                d = d.checkpoint(eager=True)
-        return AdaBoostSAMMEModel(stumps, alphas, classes, self.featuresCol)
+            last, d = d, p.select(features, label,
+                                  (F.col("__w") * F.when(miss, F.lit(math.exp(alpha))).otherwise(1.0)
+                                   / F.lit(new_total)).alias("__w")).persist()
+            if (m + 1) % self.getOrDefault("checkpoint_every") == 0:
+                kept, d = d, d.checkpoint(eager=True)  # from the persisted rows
+                kept.unpersist()
+            else:
+                d.count()
+            last.unpersist()
+        d.unpersist()
+        return AdaBoostSAMMEModel(stumps, alphas, classes, features, self.getOrDefault("predictionCol"))
 
 
 # ----------------------------------------------------------------- factories
@@ -222,15 +276,25 @@ def _gbt_params(params: dict) -> dict:
     out = {}
     for k, v in params.items():
         if k in ("colsample_bytree", "max_features"):
-            out["featureSubsetStrategy"] = str(v) if not isinstance(v, str) else v
+            # a number from 0 to 1 is a share of the columns: "1.0" is all, where "1" would be one column
+            out["featureSubsetStrategy"] = v if isinstance(v, str) else str(float(v)) if v <= 1 else str(int(v))
         else:
             out[m.get(k, k)] = v
     return out
 
 
+# The boosters' documented defaults in GBT terms.  31 leaves are a tree of depth 5.
+BOOSTERS = {
+    "gbm": dict(maxIter=100, stepSize=0.1, maxDepth=3),
+    "xgb": dict(maxIter=100, stepSize=0.3, maxDepth=6, maxBins=256),
+    "lgbm": dict(maxIter=100, stepSize=0.1, maxDepth=5, maxBins=255, minInstancesPerNode=20),
+    "catboost": dict(maxIter=100, stepSize=0.1, maxDepth=6, maxBins=254, subsamplingRate=0.8),
+}
+
+
 def regressor(name: str, featuresCol: str = "features", labelCol: str = "label", seed: int = 42, **params):
     """M01-M10 (regression): name -> estimator.  Names: lr, ridge, lasso, enet, cart, rf, gbm, xgb, lgbm,
-    catboost."""
+    catboost.  Trees of ``cart`` and ``rf`` grow to MLlib's largest depth (30) unless ``max_depth`` is given."""
     kw = dict(featuresCol=featuresCol, labelCol=labelCol)
     if name == "lr":
         return LinearRegression(regParam=0.0, solver="normal", **kw)
@@ -244,14 +308,9 @@ def regressor(name: str, featuresCol: str = "features", labelCol: str = "label",
         return DecisionTreeRegressor(maxDepth=params.get("max_depth", 30), seed=seed, **kw)
     if name == "rf":
         return RandomForestRegressor(numTrees=params.get("n_estimators", 100),
-                                     maxDepth=params.get("max_depth", 12), seed=seed, **kw)
-    if name in ("gbm", "xgb", "lgbm", "catboost"):
-        base = {"gbm": dict(maxIter=100, stepSize=0.1, maxDepth=3),
-                "xgb": dict(maxIter=100, stepSize=0.3, maxDepth=6),
-                "lgbm": dict(maxIter=100, stepSize=0.1, maxDepth=6),
-                "catboost": dict(maxIter=100, stepSize=0.1, maxDepth=6)}[name]
-        base.update(_gbt_params(params))
-        return GBTRegressor(seed=seed, **base, **kw)
+                                     maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+    if name in BOOSTERS:
+        return GBTRegressor(seed=seed, **(BOOSTERS[name] | _gbt_params(params)), **kw)
     raise ValueError(name)
 
 
@@ -264,18 +323,16 @@ def classifier(name: str, featuresCol: str = "features", labelCol: str = "label"
         return DecisionTreeClassifier(maxDepth=params.get("max_depth", 30), seed=seed, **kw)
     if name == "rf":
         return RandomForestClassifier(numTrees=params.get("n_estimators", 100),
-                                      maxDepth=params.get("max_depth", 12), seed=seed, **kw)
+                                      maxDepth=params.get("max_depth", 30), seed=seed, **kw)
     if name == "adaboost":
         return AdaBoostSAMME(params.get("n_estimators", 50), params.get("learning_rate", 1.0), seed=seed, **kw)
-    if name in ("gbm", "xgb", "lgbm", "catboost"):
-        base = dict(maxIter=100, stepSize=0.1, maxDepth=3 if name == "gbm" else 6)
-        base.update(_gbt_params(params))
-        return GBTClassifier(seed=seed, **base, **kw)
+    if name in BOOSTERS:
+        return GBTClassifier(seed=seed, **(BOOSTERS[name] | _gbt_params(params)), **kw)
     raise ValueError(name)
 
 
 def assemble(cols: Sequence[str], outputCol: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(cols), outputCol=outputCol, handleInvalid="keep")
+    return VectorAssembler(inputCols=list(cols), outputCol=outputCol, handleInvalid="error")
 
 
 def fit_predict(estimator, train: DataFrame, score: DataFrame, cols: Sequence[str],

@@ -31,11 +31,15 @@ def kmeans_segments(df: DataFrame, features: Sequence[str], k: int, seed: int =
 def elbow(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 20, seed: int = 42) -> DataFrame:
     """Training cost for each k in [k_min, k_max) and the knee (Kneedle on the
     normalised, decreasing convex curve: largest gap to the chord)."""
-    data = assemble(features, "__features").transform(df).select("__features").cache()
-    costs = []
-    for k in range(k_min, k_max):
-        m = KMeans(k=k, seed=seed, featuresCol="__features").fit(data)
-        costs.append((k, float(m.summary.trainingCost)))
+    from concurrent.futures import ThreadPoolExecutor
+    data = assemble(features, "__features").transform(df).select("__features").persist()
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, float(KMeans(k=k, seed=seed, featuresCol="__features").fit(data).summary.trainingCost)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:  # independent fits; the scheduler interleaves their tasks
+        costs = list(pool.map(cost, range(k_min, k_max)))
+    data.unpersist()
     knee = knee_point(costs)
     return df.sparkSession.createDataFrame([(k, c, int(k == knee)) for k, c in costs],
                                            "k int, cost double, is_knee int")

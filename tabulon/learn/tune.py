@@ -2,23 +2,26 @@
 
 Folds are a column (``kfold`` / ``stratified_kfold``), so every fit sees the
 same split and ``CrossValidator(foldCol=...)`` can run grid points in
-parallel.  The fold frame is cached once per call; out-of-fold predictions
-are unioned and scored by one grouped aggregation.
+parallel.  The fold frame is persisted for the fits of a call and released
+after them; out-of-fold predictions are unioned and scored by one grouped aggregation.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.learn.evaluate import metrics_by_fold, regression_metrics
-from tabulon.learn.models import assemble
+from tabulon.learn.evaluate import cross_validated_scores, regression_metrics
+from tabulon.learn.models import Ridge, assemble
 
 
 def _folds(df: DataFrame, fold: str) -> list[int]:
@@ -33,18 +36,41 @@ def _parallel(fn, items, parallelism: int):
         return list(pool.map(fn, items))
 
 
+def _score_column(df: DataFrame):
+    """Score of class 1 from what the model adds: probability, else raw prediction, else the prediction."""
+    for name in ("probability", "rawPrediction"):
+        if name in df.columns:
+            return vector_to_array(name)[1]
+    return F.col("prediction")
+
+
+@contextmanager
+def _persisted(df: DataFrame):
+    """``df`` held in memory for the fits inside the block and given up after it."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def out_of_fold(estimator, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+                keep: Sequence[str] = (), parallelism: int = 4, score: bool = False) -> DataFrame:
     """Out-of-fold predictions: for each fold, fit on the other folds and score this one
-    (folds fitted concurrently)."""
+    (folds fitted concurrently).  With ``score``, the classifier's score of class 1 as well."""
     pipe = Pipeline(stages=[assemble(features), estimator])
-    base = df.select(*keep, *features, F.col(label).alias("label"), fold).cache()
-
-    def one(f):
-        model = pipe.fit(base.where(F.col(fold) != f))
-        return model.transform(base.where(F.col(fold) == f)).select(*keep, "label", fold, "prediction")
-
-    parts = _parallel(one, _folds(base, fold), parallelism)
+    base = df.select(*keep, *features, F.col(label).alias("label"), fold)
+
+    with _persisted(base) as held:
+        def one(f):
+            return pipe.fit(held.where(F.col(fold) != f))
+
+        folds = _folds(held, fold)
+        models = _parallel(one, folds, parallelism)
+    parts = []
+    for f, model in zip(folds, models, strict=True):
+        p = model.transform(base.where(F.col(fold) == f))
+        parts.append(p.select(*keep, "label", fold, "prediction", *([_score_column(p).alias("score")] if score else [])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -56,38 +82,45 @@ def compare_models(models: dict, df: DataFrame, features: Sequence[str], label:
     """One row of cross-validated scores per (name, estimator).
 
     Regression: mean over folds of RMSE (T05), MAE and R^2.  Classification:
-    mean over folds of accuracy, precision, recall and F1 of class 1 (T04).
+    mean over folds of accuracy, precision, recall and F1 of class 1, and AUC (T04).
     """
     rows = None
     for name, est in models.items():
-        oof = out_of_fold(est, df, features, label, fold)
+        oof = out_of_fold(est, df, features, label, fold, score=task != "regression")
         if task == "regression":
             per = regression_metrics(oof, "label", "prediction", [fold])
             score = per.agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("r2").alias("r2"))
         else:
-            per = metrics_by_fold(oof, "label", "prediction", fold)
-            score = per.agg(*[F.avg(m).alias(m) for m in ["accuracy", "precision", "recall", "f1"]])
+            score = cross_validated_scores(oof, "label", "prediction", fold, "score")
         score = score.select(F.lit(name).alias("model"), "*")
         rows = score if rows is None else rows.unionByName(score)
     return rows
 
 
+def evaluator(metric: str, task: str = "regression"):
+    """An MLlib evaluator for a metric's name: rmse, mae, r2, ...; accuracy, f1, ...; areaUnderROC (or roc_auc)."""
+    if task == "regression":
+        return RegressionEvaluator(labelCol="label", metricName=metric)
+    if metric in ("roc_auc", "areaUnderROC", "areaUnderPR"):
+        return BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC" if metric == "roc_auc" else metric)
+    return MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
+
+
 def grid_search(estimator, grid: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
                 task: str = "regression", metric: str | None = None, parallelism: int = 4):
     """Every grid combination scored by k-fold CV (default R^2 / accuracy, like GridSearchCV);
     returns (CrossValidatorModel refit on ``df``, a table of (params, score, is_best))."""
-    metric = metric or ("r2" if task == "regression" else "accuracy")
-    ev = (RegressionEvaluator(labelCol="label", metricName=metric) if task == "regression"
-          else MulticlassClassificationEvaluator(labelCol="label", metricName=metric))
+    ev = evaluator(metric or ("r2" if task == "regression" else "accuracy"), task)
     b = ParamGridBuilder()
     for p, values in grid.items():
         b = b.addGrid(estimator.getParam(p), list(values))
     maps = b.build()
     data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"),
-                                                   F.col(fold).cast("int").alias(fold)).cache()
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
-                        numFolds=len(_folds(data, fold)), parallelism=parallelism)
-    model = cv.fit(data)
+                                                   F.col(fold).cast("int").alias(fold))
+    with _persisted(data) as held:
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
+                            numFolds=len(_folds(held, fold)), parallelism=parallelism)
+        model = cv.fit(held)
     larger = ev.isLargerBetter()
     scores = list(model.avgMetrics)
     best = max(range(len(scores)), key=lambda i: scores[i]) if larger else min(range(len(scores)),
@@ -99,31 +132,37 @@ def grid_search(estimator, grid: dict, df: DataFrame, features: Sequence[str], l
 
 
 def tune_models(candidates: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                task: str = "regression", metric: str | None = None) -> DataFrame:
-    """Grid-search several models, one row per model with its best score and parameters."""
+                task: str = "regression", metric: str | None = None, holdout: DataFrame | None = None) -> DataFrame:
+    """Grid-search several models, one row per model with its best score and parameters and, for the model refit
+    with them on ``df``, its score on ``holdout`` (RMSE, or the metric of a classifier)."""
     out = None
     for name, (est, grid) in candidates.items():
-        _, table = grid_search(est, grid, df, features, label, fold, task, metric)
+        model, table = grid_search(est, grid, df, features, label, fold, task, metric)
         best = table.where("is_best = 1").select(F.lit(name).alias("model"), "params", "score")
+        if holdout is not None:
+            data = assemble(features).transform(holdout).select("features", F.col(label).cast("double").alias("label"))
+            ev = evaluator("rmse" if task == "regression" else metric or "accuracy", task)
+            best = best.withColumn("holdout", F.lit(float(ev.evaluate(model.bestModel.transform(data)))))
         out = best if out is None else out.unionByName(best)
     return out
 
 
 def validation_curve(estimator, param: str, values: Sequence, df: DataFrame, features: Sequence[str],
-                     label: str, fold: str = "fold", metric: str = "rmse") -> DataFrame:
-    """Mean train and validation score over folds for each value of one parameter."""
-    data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"),
-                                                   fold).cache()
-    ev = RegressionEvaluator(labelCol="label", metricName=metric)
-    folds = _folds(data, fold)
+                     label: str, fold: str = "fold", metric: str = "rmse", task: str = "regression") -> DataFrame:
+    """Mean train and validation score over folds for each value of one parameter, by any metric of ``evaluator``."""
+    data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"), fold)
+    ev = evaluator(metric, task)
 
-    def one(job):
-        v, f = job
-        m = estimator.copy({estimator.getParam(param): v}).fit(data.where(F.col(fold) != f))
-        return (v, ev.evaluate(m.transform(data.where(F.col(fold) != f))),
-                ev.evaluate(m.transform(data.where(F.col(fold) == f))))
+    with _persisted(data) as held:
+        folds = _folds(held, fold)
 
-    scores = _parallel(one, [(v, f) for v in values for f in folds], 4)
+        def one(job):
+            v, f = job
+            m = estimator.copy({estimator.getParam(param): v}).fit(held.where(F.col(fold) != f))
+            return (v, ev.evaluate(m.transform(held.where(F.col(fold) != f))),
+                    ev.evaluate(m.transform(held.where(F.col(fold) == f))))
+
+        scores = _parallel(one, [(v, f) for v in values for f in folds], 4)
     rows = []
     for v in values:
         tr = [t for vv, t, _ in scores if vv == v]
@@ -143,7 +182,6 @@ class StackingModel(Model):
         out = assemble(self.features).transform(dataset)
         for i, b in enumerate(self.bases):
             out = b.copy().setPredictionCol(f"__b{i}").transform(out)
-        from pyspark.ml.feature import VectorAssembler
         out = VectorAssembler(inputCols=[f"__b{i}" for i in range(len(self.bases))],
                               outputCol="__meta").transform(out.drop("features"))
         return self.meta.copy().setFeaturesCol("__meta").transform(out).drop(
@@ -161,24 +199,33 @@ class StackingRegressor(Estimator):
             fold, list(alphas)
 
     def _fit(self, dataset):
-        keyed = dataset.withColumn("__rid", F.monotonically_increasing_id()).cache()
+        data = assemble(self.features).transform(dataset).select(
+            "features", F.col(self.label).cast("double").alias("label"), F.col(self.fold).cast("int").alias(self.fold))
+        names = [f"__b{i}" for i in range(len(self.bases))]
+        with _persisted(data) as held:
+            folds = _folds(held, self.fold)
+
+            def one(job):
+                est, f = job
+                return est.copy().setFeaturesCol("features").setLabelCol("label").fit(
+                    held if f is None else held.where(F.col(self.fold) != f))
+
+            jobs = [(est, f) for f in [*folds, None] for est in self.bases]
+            fitted = iter(_parallel(one, jobs, 4))
+            by_fold = {f: [next(fitted) for _ in self.bases] for f in [*folds, None]}
+        # every base model of a fold scores that fold's rows in one pass: no row id, no join
         oof = None
-        for i, est in enumerate(self.bases):
-            p = out_of_fold(est, keyed, self.features, self.label, self.fold, keep=["__rid"]) \
-                .select("__rid", "label", self.fold, F.col("prediction").alias(f"__b{i}"))
-            oof = p if oof is None else oof.join(p.drop("label", self.fold), "__rid")
-        from pyspark.ml.feature import VectorAssembler
-        meta_in = VectorAssembler(inputCols=[f"__b{i}" for i in range(len(self.bases))],
-                                  outputCol="__meta").transform(oof)
+        for f in folds:
+            part = data.where(F.col(self.fold) == f)
+            for name, model in zip(names, by_fold[f], strict=True):
+                part = model.copy().setPredictionCol(name).transform(part)
+            part = part.select("label", self.fold, *names)
+            oof = part if oof is None else oof.unionByName(part)
         # meta penalty by k-fold CV from one aggregation of fold moments (no refit per fold)
-        names = [f"__b{i}" for i in range(len(self.bases))]
-        scores = ridge_grid_search(oof.withColumn(self.fold, F.col(self.fold).cast("int")), names, "label",
-                                   self.alphas, self.fold).where("is_best = 1").first()
-        from tabulon.learn.models import Ridge
-        meta = Ridge(scores["alpha"], featuresCol="__meta", labelCol="label").fit(meta_in)
-        data = assemble(self.features).transform(keyed).withColumn("label", F.col(self.label).cast("double"))
-        bases = [b.copy().setFeaturesCol("features").setLabelCol("label").fit(data) for b in self.bases]
-        return StackingModel(bases, meta, self.features)
+        best = ridge_grid_search(oof, names, "label", self.alphas, self.fold).where("is_best = 1").first()
+        meta_in = VectorAssembler(inputCols=names, outputCol="__meta").transform(oof)
+        meta = Ridge(best["alpha"], featuresCol="__meta", labelCol="label").fit(meta_in)
+        return StackingModel(by_fold[None], meta, self.features)
 
 
 __all__ = ["out_of_fold", "compare_models", "grid_search", "tune_models", "validation_curve",

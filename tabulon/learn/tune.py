@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.moments import MOST_EXPRESSIONS, pairwise_sums
 from tabulon.learn.evaluate import cross_validated_scores, regression_metrics
 from tabulon.learn.models import Ridge, assemble
 
@@ -243,6 +244,14 @@ def fold_moments(df: DataFrame, features: Sequence[str], label: str, fold: str =
     """
     import numpy as np
     cols = list(features) + [label]
+    if len(cols) * (len(cols) + 1) // 2 > MOST_EXPRESSIONS:  # matrices of sums in place of an expression a pair
+        _, sums = pairwise_sums(df, cols, fold)
+        out = {}
+        for f, (n, x, _, xy) in sums.items():
+            S = np.zeros((len(cols) + 1, len(cols) + 1))
+            S[0, 0], S[0, 1:], S[1:, 0], S[1:, 1:] = n[0, 0], np.diag(x), np.diag(x), xy
+            out[f] = (int(n[0, 0]), S)
+        return out
     mrow = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()  # d+1 numbers
     z = [F.col(c).cast("double") - F.lit(mrow[f"m{i}"]) for i, c in enumerate(cols)]
     aggs = [F.count(F.lit(1)).alias("n")]

@@ -112,3 +112,32 @@ def test_encoders_keep_the_order_of_numbers_and_take_any_number_of_levels(spark)
     many = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("x"), "id")
     out = G.LabelEncoder(inputCols=["x"]).fit(many).transform(many)
     assert out.where("x <> (id * 7919) % 3000").count() == 0 and out.count() == 3000
+
+
+def test_correlations_of_400_columns(spark):
+    from tabulon.operators.select import correlation_matrix
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 400)) * np.arange(1, 401) + 1000
+    x[:, 7] = 3.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    import pandas as pd
+    frame = pd.DataFrame(x, columns=[f"c{k}" for k in range(400)])
+    df = spark.createDataFrame(frame).repartition(5)
+    got = {(r["a"], r["b"]): r["r"] for r in correlation_matrix(df, df.columns).collect()}
+    want = frame.corr()
+    assert len(got) == 400 * 399 // 2
+    for (a, b), r in list(got.items())[::97]:
+        w = want.loc[a, b]
+        assert (r is None) == bool(np.isnan(w)) and (r is None or abs(r - w) < 1e-9)
+
+
+def test_ridge_moments_of_many_features_equal_the_expressions(spark, monkeypatch):
+    from tabulon.learn import tune as TU
+    rng = np.random.default_rng(1)
+    rows = [(*map(float, rng.normal(size=3) + 5), int(k % 3)) for k in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    want = TU.ridge_grid_search(df, ["a", "b"], "y", [0.1, 10.0]).collect()
+    monkeypatch.setattr(TU, "MOST_EXPRESSIONS", 1)
+    got = TU.ridge_grid_search(df, ["a", "b"], "y", [0.1, 10.0]).collect()
+    for g, w in zip(got, want):
+        assert g["mean_r2"] == pytest.approx(w["mean_r2"]) and g["mean_rmse"] == pytest.approx(w["mean_rmse"]) and g["is_best"] == w["is_best"]

@@ -1,8 +1,10 @@
 """Model, tuning, stacking and segmentation queries.
 
 Fitted models have arbitrary internals, so most of these are rows-only checks;
-one-feature OLS and ridge have closed forms and a DuckDB twin, and the segment
-profile is checked on a fixed segment rule.
+the linear models have closed forms for one feature and a DuckDB twin, the
+segment profile is checked on a fixed segment rule, and the last group states
+what any right fit must give (predictions within the labels, every row scored
+once, nearest centres) in SQL.
 """
 
 from __future__ import annotations
@@ -326,3 +328,77 @@ def s32_churn_flow(spark, sf):
 def s33_scouting_flow(spark, sf):
     from tabulon.plans.flows import scouting_flow
     return scouting_flow(spark, sf)
+
+
+# ------------------------------------------------------------------ invariants of fitted models, stated in SQL
+def _in_label_range(df, pred="prediction", label="label"):
+    """Rows, rows with a prediction, and rows whose prediction lies within the labels: what averaging trees must give."""
+    lim = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+    eps = 1e-9 * max(1.0, abs(lim["hi"]))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count(pred).alias("n_predicted"),
+                  F.count_if(F.col(pred).between(lim["lo"] - eps, lim["hi"] + eps)).alias("n_in_range"))
+
+
+_ALL_IN_RANGE = f"select count(*) as n, count(*) as n_predicted, count(*) as n_in_range from {SALARY_SQL}"
+
+
+@query("m06_tree_invariants", _ALL_IN_RANGE)
+def m06_tree_invariants(spark, sf):
+    return _in_label_range(m06_decision_tree(spark, sf))
+
+
+@query("m07_forest_invariants", _ALL_IN_RANGE)
+def m07_forest_invariants(spark, sf):
+    return _in_label_range(_fit_score(spark, sf, M.regressor("rf", n_estimators=20, max_depth=8)))
+
+
+@query("m10_class_invariants", f"""select m as model, count(*) as n, count(*) as n_of_a_class
+  from (select unnest(['gbm', 'logreg', 'adaboost', 'cart']) as m), customer group by m""")
+def m10_class_invariants(spark, sf):
+    """Every customer gets one of the two classes from every classifier."""
+    out = None
+    for name, params in (("gbm", {"n_estimators": 5}), ("logreg", {}), ("adaboost", {"n_estimators": 5}), ("cart", {"max_depth": 8})):
+        p = _fit_score(spark, sf, M.classifier(name, **params), "c_custkey", _churn_folds, CH_X)
+        row = p.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("n_of_a_class"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("m14_importance_invariants", "select 1.0 as total, 0 as n_negative")
+def m14_importance_invariants(spark, sf):
+    df = _salary_folds(spark, sf)
+    model, _ = M.fit_predict(M.regressor("cart", max_depth=8), df, df.limit(0), SAL_X)
+    imp = M.feature_importance(model, SAL_X)
+    return imp.agg(F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).cast("int").alias("n_negative"))
+
+
+@query("t09_out_of_fold_rows", """select cast(r % 5 as integer) as fold, count(*) as n from (
+  select row_number() over (order by p_partkey) - 1 as r from part) group by 1""")
+def t09_out_of_fold_rows(spark, sf):
+    """Every row is scored once, by the model that did not see its fold (folds by position modulo 5)."""
+    from tabulon.functions.ranking import row_index
+    df = row_index(_salary_folds(spark, sf).drop("fold"), ["p_partkey"], name="r").withColumn("fold", (F.col("r") % 5).cast("int")).drop("r")
+    oof = TU.out_of_fold(M.regressor("lr"), df, SAL_X, "label", keep=["p_partkey"])
+    return oof.where(F.col("prediction").isNotNull()).groupBy("fold").agg(F.count_distinct("p_partkey").alias("n"))
+
+
+@query("k01_nearest_centre", "select count(distinct o_custkey) as n, count(distinct o_custkey) as n_nearest, 1 as sizes_descend from orders")
+def k01_nearest_centre(spark, sf):
+    """Each customer is in the segment of the nearest centre, and segments are numbered by falling size."""
+    seg, model = K.kmeans_segments(rfm_features(spark, sf), RFM_COLS, 4, seed=42)
+    far = [sum((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(RFM_COLS, centre)) for centre in model.clusterCenters()]
+    sizes = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).orderBy("segment").collect()  # k rows
+    falls = int(all(a["n"] >= b["n"] for a, b in zip(sizes, sizes[1:])))
+    # segments are renumbered centres: the nearest centre must be the same for a whole segment
+    place = seg.withColumn("near", F.array_position(F.array(*far), F.array_min(F.array(*far))))
+    whole = place.groupBy("segment").agg(F.mode("near").alias("centre"))
+    near = place.join(whole, "segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("near") == F.col("centre")).alias("n_nearest"))
+    return near.withColumn("sizes_descend", F.lit(falls))
+
+
+@query("k02_cost_falls", "select 18 as n, 1 as n_knees from (select count(*) from customer)")
+def k02_cost_falls(spark, sf):
+    """One knee among the 18 values of k; the curve starts higher than it ends."""
+    e = K.elbow(rfm_features(spark, sf), RFM_COLS, 2, 20, seed=42)
+    return e.agg(F.count(F.lit(1)).cast("int").alias("n"),
+                 F.sum(F.col("is_knee")).cast("int").alias("n_knees"))

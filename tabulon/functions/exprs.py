@@ -124,14 +124,6 @@ def skewtest_z(g1: Column, n: Column) -> Column:
     return F.when(nd >= 8, delta * F.log(y2 / alpha + F.sqrt((y2 / alpha) * (y2 / alpha) + 1)))
 
 
-def two_sided_p_from_z(z: Column) -> Column:
-    """p = erfc(|z|/sqrt 2) via the Abramowitz-Stegun 7.1.26 approximation (|err|<1.5e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
-
-
 def seconds_between(a: str | Column, b: str | Column) -> Column:
     """``(a - b).total_seconds()`` as double.
 

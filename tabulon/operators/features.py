@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.exprs import (c, count_equal, product, row_max, row_mean, row_median, row_min,
                                      row_std, row_sum, safe_ratio, seconds_between)
 from tabulon.functions.ranking import exact_quantiles
+from tabulon.session import scratch_path
 
 
 # ----------------------------------------------------------------- F01 - F03
@@ -28,14 +29,26 @@ def group_means(df: DataFrame, target: str, key_sets: Sequence[Sequence[str]],
     """for each key set, the target mean of the row's group (``transform('mean')``).
 
     A row whose key has a missing value gets NULL (pandas drops such groups).
+    Several key sets are one aggregation with grouping sets, written once; each
+    set's slice of it is then joined.
     """
+    mean = F.avg(F.col(target).cast("double"))
+    every = list(dict.fromkeys(k for keys in key_sets for k in keys))
+    if len(key_sets) > 1:
+        path = scratch_path(df.sparkSession, "group-means")
+        df.groupingSets([[F.col(k) for k in keys] for keys in key_sets], *[F.col(k) for k in every]).agg(
+            F.grouping_id().alias("__set"), mean.alias("__mean")).write.parquet(path)
+        table = df.sparkSession.read.parquet(path)
     out = df
     for i, keys in enumerate(key_sets):
         keys = list(keys)
         name = names[i] if names else "mean_" + "_".join(keys) + f"_{target}"
         valid = reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
-        g = (df.where(valid).groupBy(*keys)
-             .agg(F.avg(F.col(target).cast("double")).alias(name)))
+        if len(key_sets) > 1:
+            left_out = int("".join("0" if k in keys else "1" for k in every), 2)
+            g = table.where(valid & (F.col("__set") == left_out)).select(*keys, F.col("__mean").alias(name)).distinct()
+        else:
+            g = df.where(valid).groupBy(*keys).agg(mean.alias(name))
         out = out.join(g, keys, "left")
     return out
 

@@ -7,13 +7,14 @@ is collected: reports are lazy and can be joined, filtered or written.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.exprs import skew_g1_to_G1, skewtest_z, two_sided_p_from_z
+from tabulon.functions.exprs import skew_g1_to_G1, skewtest_z
 from tabulon.functions.ranking import exact_quantiles, unpivot_values
 
 # The quantile list of the numeric summary.
@@ -211,11 +212,15 @@ def sigma_bands(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame
 
 # ----------------------------------------------------------------- D16
 def skew_test(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Biased skewness g1 (``scipy.stats.skew``), D'Agostino z and two-sided p."""
+    """Biased skewness g1 (``scipy.stats.skew``), D'Agostino z and two-sided p (``erfc(|z| / sqrt 2)``).
+
+    The p-value is one number a column, taken from ``math.erfc`` after the aggregation.
+    """
     st = _long_stats(df, cols, {"n": lambda x: F.count(x), "g1": lambda x: F.skewness(x.cast("double"))})
-    z = skewtest_z(F.col("g1"), F.col("n"))
-    return st.select("feature", "n", F.col("g1").alias("skew"), z.alias("z"),
-                     two_sided_p_from_z(z).alias("p_value"))
+    rows = st.select("feature", "n", F.col("g1").alias("skew"), skewtest_z(F.col("g1"), F.col("n")).alias("z")).collect()
+    return df.sparkSession.createDataFrame(
+        [(*r, None if r["z"] is None else math.erfc(abs(r["z"]) / math.sqrt(2.0))) for r in rows],
+        "feature string, n long, skew double, z double, p_value double")
 
 
 def skew_G1(df: DataFrame, cols: Sequence[str]) -> DataFrame:

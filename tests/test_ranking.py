@@ -141,3 +141,12 @@ def test_ridge_moments_of_many_features_equal_the_expressions(spark, monkeypatch
     got = TU.ridge_grid_search(df, ["a", "b"], "y", [0.1, 10.0]).collect()
     for g, w in zip(got, want):
         assert g["mean_r2"] == pytest.approx(w["mean_r2"]) and g["mean_rmse"] == pytest.approx(w["mean_rmse"]) and g["is_best"] == w["is_best"]
+
+
+def test_skew_p_value_is_the_complementary_error_function(spark):
+    from tabulon.operators.profile import skew_test
+    df = spark.createDataFrame([(float(x * x),) for x in range(60)], "v double")
+    r = skew_test(df, ["v"]).first()
+    # constants: z and p of D'Agostino's test of 0, 1, 4, ..., 3481
+    import math
+    assert r["p_value"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=1e-14) and 0.01 < r["p_value"] < 0.05

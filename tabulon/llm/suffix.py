@@ -54,8 +54,8 @@ from tabulon.llm.common import hot_aware_join, read_table, text_slices, utf8_byt
 
 MIN_BYTES = 200
 GRAM = 64
-CHUNK = 1 << 21        # windows handled at once
-RUN_SUFFIXES = 100_000  # suffixes of a sorted run
+CHUNK = 1 << 16         # windows hashed at once: arrays that stay in a core's cache
+RUN_SUFFIXES = 50_000   # suffixes of a sorted run
 RANGES = 8             # ranges of fingerprints a partition
 PART_BYTES = 1 << 20   # segments whose windows are compared at once, or one anchor's
 

@@ -138,7 +138,8 @@ class Segments:
         starts[touch] |= inside[touch]
         ends[touch - 1] |= inside[touch - 1]
         first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-        return anchor[first] + at, first + at, last + at, h[anchor[first]]
+        # hashes of anchors are least ones: mixed again, they are even over all values
+        return anchor[first] + at, first + at, last + at, _mixed(h[anchor[first]] + np.uint64(BASES[1]))
 
 
 # ---------------------------------------------------------------- front-coded runs

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.session import ship_package
+
 GROUPS = 8  # sums that reach the driver for each key
 
 # expressions of one aggregation beyond which its plan gets too large
@@ -50,6 +52,7 @@ def _total(table: pa.Table) -> pa.Table:
 def pairwise_sums(df: DataFrame, cols: Sequence[str], key: str | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """(means, {key: [n, x, xx, xy]}), each d x d over the rows where both columns are present:
     ``n`` rows, ``x`` sum of the first column, ``xx`` of its squares, ``xy`` of products; values less their means."""
+    ship_package(df.sparkSession)
     kind = "key long, part int, sums binary"
     means = []
     for k in range(0, len(cols), MOST_EXPRESSIONS):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,3 +59,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files under the shared checkpoint directory."""
     import uuid
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, as tasks with functions of its modules must.
+
+    Nothing is done if the workers' ``PYTHONPATH`` names the folder already.  In
+    local mode the folder is added to it; on a cluster the package is sent once
+    with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in (os.environ.get("PYTHONPATH", ""), sc.environment.get("PYTHONPATH", "")) if p]
+    if any(os.path.realpath(p) == os.path.realpath(root) for p in ":".join(known).split(":") if p):
+        return
+    if re.match(r"local(\[|$)", sc.master):
+        sc.environment["PYTHONPATH"] = ":".join([root, *known[1:]])
+    elif not getattr(sc, "_tabulon_sent", False):
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="tabulon-"))  # the driver serves it from here
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "tabulon"), "zip", root, "tabulon"))
+        sc._tabulon_sent = True

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import read_table, remainder, text_slices, utf8_bytes
+from tabulon.session import ship_package
 
 MAX_N = 3
 TRAIN_ROWS = 1500       # a language
@@ -120,6 +121,7 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     src = src.where("id is not null and text is not null and lang is not null")
     counted = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -174,6 +176,7 @@ def _scorer(model: LanguageModel):
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text_col].cast("string").alias("__text"))
     kind = src.schema["__row"].dataType.simpleString()
     return src.mapInArrow(_scorer(model), f"__row {kind}, lang_pred string, score double").select("__row.*", "lang_pred", "score")

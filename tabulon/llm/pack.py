@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import SLICE_BYTES, Words, read_table, text_slices
+from tabulon.session import ship_package
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -175,6 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
     sequence_id (one sequence a piece; its low four bits name the bucket) and offset (always 0)."""
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
+    ship_package(docs.sparkSession)
     own = {x.split()[0] for x in PIECE_COLUMNS.split(", ")}
     keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text_col]) if c not in own]
     src = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text_col].cast("string").alias("__text"))

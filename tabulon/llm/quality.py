@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import SPACE, Words, read_table, remainder, text_slices
+from tabulon.session import ship_package
 
 PASSAGE_WORDS = 64
 HASHED = 256
@@ -173,6 +174,7 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel:
     """Learn from the labelled ones of ``docs``, from a sample if they are many (see the module's text)."""
+    ship_package(docs.sparkSession)
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(label_col).cast("double")).alias("y"))
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -199,6 +201,7 @@ def _scorer(model: AttentionModel):
 
 def score(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``score`` (0 to 1)."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text_col].cast("string").alias("__text"))
     kind = src.schema["__row"].dataType.simpleString()
     return src.mapInArrow(_scorer(model), f"__row {kind}, score double").select("__row.*", "score")

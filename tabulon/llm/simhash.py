@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import Words, hot_aware_join, read_table, text_slices, written
 from tabulon.llm.components import connected_components
+from tabulon.session import ship_package
 
 SHINGLE = 4
 SEED = 42
@@ -180,6 +181,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4, hot_rows: int = 1000
     Fingerprints that meet a key with more are linked through their meeting points
     instead, which gives the same components from a number of rows in proportion.
     """
+    ship_package(prints.sparkSession)
     if not 0 <= max_bits <= 4:
         raise ValueError("the segments cover up to 4 differing bits")
     stored = prints.select("fp").mapInArrow(_keyed(_stored), "key long, fp long")
@@ -216,6 +218,7 @@ def _printer(shingle: int):
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = 4, id_col: str = "doc_id",
                        text_col: str = "text", hot_rows: int = 1000) -> DataFrame:
     """(id_col, fingerprint long, component_id) for each row of ``docs``."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     prints = written(src.mapInArrow(_printer(shingle), f"id {kind}, fp long"), "prints")

@@ -51,6 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import hot_aware_join, read_table, text_slices, utf8_bytes, written
+from tabulon.session import ship_package
 
 MIN_BYTES = 200
 GRAM = 64
@@ -505,6 +506,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
     """
     if min_bytes < 2 * GRAM:
         raise ValueError(f"min_bytes must be at least {2 * GRAM}")
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     own = ["kept", "n_bytes", "n_removed", "n_spans"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*own, text_col)]

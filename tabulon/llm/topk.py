@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import read_table, written
+from tabulon.session import ship_package
 
 SAMPLE = 8192
 MAX_PIVOTS = 256
@@ -219,6 +220,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Of query rows that repeat an id the smallest vector is taken.
     """
+    ship_package(vectors.sparkSession)
     ints = integer_vectors(vectors, id_col, vec_col, scale)
     asked = integer_vectors(queries, id_col, vec_col, scale)
     model = fit(ints)

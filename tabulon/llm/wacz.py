@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import hot_aware_join, read_table, shared_dir, written
+from tabulon.session import ship_package
 
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a task starts its next archive
 RANGE_BYTES = 1 << 20     # compressed bytes of a range of records
@@ -220,6 +221,7 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages into archives below ``folder``; a row (path, records) an archive."""
+    ship_package(pages.sparkSession)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.col(html_col).cast("string").alias("html"))
     src = src.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
@@ -278,6 +280,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of the archives named in column ``path``: directory, index, then range reads dealt out evenly."""
+    ship_package(archives.sparkSession)
     ranges = archives.select("path").mapInArrow(_ranges, "path string, start long, lengths array<int>")
     return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_records, RECORD_SCHEMA)
 

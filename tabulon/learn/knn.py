@@ -45,12 +45,19 @@ def sq_dist_block(a: Column, b: Column, dims) -> Column:
 
 
 def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, label_col: str,
-                   k: int = 5, n_pivots: int = 64, exclude_self: bool = False, seed: int = 42,
-                   rings: int = 8) -> DataFrame:
-    """(qid, tid, tlabel, dist, rank) for the k nearest training rows of every query row."""
+                   k: int = 5, n_pivots: int | None = None, exclude_self: bool = False, seed: int = 42,
+                   rings: int = 8, part_rows: int = 50_000) -> DataFrame:
+    """(qid, tid, tlabel, dist, rank) for the k nearest training rows of every query row.
+
+    Pivots grow with the square root of the training rows (32 to 256) unless given.
+    A cell of more than ``part_rows`` rows is dealt into parts by a hash of the id, so
+    a dense cluster is many groups of bounded size.
+    """
     tr = train.select(F.col(id_col).alias("tid"), _as_doubles(vec_col).alias("tv"),
                       F.col(label_col).alias("tlabel"))
     qu = query.select(F.col(id_col).alias("qid"), _as_doubles(vec_col).alias("qv"))
+    if n_pivots is None:
+        n_pivots = max(32, min(256, int(tr.count() ** 0.5)))
     piv_rows = (tr.orderBy(F.xxhash64("tid", F.lit(seed)), "tid").limit(n_pivots)
                 .select("tv").collect())  # n_pivots vectors: bounded
     pivots = F.array(*[F.array(*[F.lit(float(v)) for v in r["tv"]]) for r in piv_rows])
@@ -77,6 +84,12 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
     shell_g = [int(r["ring"]) for r in shells]
     shell_lo = [float(r["rmin"]) for r in shells]
     shell_hi = [float(r["rmax"]) for r in shells]
+    parts = F.array(*[F.lit(max(1, -(-n // part_rows))) for n in sizes])
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("tid"), F.element_at(parts, F.col("cell") + 1)).cast("int"))
+
+    def every_part(d):
+        return d.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
+
     need = k + (1 if exclude_self else 0)
     info = F.arrays_zip(F.col("_qd").alias("d"), F.array(*[F.lit(x) for x in radius]).alias("r"),
                         F.array(*[F.lit(x) for x in sizes]).alias("n"),
@@ -101,7 +114,7 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
     # phase 1: exact k-th distance inside the query's own cell -> a tight upper bound
     q0 = (qu.withColumn("_qd", pivot_dists(F.col("qv"))).withColumn("_info", info)
           .withColumn("cell", (F.array_position(F.col("_qd"), F.array_min("_qd")) - 1).cast("int")))
-    own = q0.select("qid", "qv", "cell").join(cells.select("cell", "tid", "tv"), "cell")
+    own = every_part(q0.select("qid", "qv", "cell")).join(cells.select("cell", "part", "tid", "tv"), ["cell", "part"])
     if exclude_self:
         own = own.where(F.col("qid") != F.col("tid"))
     own = with_dist(own, ["qid", "tid"])
@@ -118,7 +131,7 @@ def knn_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str
                     <= F.col("_tau"))
     cand = q.select("qid", "qv", F.explode(keep).alias("s")).select(
         "qid", "qv", F.col("s.c").alias("cell"), F.col("s.g").alias("ring"))
-    pairs = cand.join(cells.select("cell", "ring", "tid", "tv", "tlabel"), ["cell", "ring"])
+    pairs = every_part(cand).join(cells.select("cell", "ring", "part", "tid", "tv", "tlabel"), ["cell", "ring", "part"])
     if exclude_self:
         pairs = pairs.where(F.col("qid") != F.col("tid"))
     pairs = with_dist(pairs, ["qid", "tid", "tlabel"])

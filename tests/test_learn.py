@@ -65,3 +65,16 @@ def test_adaboost_refuses_a_label_that_is_no_class(spark, data):
     df = VectorAssembler(inputCols=["a"], outputCol="features").transform(data)
     with pytest.raises(ValueError):
         M.AdaBoostSAMME(n_estimators=2).fit(df.withColumn("label", F.lit(1.0)))
+
+
+def test_knn_with_a_dense_cluster_in_parts_equals_brute_force(spark):
+    import numpy as np
+    from tabulon.learn.knn import knn_neighbours
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(size=(120, 3)) * 0.01, rng.normal(size=(60, 3)) * 5, np.zeros((40, 3))])
+    df = spark.createDataFrame([(i, [float(a) for a in v], float(i % 3)) for i, v in enumerate(x)], "id long, v array<double>, label double")
+    got = knn_neighbours(df, df, "id", "v", "label", k=4, exclude_self=True, part_rows=15).collect()
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    want = {(q, n + 1): t for q in range(len(x)) for n, t in enumerate(np.lexsort((np.arange(len(x)), far[q]))[:4])}
+    assert {(r["qid"], r["rank"]): r["tid"] for r in got} == want

@@ -29,7 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Words, read_table, text_slices, utf8_bytes
+from tabulon.llm.common import Words, read_table, text_slices, utf8_bytes, written
+from tabulon.session import ship_package
 
 SHARE = 0.002
 LANGUAGE_SHARE = 0.001
@@ -185,8 +186,10 @@ def _counter(names: list[str], common: dict[str, list[bytes]]):
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """lang -> (class counts, common words, their counts and the rest's).  Bounded by the two shares."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    named = src.mapInArrow(_candidates, "lang string, word binary, words long").groupBy("lang", "word").agg(F.sum("words").alias("words"))
+    named = written(src.mapInArrow(_candidates, "lang string, word binary, words long").groupBy("lang", "word").agg(
+        F.sum("words").alias("words")), "words")
     totals = {r["lang"]: r["words"] for r in named.where("word is null").join(
         F.broadcast(named.where(f"word is null and lang = '{POOLED}'").select(F.col("words").alias("whole"))),
         F.col("words") >= LANGUAGE_SHARE * F.col("whole")).collect()}

@@ -190,7 +190,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4, hot_rows: int = 1000
                     .unionByName(hot.select("key", F.lit(0).cast("long").alias("fp"), F.lit(True).alias("hot"))), "index")
     probes = prints.select("fp").mapInArrow(_keyed(probe_keys), "key long, fp long")
     distance = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("i.fp")))
-    met = probes.alias("p").join(index.alias("i"), F.col("p.key") == F.col("i.key")).where(
+    # many keys come from a narrow table, so the planner would take them for small
+    met = probes.hint("merge").alias("p").join(index.alias("i"), F.col("p.key") == F.col("i.key")).where(
         F.col("i.hot") | ((F.col("p.fp") < F.col("i.fp")) & (distance <= max_bits)))
     met = written(met.select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"), "hot").distinct(), "met")
     links = met.where(~F.col("hot")).select("a", "b")
@@ -202,7 +203,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4, hot_rows: int = 1000
     points = crowd.mapInArrow(_keyed(_meeting_points), "key long, fp long")
     least = written(points.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
                     .select("key", "least"), "points")
-    near = points.join(least, "key").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    near = points.hint("merge").join(least, "key").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
     return links.unionByName(near)
 
 

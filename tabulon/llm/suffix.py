@@ -535,7 +535,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
     crowd = max(hot_least, hot_share * total / partitions)  # at most 1 / hot_share anchors a partition have so many
     hot = keys.where(F.col("n") >= crowd).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     cold = keys.where(F.col("n") < crowd).select("key")
-    by_doc = plain.mapInArrow(_keys_by_doc(min_bytes, hot), "key long, k1 long, k2 long").join(cold, "key")
+    by_doc = plain.mapInArrow(_keys_by_doc(min_bytes, hot), "key long, k1 long, k2 long").hint("merge").join(cold, "key")
     repeated = written(by_doc.groupBy("k1", "k2").agg(F.collect_list("key").alias("keys")), "candidates")
 
     # one exchange of the texts serves the sorted runs and the result

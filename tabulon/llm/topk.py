@@ -231,7 +231,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
 
     # the annulus nearest to the query's own distance, in its nearest cells
-    near = asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(_router(model, FIRST_CELLS), ROUTE).join(annuli, ["dim", "cell"])
+    near = asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(_router(model, FIRST_CELLS), ROUTE).hint("merge").join(annuli, ["dim", "cell"])
     gap = F.greatest(F.col("low") - F.col("qfar"), F.col("qfar") - F.col("high"), F.lit(0.0))
     nearest = Window.partitionBy("query_id", "cell").orderBy(gap, "ring", "part")
     near = near.withColumn("nth", F.row_number().over(nearest)).where("nth = 1").drop("nth", "low", "high")
@@ -240,7 +240,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     bounded = asked.join(first, "query_id", "left").withColumn("kth", F.when(F.col("n") >= k, F.col("kth"))).drop("n")
     bounded = bounded.mapInArrow(_bounder(model), "query_id long, dim int, v array<double>, chunk int, bound double")
     reach = (F.col("low") <= F.col("qfar") + F.col("bound")) & (F.col("high") >= F.col("qfar") - F.col("bound"))
-    routes = bounded.mapInArrow(_router(model, None), ROUTE).join(annuli, ["dim", "cell"]).where(reach).drop("low", "high")
+    routes = bounded.mapInArrow(_router(model, None), ROUTE).hint("merge").join(annuli, ["dim", "cell"]).where(reach).drop("low", "high")
     return _ranked(_visit(routes, index, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

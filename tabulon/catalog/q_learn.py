@@ -330,6 +330,20 @@ def s33_scouting_flow(spark, sf):
     return scouting_flow(spark, sf)
 
 
+@query("s34_segmentation_flow")
+def s34_segmentation_flow(spark, sf):
+    """RFM features, k from the elbow of 2..19, k-means segments and their profile, then hierarchical segments and theirs."""
+    feats = rfm_features(spark, sf).persist()
+    knee = K.elbow(feats, RFM_COLS, 2, 20, seed=42).where("is_knee = 1").first()
+    k = knee["k"] if knee else 2
+    seg, _ = K.kmeans_segments(feats, RFM_COLS, k, seed=42)
+    tree, _ = K.hierarchical_segments(feats, RFM_COLS, k, seed=42)
+    feats.unpersist()
+    one = K.segment_profile(seg, "segment", RFM_COLS).withColumn("method", F.lit("kmeans"))
+    two = K.segment_profile(tree, "hsegment", RFM_COLS).withColumnRenamed("hsegment", "segment").withColumn("method", F.lit("hierarchical"))
+    return one.unionByName(two)
+
+
 # ------------------------------------------------------------------ invariants of fitted models, stated in SQL
 def _in_label_range(df, pred="prediction", label="label"):
     """Rows, rows with a prediction, and rows whose prediction lies within the labels: what averaging trees must give."""

@@ -9,6 +9,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+ARROW_BATCH_BYTES = 8 << 20
+
 
 def get_spark(master: str | None = None, app: str = "tabulon",
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -62,12 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, as tasks with functions of its modules must.
+    """Let Python workers import this package, as tasks with functions of its modules must, and pass rows to them in
+    Arrow batches of ``ARROW_BATCH_BYTES`` at most (a smaller setting of the session stays).
 
     Nothing is done if the workers' ``PYTHONPATH`` names the folder already.  In
     local mode the folder is added to it; on a cluster the package is sent once
     with ``addPyFile``.
     """
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower().rstrip("b")
+    if size.isdigit() and int(size) > ARROW_BATCH_BYTES or size.endswith(("m", "g")):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     known = [p for p in (os.environ.get("PYTHONPATH", ""), sc.environment.get("PYTHONPATH", "")) if p]

@@ -29,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import SLICE_BYTES, Words, read_table, text_slices
+from tabulon.llm.common import Words, read_table, text_slices
 from tabulon.session import ship_package
 
 MAX_TOKENS = 4096
 END_ID = 2
-CACHE_WORDS = 2_000_000  # encoded words that a Python worker remembers
+CACHE_WORDS = 700_000  # encoded words that a Python worker remembers
+
+MARKS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[list(b".,;:!?")] = True
+ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
 PIECE_COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -127,9 +131,18 @@ def word_encoder(path: str) -> WordEncoder:
 
 def encode_texts(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, each with its end id; offsets of the texts in them)."""
-    words = Words(col)
+    words = Words(col, code=False)
+    # "word," is two units, the word and the mark, if a letter or digit of ASCII stands before the mark
+    size = words.ends - words.starts
+    last, before = words.data[words.ends - 1], words.data[np.maximum(words.ends - 2, 0)]
+    marked = (size > 1) & MARKS[last] & ALNUM[before]
+    edges = np.insert(words.word_offsets, np.flatnonzero(marked) + 1, words.word_offsets[1:][marked] - 1)
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [
+        None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words.letters))]).dictionary_encode()
+    codes = units.indices.to_numpy(zero_copy_only=False)
+    words.edges = words.edges + np.concatenate([[0], np.cumsum(marked)])[words.edges]
     encoder = word_encoder(path)
-    ids, total = encoder.gather(encoder(words.vocabulary.to_pylist())[words.codes])
+    ids, total = encoder.gather(encoder(units.dictionary.to_pylist())[codes])
     offsets = total[words.edges] + np.arange(len(words.edges))  # an end id for each text before
     out = np.full(offsets[-1], end_id, np.uint32)
     doc_of = np.repeat(np.arange(len(words.counts)), np.diff(total[words.edges]))
@@ -145,7 +158,7 @@ def piece_lengths(tokens: int, max_tokens: int) -> list[int]:
 def _packer(path: str, max_tokens: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = TaskContext.get().partitionId(), [0] * max_tokens.bit_length()
-        for b in text_slices(batches, "__text", 2 * SLICE_BYTES):
+        for b in text_slices(batches, "__text"):
             ids, offsets = encode_texts(b.column("__text"), path, end_id)
             doc, start, length, numbers = [], [], [], []
             for k, n in enumerate(np.diff(offsets).tolist()):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from tabulon.session import ensure_checkpoint_dir
 # Rows up to which a side is broadcast; beyond it joins shuffle (hot keys are handled apart).
 BROADCAST_ROWS = 10_000
 # Text bytes handled at once inside a task (a single longer text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -52,6 +53,15 @@ def hot_aware_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFra
     return joined.select(*big.columns, *both)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES,
                 max_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column`` (one row at least)."""
@@ -68,6 +78,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             to = min(to, at + max_rows)
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
 
 
 def utf8_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor left (Parquet, read again)
 and returns documents of the same columns; the last returns pieces of sequences.
-Rows are known by ``doc_id``; rows that repeat one are repeats of a document.
+Rows that repeat a ``doc_id`` with its text are repeats of a document; rows of one
+id with other texts, and rows without an id, are documents of their own.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component, once."""
-    found = simhash_components(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    once = docs.join(stays.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(stays.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each SimHash component: that of the smallest id (no id comes last), then of the smallest text hash."""
+    # two 64-bit hashes; a struct is never null, so rows without an id are found again too
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    keyed = docs.withColumn("__key", key)
+    found = simhash_components(keyed, id_col="__key")
+    stays = found.where(F.col("__key") == F.col("component_id")).groupBy("__key").agg(F.count(F.lit(1)).alias("rows"))
+    once = keyed.join(stays.where("rows = 1").select("__key"), "__key", "left_semi")
+    repeated = keyed.join(stays.where("rows > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
     return once.unionByName(repeated).select(*COLUMNS)
 
 

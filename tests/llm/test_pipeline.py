@@ -56,6 +56,15 @@ def test_one_document_of_each_group_stays_even_if_rows_repeat(spark):
     assert sorted(r["doc_id"] for r in P.one_of_each(spark, df, "").collect()) == [1, 3, 4]
 
 
+def test_rows_without_an_id_and_with_one_id_and_two_texts_stay(spark):
+    rows = [(None, "a b c d e", "en", "s", 9), (None, "a b c d e", "de", "s", 9), (None, "p q r s t", "en", "s", 9), (None, "z y x w v", "en", "s", 9),
+            (3, "z y x w v", "en", "s", 9), (7, "k l m n o", "en", "s", 9), (7, "f g h i j", "en", "s", 9), (None, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.one_of_each(spark, df, "").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [
+        ("3", "z y x w v"), ("7", "f g h i j"), ("7", "k l m n o"), ("None", "None"), ("None", "a b c d e"), ("None", "p q r s t")]
+
+
 def test_stages_on_no_rows(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (_, stage) in enumerate(P.STAGES):

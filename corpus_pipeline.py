@@ -23,8 +23,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("rules.kept").select(*COLUMNS)
+    """Documents that the quality rules keep, each judged within its own language."""
+    return quality_rules(docs, own=True).where("rules.kept").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,11 @@ exactly.  A language has its own reference if it holds ``LANGUAGE_SHARE`` of all
 words (so there are at most 1 / LANGUAGE_SHARE of them, with 1 / SHARE words
 each); other languages and null are compared with the reference of all words.
 
+With ``own=True`` (the pipeline) no document is compared with other languages:
+every language of ``REFERENCE_WORDS`` words or more has a reference of its own,
+those of small share in a table that is joined; documents of smaller languages
+and without one are judged by the base rules only.
+
 Defined results: a null or empty text has zero counts, fails the base rules and
 has distances of 0; rows that repeat are judged alike; an empty table gives an
 empty result; other columns are kept (an input column ``rules`` is replaced).
@@ -37,6 +42,7 @@ LANGUAGE_SHARE = 0.001
 CLASS_DISTANCE, CLASS_WORDS = 0.29, 50
 WORD_DISTANCE, WORD_WORDS = 0.44, 50
 POOLED = "*"  # the reference of all words
+REFERENCE_WORDS = 5_000  # 10 of a common word
 
 # Classes of bytes (every code point counts once, by its first byte).
 LOWER, UPPER, DIGIT, SENTENCE, SYMBOL, LETTER, WHITE, CONTROL, NONE = range(9)
@@ -184,12 +190,62 @@ def _counter(names: list[str], common: dict[str, list[bytes]]):
     return count
 
 
+def _all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice and language: characters by class (word null), and each word's count (bin -1)."""
+    for b in text_slices(batches, "text"):
+        w = Words(b.column("text"))
+        low = lower_words(w).dictionary_encode()
+        code = low.indices.to_numpy(zero_copy_only=False)[w.codes] if len(w.codes) else np.zeros(0, np.int64)
+        classes = class_counts(w.data, w.offsets)
+        lang, names = _languages(b.column("lang"))
+        key = (lang[w.doc].astype(np.int64) * max(len(low.dictionary), 1) + code) if len(code) else code
+        pairs, n = np.unique(key, return_counts=True)
+        of, word = np.divmod(pairs, max(len(low.dictionary), 1))
+        sums = np.zeros((len(names), CLASSES), np.int64)
+        np.add.at(sums, lang, classes)
+        some, bins = np.nonzero(sums)
+        whose = pa.array(names, pa.string()).take(pa.array(np.concatenate([of, some])))
+        words = pa.concat_arrays([low.dictionary.take(pa.array(word)).cast(pa.binary()), pa.nulls(len(some), pa.binary())])
+        yield pa.RecordBatch.from_arrays([whose, words, pa.array(np.concatenate([np.full(len(of), -1), bins]).astype(np.int32)),
+                                          pa.array(np.concatenate([n, sums[some, bins]]))], names=["lang", "word", "bin", "n"])
+
+
+def small_references(src: DataFrame, totals: DataFrame) -> DataFrame:
+    """(lang, classes, words) for the languages of ``totals`` (lang, total): what ``references`` gives, as a written table."""
+    counted = written(src.join(totals.select("lang"), "lang", "left_semi").select("text", "lang").mapInArrow(
+        _all_counts, "lang string, word binary, bin int, n long").groupBy("lang", "word", "bin").agg(F.sum("n").alias("n")), "counts")
+    classes = counted.where("word is null").groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("classes"))
+    common = counted.where("word is not null").join(totals, "lang").where(F.col("n") >= SHARE * F.col("total"))
+    words = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"))
+    return written(totals.join(classes, "lang").join(words, "lang", "left").select("lang", F.struct("total", "classes", "words").alias("__ref")), "references")
+
+
+def _reference(of: dict) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    classes = np.zeros(CLASSES, np.int64)
+    for c in of["classes"]:
+        classes[c["bin"]] = c["n"]
+    words = of["words"] or []
+    n = [w["n"] for w in words]
+    return classes, [w["word"] for w in words], np.array([*n, of["total"] - sum(n)], np.int64)
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """lang -> (class counts, common words, their counts and the rest's).  Bounded by the two shares."""
+    src = _source(docs, text_col, lang_col)
+    return _references(src, _named(src))
+
+
+def _source(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     ship_package(docs.sparkSession)
-    src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    named = written(src.mapInArrow(_candidates, "lang string, word binary, words long").groupBy("lang", "word").agg(
+    return docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+
+def _named(src: DataFrame) -> DataFrame:
+    return written(src.mapInArrow(_candidates, "lang string, word binary, words long").groupBy("lang", "word").agg(
         F.sum("words").alias("words")), "words")
+
+
+def _references(src: DataFrame, named: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     totals = {r["lang"]: r["words"] for r in named.where("word is null").join(
         F.broadcast(named.where(f"word is null and lang = '{POOLED}'").select(F.col("words").alias("whole"))),
         F.col("words") >= LANGUAGE_SHARE * F.col("whole")).collect()}
@@ -211,7 +267,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return refs
 
 
-def _judge(refs: dict):
+def _judge(refs: dict, joined: bool = False):
+    """With ``joined`` each row brings its language's reference, or null."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "__text"):
             w = Words(b.column("__text"))
@@ -226,7 +284,11 @@ def _judge(refs: dict):
             lang, seen = _languages(b.column("__lang"))
             for k, name in enumerate(seen):
                 rows = np.flatnonzero(lang == k)
-                ref = refs.get(name) if name is not None and name in refs else refs.get(POOLED)
+                if joined:
+                    of = b.column("__ref")[int(rows[0])].as_py()
+                    ref = _reference(of) if of else None
+                else:
+                    ref = refs.get(name) if name is not None and name in refs else refs.get(POOLED)
                 if ref is None:
                     continue
                 js_class[rows] = distance(classes[rows], ref[0])
@@ -252,13 +314,27 @@ RULES = ("struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines:
 SPACE_OR_PART = (BYTE_CLASS == WHITE) | ((np.arange(256) >= 128) & (np.arange(256) < 192))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, own: bool = False) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``rules``: the counts, the two distances, ``base_failed`` and ``kept``."""
-    refs = references(docs, text_col, lang_col)
+    plain = _source(docs, text_col, lang_col)
+    named = _named(plain)
+    refs = _references(plain, named)
     cols = [docs[c] for c in (docs.columns if keep is None else keep) if c != "rules"]
     src = docs.select(F.struct(*cols).alias("__row"), docs[text_col].alias("__text"), docs[lang_col].cast("string").alias("__lang"))
     kind = src.schema["__row"].dataType.simpleString()
-    return src.mapInArrow(_judge(refs), f"__row {kind}, rules {RULES}").select("__row.*", "rules")
+    judged = f"__row {kind}, rules {RULES}"
+    if not own:
+        return src.mapInArrow(_judge(refs), judged).select("__row.*", "rules")
+    large = [n for n in refs if n != POOLED]
+    mine = {n: refs[n] for n in large if refs[n][2].sum() >= REFERENCE_WORDS}
+    totals = named.where(F.col("word").isNull() & (F.col("lang") != POOLED) & ~F.col("lang").isin(large) & (F.col("words") >= REFERENCE_WORDS)).select(
+        "lang", F.col("words").alias("total"))
+    if totals.isEmpty():
+        return src.mapInArrow(_judge(mine), judged).select("__row.*", "rules")
+    there = F.col("__lang").isNull() | F.col("__lang").isin(large)
+    small = src.where(~there).join(small_references(plain, totals).withColumnRenamed("lang", "__lang"), "__lang", "left")
+    return src.where(there).mapInArrow(_judge(mine), judged).unionByName(
+        small.select("__row", "__text", "__lang", "__ref").mapInArrow(_judge({}, joined=True), judged)).select("__row.*", "rules")
 
 
 def op9_divergence_rules(spark, sf_dir):

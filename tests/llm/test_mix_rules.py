@@ -128,6 +128,29 @@ def test_reference_covers_all_rows_and_odd_texts_are_far(spark):
     assert quality_rules(df.where("false")).count() == 0
 
 
+def test_small_languages_are_judged_within_themselves(spark, monkeypatch):
+    import tabulon.llm.rules as module
+    rnd = random.Random(8)
+
+    def prose(n, letters):
+        return " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(n))
+
+    greek = [(k, prose(60, "αεινοστ"), "el") for k in range(30)] + [(70, prose(60, "αεινοστ").replace(" ", " ||||||| "), "el")]
+    rows = greek + [(80, prose(60, "абвгд"), None), (81, prose(60, "абвгд"), "ru"), (82, "абв", "ru"), (83, None, None), (84, None, "el"), (85, None, "xx")]
+    rows += [(100 + k, prose(200, "aeinrst"), "en") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(module, "REFERENCE_WORDS", 1000)
+    want = {*range(30), 80, 81, *range(100, 130)}
+    for share in (0.001, 0.5):  # the result does not depend on the way
+        monkeypatch.setattr(module, "LANGUAGE_SHARE", share)
+        got = quality_rules(df, own=True).collect()
+        assert len(got) == len(rows) and {r["doc_id"] for r in got if r["rules"]["kept"]} == want
+        if share == 0.001:
+            before = {r["doc_id"]: r["rules"] for r in got}
+    for r in got:
+        assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(r["rules"], before[r["doc_id"]]))
+
+
 def test_distance_is_zero_to_one():
     p = np.array([[1, 0], [0, 5], [2, 2], [0, 0]])
     assert np.allclose(distance(p, np.array([3, 0])), [0, 1, distance(np.array([[1, 1]]), np.array([1, 0]))[0], 0])

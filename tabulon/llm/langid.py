@@ -10,9 +10,11 @@ presence matrix with one column a language, over the whole texts.
 
 Learning takes bounded samples by hash of the id: about ``TRAIN_ROWS`` rows and
 ``LANDMARKS`` landmarks a language (landmarks among texts of up to
-``LANDMARK_CHARS`` characters).  Languages are those with at least
-``LANGUAGE_SHARE`` of the rows to learn from.  N-grams of no landmark are
-orthogonal to all of them and left out.
+``LANDMARK_CHARS`` characters; a language without one drawn has the start of its shortest text).
+Every language with a row to learn from is learned, whatever its share; beyond
+``ALL_LANDMARKS`` / ``LANDMARKS`` languages each has fewer landmarks, one at
+least, so the driver's state grows with the number of languages and not with the
+rows.  N-grams of no landmark are orthogonal to all of them and left out.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a
 null lang or id is not learned from; a null id is not held out; repeated rows are
@@ -37,7 +39,7 @@ MAX_N = 3
 TRAIN_ROWS = 1500       # a language
 LANDMARKS = 64          # a language
 LANDMARK_CHARS = 20_000
-LANGUAGE_SHARE = 0.001
+ALL_LANDMARKS = 1024
 RIDGE = 1e-2            # times the number of rows
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -124,9 +126,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ship_package(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     src = src.where("id is not null and text is not null and lang is not null")
-    counted = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    counts = {r["lang"]: r["n"] for r in counted.where(F.col("n") >= LANGUAGE_SHARE * total).collect()}  # 1 / LANGUAGE_SHARE rows
+    counts = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0)))
     languages = sorted(counts)
@@ -136,10 +136,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         u = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
         return known.where(u <= _share(counts, rows))
 
-    marks = draw(1, LANDMARKS).where(F.length("text") <= LANDMARK_CHARS).orderBy("lang", F.xxhash64("id")).limit(2 * LANDMARKS * len(languages)).toArrow()
-    if not marks.num_rows:
-        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0)))
+    each = min(LANDMARKS, max(1, ALL_LANDMARKS // len(languages)))
+    marks = draw(1, each).where(F.length("text") <= LANDMARK_CHARS).orderBy("lang", F.xxhash64("id")).limit(2 * each * len(languages)).toArrow()
     texts = marks["text"].combine_chunks()
+    without = sorted(set(languages) - set(marks["lang"].to_pylist()))
+    if without:
+        short = known.where(F.col("lang").isin(without)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), F.xxhash64("id"))).alias("text"))
+        more = short.orderBy("lang").select(F.substring("text", 1, LANDMARK_CHARS).alias("text")).toArrow()["text"].combine_chunks()
+        texts = pa.concat_arrays([texts.cast(more.type), more])
     codes = distinct_codes(texts)
     landmarks = normed(Vocabulary(codes).presence(texts))
     parts = draw(2, TRAIN_ROWS).repartition(16).mapInArrow(_moments(codes, landmarks, languages), "gram binary, target binary, n long").collect()

@@ -53,6 +53,18 @@ def test_odd_rows_of_both(spark):
     assert langid.predict(empty, model, ["doc_id"]).count() == 0 and quality.score(empty, one, ["doc_id"]).count() == 0
 
 
+def test_languages_of_small_share_are_learned(spark, monkeypatch):
+    rows = [(k, f"the cat and the dog of number {k} went to the house", "en") for k in range(6000)]
+    rows += [(10_000 + k, f"η γάτα και ο σκύλος του σπιτιού {k}", "el") for k in range(5)] + [(20_000, "кошка и собака " * 2000, "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(1, "ο σκύλος και η γάτα πήγαν"), (2, "собака и кошка"), (3, "a dog of the house")], "doc_id long, text string")
+    for marks in (langid.ALL_LANDMARKS, 3):
+        monkeypatch.setattr(langid, "ALL_LANDMARKS", marks)
+        model = langid.fit(df)
+        assert model.languages == ["el", "en", "ru"]
+        assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(new, model, ["doc_id"]).collect()} == {1: "el", 2: "ru", 3: "en"}
+
+
 def test_remainder_is_crc32_of_the_id_as_text(spark):
     import zlib
     rows = spark.range(50).select("id", remainder("id", 5).alias("r")).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabulon.llm.decontaminate import OP12_SQL, op12_positional_index
 from tabulon.llm.langid import op4_string_kernel_langid
 from tabulon.llm.mix import OP8_SQL, op8_mix_sources
 from tabulon.llm.pack import op7_pack_pow2
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_positional_index": op12_positional_index,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op5_wacz": OP5_SQL,
     "op8_mix_sources": OP8_SQL,
     "op9_divergence_rules": OP9_SQL,
+    "op12_positional_index": OP12_SQL,
 }

@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -47,7 +48,7 @@ from tabulon.llm.common import SLICE_BYTES, read_table, text_slices, utf8_bytes,
 from tabulon.session import ship_package
 
 BUCKETS = 10_000
-PIECE_BYTES = 2 * SLICE_BYTES
+PIECE_BYTES = SLICE_BYTES // 2  # the automaton of a piece should stay in a processor's cache
 LONG_WORD = 200
 LEAST_WORDS = 20
 SHARE = (5, 100)
@@ -104,25 +105,25 @@ def _payloads(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
     Words are between spaces; ``text`` starts and ends with one.
     """
-    named: dict[str, bytes] = {}
+    named: dict[str, str] = {}
     if re.search(f"[^ ]{{{LONG_WORD + 1},}}", text):
         def name(found: re.Match) -> str:
             short = f"{NAME}{len(named)}"
-            named[short] = found[0].encode()
+            named[short] = found[0]
             return short
 
         text = re.sub(f"[^ ]{{{LONG_WORD + 1},}}", name, text)
-    words = set(text.split(" ")) - {"", MARK}
-    size, crc, spaced = (np.zeros(len(words) + 1, t) for t in (np.int64, np.uint32, np.uint32))
+    words = sorted(set(text.split(" ")) - {"", MARK})  # neighbours in the automaton are neighbours in memory
+    raw = [named.get(word, word).encode() for word in words] if named else [word.encode() for word in words]
+    size = np.fromiter(map(len, [b"", *raw]), np.int64, len(words) + 1)
+    crc = np.fromiter(map(zlib.crc32, [b"", *raw]), np.uint32, len(words) + 1)
+    spaced = _CRC.shift(crc, np.ones(len(crc), np.int64)) ^ np.uint32(zlib.crc32(b" "))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     automaton.add_word(f" {MARK} ", 0)
     for k, word in enumerate(words, 1):
         automaton.add_word(f" {word} ", k)
-        raw = named[word] if word in named else word.encode()
-        size[k], crc[k] = len(raw), zlib.crc32(raw)
-        spaced[k] = zlib.crc32(b" ", int(crc[k]))
     automaton.make_automaton()
-    numbers = np.fromiter((number for _, number in automaton.iter(text)), np.int64)
+    numbers = np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64)
     return numbers, crc, spaced, size
 
 

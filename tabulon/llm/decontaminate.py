@@ -107,8 +107,8 @@ def _by_rarity(index: PositionalIndex, phrases: DataFrame) -> DataFrame:
     """(phrase, terms, size, ranked): offsets and terms from the rarest on; phrases with an unknown term go."""
     asked = phrases.select("phrase", "terms", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     vocabulary = asked.select("term").distinct()
-    lists = index.postings.join(_few(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ranked = asked.join(lists, "term").groupBy("phrase", "terms", "size").agg(
+    lists = written(index.postings.join(_few(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "lists")
+    ranked = asked.join(_few(lists), "term").groupBy("phrase", "terms", "size").agg(
         F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("ranked"))  # the words of one phrase
     return ranked.where(F.size("ranked") == F.col("size"))
 

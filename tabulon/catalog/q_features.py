@@ -64,6 +64,43 @@ def f03_cross_group_means(spark, sf):
     return rounded(out.select("p_partkey", *[f"{'_'.join(ks)}_mean_p_retailprice" for ks in _F03_SETS]))
 
 
+def _other_folds(keys, value, fold):
+    """A group's mean without the rows of one's own fold, in SQL."""
+    own = f"partition by {', '.join(keys + [fold])}"
+    whole = f"partition by {', '.join(keys)}"
+    return (f"(sum({value}) over ({whole}) - coalesce(sum({value}) over ({own}), 0)) / "
+            f"nullif(count({value}) over ({whole}) - count({value}) over ({own}), 0)")
+
+
+@query("f01_group_mean_out_of_fold", f"""select o_orderkey, {R(_other_folds(['o_orderpriority'], 'o_totalprice', 'fold'))} as mean_priority
+  from (select *, o_orderkey % 5 as fold from orders)""")
+def f01_group_mean_out_of_fold(spark, sf):
+    """The priority's mean price over the other folds: a row's own price is not in its feature."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", (F.col("o_orderkey") % 5).alias("fold"))
+    return rounded(X.group_mean(o, "o_totalprice", "o_orderpriority", "mean_priority", out_of_fold=True).select("o_orderkey", "mean_priority"))
+
+
+@query("f02_group_means_out_of_fold", "select p_partkey, " + ", ".join(
+    f"case when {' and '.join(f'{k} is not null' for k in ks)} then {R(_other_folds(ks, 'p_retailprice', 'fold'))} end as m{i}"
+    for i, ks in enumerate(_F02_SETS))
+       + " from (select p_partkey, p_brand, p_type, nullif(p_size, 1) as size_n, p_retailprice, p_partkey % 4 as fold from part)")
+def f02_group_means_out_of_fold(spark, sf):
+    p = _part_sizes(spark, sf).withColumn("fold", F.col("p_partkey") % 4)
+    out = X.group_means(p, "p_retailprice", _F02_SETS, [f"m{i}" for i in range(len(_F02_SETS))], out_of_fold=True)
+    return rounded(out.select("p_partkey", *[f"m{i}" for i in range(len(_F02_SETS))]))
+
+
+@query("f03_cross_group_means_out_of_fold", "select p_partkey, " + ", ".join(
+    f"case when {' and '.join(f'{k} is not null' for k in ks)} then {R(_other_folds(ks, 'p_retailprice', 'fold'))} end as "
+    f"{'_'.join(ks)}_mean_p_retailprice" for ks in _F03_SETS)
+       + " from (select p_partkey, p_name, p_brand, p_type, nullif(p_size, 1) as size_n, p_retailprice, p_partkey % 4 as fold from part)")
+def f03_cross_group_means_out_of_fold(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.nullif("p_size", F.lit(1)).alias("size_n"),
+                                        "p_retailprice", (F.col("p_partkey") % 4).alias("fold"))
+    out = X.cross_group_means(p, "p_retailprice", ["p_name"], ["p_brand", "p_type", "size_n"], out_of_fold=True)
+    return rounded(out.select("p_partkey", *[f"{'_'.join(ks)}_mean_p_retailprice" for ks in _F03_SETS]))
+
+
 # ------------------------------------------------------------------ F04 / F05
 _ROW = ["l_discount", "l_tax", "q"]
 _ROW_SRC = f"(select l_orderkey, l_linenumber, l_discount, l_tax, l_quantity / 100 as q from {LI_N})"

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.exprs import (c, count_equal, product, row_max, row_mean, row_median, row_min,
@@ -25,19 +25,26 @@ from tabulon.session import scratch_path
 
 # ----------------------------------------------------------------- F01 - F03
 def group_means(df: DataFrame, target: str, key_sets: Sequence[Sequence[str]],
-                names: Sequence[str] | None = None) -> DataFrame:
+                names: Sequence[str] | None = None, out_of_fold: bool = False, fold: str = "fold") -> DataFrame:
     """for each key set, the target mean of the row's group (``transform('mean')``).
 
     A row whose key has a missing value gets NULL (pandas drops such groups).
     Several key sets are one aggregation with grouping sets, written once; each
     set's slice of it is then joined.
+
+    With ``out_of_fold`` a row gets the mean of its group's rows in the other folds
+    (column ``fold``), so that its own target is not in its feature: the group's sum
+    and count less those of its fold.  NULL where the other folds have no target in
+    the group; rows without a fold are a fold of their own.
     """
-    mean = F.avg(F.col(target).cast("double"))
+    value = F.col(target).cast("double")
+    sums = [F.sum(value).alias("__sum"), F.count(value).alias("__n")]
     every = list(dict.fromkeys(k for keys in key_sets for k in keys))
+    folds = [fold] if out_of_fold else []
     if len(key_sets) > 1:
         path = scratch_path(df.sparkSession, "group-means")
-        df.groupingSets([[F.col(k) for k in keys] for keys in key_sets], *[F.col(k) for k in every]).agg(
-            F.grouping_id().alias("__set"), mean.alias("__mean")).write.parquet(path)
+        df.groupingSets([[F.col(k) for k in [*keys, *folds]] for keys in key_sets], *[F.col(k) for k in [*every, *folds]]).agg(
+            F.grouping_id().alias("__set"), *sums).write.parquet(path)
         table = df.sparkSession.read.parquet(path)
     out = df
     for i, keys in enumerate(key_sets):
@@ -45,23 +52,35 @@ def group_means(df: DataFrame, target: str, key_sets: Sequence[Sequence[str]],
         name = names[i] if names else "mean_" + "_".join(keys) + f"_{target}"
         valid = reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
         if len(key_sets) > 1:
-            left_out = int("".join("0" if k in keys else "1" for k in every), 2)
-            g = table.where(valid & (F.col("__set") == left_out)).select(*keys, F.col("__mean").alias(name)).distinct()
+            left_out = int("".join("0" if k in keys else "1" for k in every) + "0" * len(folds), 2)
+            g = table.where(valid & (F.col("__set") == left_out)).select(*keys, *folds, "__sum", "__n").distinct()
         else:
-            g = df.where(valid).groupBy(*keys).agg(mean.alias(name))
-        out = out.join(g, keys, "left")
+            g = df.where(valid).groupBy(*keys, *folds).agg(*sums)
+        if not out_of_fold:
+            out = out.join(g.select(*keys, F.try_divide("__sum", "__n").alias(name)), keys, "left")
+            continue
+        # a row for each (group, fold): a hot group is as many keys as there are folds
+        whole = Window.partitionBy(*keys)
+        others = g.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col(fold).alias("__fold"),
+                          (F.coalesce(F.sum("__sum").over(whole), F.lit(0.0)) - F.coalesce("__sum", F.lit(0.0))).alias("__s"),
+                          (F.sum("__n").over(whole) - F.col("__n")).alias("__c"))
+        others = others.select(*[f"__k{j}" for j in range(len(keys))], "__fold", F.try_divide("__s", "__c").alias("__mean"))
+        same = reduce(operator.and_, [F.col(k) == F.col(f"__k{j}") for j, k in enumerate(keys)]) & F.col(fold).eqNullSafe(F.col("__fold"))
+        out = out.join(others, same, "left").select(*out.columns, F.col("__mean").alias(name))
     return out
 
 
-def group_mean(df: DataFrame, target: str, keys: str | Sequence[str], name: str | None = None) -> DataFrame:
+def group_mean(df: DataFrame, target: str, keys: str | Sequence[str], name: str | None = None, out_of_fold: bool = False,
+               fold: str = "fold") -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return group_means(df, target, [keys], [name] if name else None)
+    return group_means(df, target, [keys], [name] if name else None, out_of_fold, fold)
 
 
-def cross_group_means(df: DataFrame, target: str, important: Sequence[str], low: Sequence[str]) -> DataFrame:
+def cross_group_means(df: DataFrame, target: str, important: Sequence[str], low: Sequence[str], out_of_fold: bool = False,
+                      fold: str = "fold") -> DataFrame:
     """group mean for every (1 important + 2 low) column combination."""
     sets = [[i, a, b] for i in important for a, b in combinations(low, 2)]
-    return group_means(df, target, sets, [f"{i}_{a}_{b}_mean_{target}" for i, a, b in sets])
+    return group_means(df, target, sets, [f"{i}_{a}_{b}_mean_{target}" for i, a, b in sets], out_of_fold, fold)
 
 
 # ----------------------------------------------------------------- F04 / F05

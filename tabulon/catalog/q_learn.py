@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.catalog import R, query, rounded
 from tabulon.learn import models as M
+from tabulon.learn import paths as PA
 from tabulon.learn import segment as K
 from tabulon.learn import tune as TU
 from tabulon.learn.evaluate import kfold, stratified_kfold
@@ -192,6 +193,72 @@ def t08_grid_search(spark, sf):
     return table
 
 
+def _curve_sql(loss, coefficient):
+    """One row per grid point and fold of a one-feature model: fit on the other folds, RMSE and R^2 on this one."""
+    return f"""with s as (select p_retailprice as y, c_lines as x, p_partkey % 5 as fold from {SALARY_SQL}),
+t as (select f.fold, covar_pop(s.y, s.x) as c, var_pop(s.x) as v, avg(s.x) as mx, avg(s.y) as my, count(*) as n
+  from (select distinct fold from s) f join s on s.fold <> f.fold group by f.fold),
+w as (select t.fold, {loss}, {coefficient} as slope, mx, my from t, {{grid}}),
+e as (select w.*, s.y, s.y - (my - slope * mx) - slope * s.x as r from w join s on s.fold = w.fold)"""
+
+
+_ENET_ALPHAS, _ENET_RATIOS = [0.001, 0.003, 0.005, 0.01, 0.03], [0.001, 0.005, 0.01, 0.03, 0.05, 0.1]  # the reference's grid
+
+
+def _one_feature_folds(spark, sf):
+    s = salary(spark, sf)
+    return s.select("c_lines", F.col("p_retailprice").alias("label"), (F.col("p_partkey") % 5).cast("int").alias("fold"))
+
+
+_ENET_SQL = _curve_sql("alpha, l1_ratio", "sign(c) * greatest(abs(c) - alpha * l1_ratio, 0) / (v + alpha * (1 - l1_ratio))").replace(
+    "{grid}", f"(select unnest({_ENET_ALPHAS}::double[]) as alpha), (select unnest({_ENET_RATIOS}::double[]) as l1_ratio)")
+
+
+@query("t08_elastic_net_folds", _ENET_SQL + f""" select cast(fold as integer) as fold, alpha, l1_ratio, {R('any_value(slope)', 4)} as coef,
+  {R('sqrt(avg(r * r))', 4)} as rmse from e group by fold, alpha, l1_ratio""")
+def t08_elastic_net_folds(spark, sf):
+    """Every (alpha, l1_ratio) and fold of the grid with one feature, where the fit has a closed form."""
+    found = PA.elastic_net_folds(_one_feature_folds(spark, sf), ["c_lines"], "label", _ENET_ALPHAS, _ENET_RATIOS)
+    return rounded(found.select("fold", "alpha", "l1_ratio", F.col("coefficients")[0].alias("coef"), "rmse"), 4)
+
+
+@query("t08_elastic_net_grid_search")
+def t08_elastic_net_grid_search(spark, sf):
+    """The reference's elastic net grid (30 points) by 5-fold CV, from one aggregation."""
+    return PA.elastic_net_grid_search(_salary_folds(spark, sf), SAL_X, "label", _ENET_ALPHAS, _ENET_RATIOS)
+
+
+_RIDGE_SQL = _curve_sql("alpha", "c * n / (v * n + alpha)").replace("{grid}", "(select unnest([0.01, 1.0, 100.0, 10000.0]::double[]) as alpha)")
+
+
+@query("t08_ridge_one_feature", _RIDGE_SQL + f""", p as (select alpha, fold, sqrt(avg(r * r)) as rmse, 1 - sum(r * r) / (var_pop(y) * count(*)) as r2
+  from e group by alpha, fold) select alpha, {R('avg(r2)', 4)} as mean_r2, {R('avg(rmse)', 4)} as mean_rmse from p group by alpha""")
+def t08_ridge_one_feature(spark, sf):
+    found = TU.ridge_grid_search(_one_feature_folds(spark, sf), ["c_lines"], "label", [0.01, 1.0, 100.0, 10000.0])
+    return rounded(found.select("alpha", "mean_r2", "mean_rmse"), 4)
+
+
+@query("t08_logistic_grid_search")
+def t08_logistic_grid_search(spark, sf):
+    """Ten values of C by 10-fold CV: all folds and values take their Newton steps in common passes."""
+    scaled = _scaled_churn(spark, sf, 10)
+    return PA.logistic_grid_search(scaled, CH_X, "label", [10.0 ** k for k in range(-5, 5)], metric="auc")[1]
+
+
+def _scaled_churn(spark, sf, k):
+    from tabulon.operators.encode import StandardScaler
+    df = _churn_folds(spark, sf, k)
+    return StandardScaler(inputCols=CH_X).fit(df).transform(df)
+
+
+@query("t08_booster_grid_search")
+def t08_booster_grid_search(spark, sf):
+    """36 points of the leaf-wise booster: all folds and combinations grow in common passes, and the rounds are one fit's stages."""
+    _, table = TU.grid_search(M.regressor("lgbm", num_leaves=8), {"learning_rate": [0.01, 0.1, 0.3], "colsample_bytree": [0.5, 0.7, 1.0], "n_estimators": [5, 10, 15, 20]},
+                              _salary_folds(spark, sf), SAL_X, "label")
+    return table
+
+
 @query("t09_compare_models")
 def t09_compare_models(spark, sf):
     """All regressors of the comparison that MLlib fits; ensembles with ROUNDS trees (a parameter of the query)."""
@@ -229,6 +296,13 @@ def t12_validation_curve(spark, sf):
                                _salary_folds(spark, sf, 3), SAL_X, "label")
 
 
+@query("t12_validation_curve_rounds")
+def t12_validation_curve_rounds(spark, sf):
+    """The whole axis of rounds from one fit a fold, over 10 folds."""
+    from pyspark.ml.regression import GBTRegressor
+    return TU.validation_curve(GBTRegressor(seed=42, maxDepth=3), "maxIter", [5, 10, 20, 30], _salary_folds(spark, sf, 10), SAL_X, "label", metric="mae")
+
+
 @query("t12_validation_curve_auc")
 def t12_validation_curve_auc(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
@@ -366,6 +440,42 @@ def m07_forest_invariants(spark, sf):
     return _in_label_range(_fit_score(spark, sf, M.regressor("rf", n_estimators=20, max_depth=8)))
 
 
+_EQUAL_MEANS = " union all ".join(f"select '{m}' as model, count(*) as n, {R('avg(p_retailprice)', 3)} as mean_prediction from {SALARY_SQL}"
+                                  for m in ("gbm", "xgb", "lgbm", "catboost"))
+
+
+@query("m09_mean_invariants", _EQUAL_MEANS)
+def m09_mean_invariants(spark, sf):
+    """Boosting of squares without a penalty keeps the sum of residuals at 0: predictions have the labels' mean."""
+    out = None
+    for name, params in (("gbm", {}), ("xgb", {"reg_lambda": 0.0}), ("lgbm", {"reg_lambda": 0.0}), ("catboost", {"reg_lambda": 0.0})):
+        p = _fit_score(spark, sf, M.regressor(name, n_estimators=5, **params))
+        row = p.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 3)
+
+
+@query("m11_mean_invariant", f"""select count(*) as n, {R('avg(case when last_date is null or last_date < day - 180 then 1 else 0 end)', 5)} as mean_chance
+  from customer left join (select o_custkey, cast(max(o_orderdate) as date) as last_date from orders group by o_custkey) on c_custkey = o_custkey,
+       (select cast(max(o_orderdate) as date) as day from orders)""")
+def m11_mean_invariant(spark, sf):
+    """The intercept is not penalised, so the chances of a logistic model have the mean of the labels."""
+    df = _scaled_churn(spark, sf, 5)
+    fits = PA.logistic_fits(df, CH_X, "label", [1.0])
+    chance = 1 / (1 + F.exp(-PA.linear_by_fold(CH_X, {f: fits.fit(1.0) for f in range(5)})))
+    return rounded(df.agg(F.count(F.lit(1)).alias("n"), F.avg(chance).alias("mean_chance")), 5)
+
+
+@query("m15_predict_one_feature", f"""with s as (select p_partkey, p_retailprice as y, c_lines as x from {SALARY_SQL}),
+f as (select regr_slope(y, x) as a, regr_intercept(y, x) as b from s where p_partkey % 2 = 0)
+select p_partkey, {R('a * x + b', 3)} as prediction from s, f where p_partkey % 2 = 1""")
+def m15_predict_one_feature(spark, sf):
+    """Fit on even keys, score odd ones: least squares of one feature, so that SQL has the same values."""
+    s = salary(spark, sf).select("p_partkey", "c_lines", F.col("p_retailprice").alias("label"))
+    _, pred = M.fit_predict(M.regressor("lr"), s.where("p_partkey % 2 = 0"), s.where("p_partkey % 2 = 1"), ["c_lines"])
+    return rounded(pred.select("p_partkey", "prediction"), 3)
+
+
 @query("m10_class_invariants", f"""select m as model, count(*) as n, count(*) as n_of_a_class
   from (select unnest(['gbm', 'logreg', 'adaboost', 'cart']) as m), customer group by m""")
 def m10_class_invariants(spark, sf):

@@ -137,28 +137,33 @@ def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFr
     return agg.select(*by, ((F.col("rs") - F.col("before") * P - P * (P + 1) / 2) / (P * N)).alias("auc"))
 
 
-def metrics_by_fold(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None) -> DataFrame:
-    """T04 on a table of out-of-fold predictions: per-fold accuracy / precision / recall / F1, and AUC with ``score``."""
+def metrics_by_fold(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None,
+                    by: Sequence[str] = ()) -> DataFrame:
+    """T04 on a table of out-of-fold predictions: per-fold accuracy / precision / recall / F1, and AUC with ``score``;
+    also for each group of ``by`` (models, grid points), with one sort for all of them."""
     yy, pp = F.col(y).cast("int"), F.col(pred).cast("int")
-    g = df.groupBy(fold).agg(F.count_if((yy == 1) & (pp == 1)).alias("tp"),
+    keys = [*by, fold]
+    g = df.groupBy(*keys).agg(F.count_if((yy == 1) & (pp == 1)).alias("tp"),
                              F.count_if((yy == 0) & (pp == 1)).alias("fp"),
                              F.count_if((yy == 1) & (pp == 0)).alias("fn"),
                              F.count(F.lit(1)).alias("n"))
     tn = F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")
     prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    g = g.select(fold, ((F.col("tp") + tn) / F.col("n")).alias("accuracy"), prec.alias("precision"),
+    g = g.select(*keys, ((F.col("tp") + tn) / F.col("n")).alias("accuracy"), prec.alias("precision"),
                  rec.alias("recall"))
     g = g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall") /
                                   (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    return g.join(roc_auc(df, y, score, [fold]), fold) if score else g
+    return g.join(roc_auc(df, y, score, keys), keys) if score else g
 
 
-def cross_validated_scores(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None) -> DataFrame:
-    """Mean over folds of accuracy, precision, recall and F1, and of AUC with ``score``."""
+def cross_validated_scores(df: DataFrame, y: str, pred: str, fold: str = "fold", score: str | None = None,
+                           by: Sequence[str] = ()) -> DataFrame:
+    """Mean over folds of accuracy, precision, recall and F1, and of AUC with ``score`` (for each group of ``by``)."""
     names = ["accuracy", "precision", "recall", "f1"] + (["auc"] if score else [])
-    return metrics_by_fold(df, y, pred, fold, score).agg(*[F.avg(m).alias(m) for m in names])
+    per = metrics_by_fold(df, y, pred, fold, score, by)
+    return (per.groupBy(*by) if by else per.groupBy()).agg(*[F.avg(m).alias(m) for m in names])
 
 
 # ----------------------------------------------------------------- T13

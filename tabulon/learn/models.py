@@ -1,6 +1,7 @@
-"""Model factories (M01-M15), all on ``pyspark.ml``.
+"""Model factories (M01-M15) on ``pyspark.ml``.
 
-The reference's scikit-learn and booster models are mapped to MLlib estimators
+The reference's scikit-learn models are mapped to MLlib estimators, its boosters to
+those of ``learn/boosters.py``,
 with their parameters translated so that the penalised linear models solve the
 same problem (MLlib scales the L2 penalty by the label's standard deviation).
 Estimators that need data statistics to translate a parameter (ridge, elastic
@@ -26,6 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.learn.boosters import LeafWiseBooster, ObliviousBooster, SecondOrderBooster
 from tabulon.session import ensure_checkpoint_dir
 
 
@@ -283,13 +285,19 @@ def _gbt_params(params: dict) -> dict:
     return out
 
 
-# The boosters' documented defaults in GBT terms.  31 leaves are a tree of depth 5.
-BOOSTERS = {
-    "gbm": dict(maxIter=100, stepSize=0.1, maxDepth=3),
-    "xgb": dict(maxIter=100, stepSize=0.3, maxDepth=6, maxBins=256),
-    "lgbm": dict(maxIter=100, stepSize=0.1, maxDepth=5, maxBins=255, minInstancesPerNode=20),
-    "catboost": dict(maxIter=100, stepSize=0.1, maxDepth=6, maxBins=254, subsamplingRate=0.8),
-}
+# The three boosters (learn/boosters.py) and the names that their parameters go by.
+BOOSTERS = {"xgb": SecondOrderBooster, "lgbm": LeafWiseBooster, "catboost": ObliviousBooster}
+_BOOSTER_NAMES = {"iterations": "n_estimators", "depth": "max_depth", "l2_leaf_reg": "reg_lambda"}
+
+
+def booster(name: str, featuresCol: str = "features", labelCol: str = "label", seed: int = 42, **params):
+    """``xgb``, ``lgbm`` or ``catboost`` with its documented defaults."""
+    named = {_BOOSTER_NAMES.get(k, k): v for k, v in params.items()}
+    return BOOSTERS[name](featuresCol=featuresCol, labelCol=labelCol, seed=seed, **named)
+
+
+# Documented defaults of plain gradient boosting.
+GBM = dict(maxIter=100, stepSize=0.1, maxDepth=3)
 
 
 def regressor(name: str, featuresCol: str = "features", labelCol: str = "label", seed: int = 42, **params):
@@ -309,8 +317,10 @@ def regressor(name: str, featuresCol: str = "features", labelCol: str = "label",
     if name == "rf":
         return RandomForestRegressor(numTrees=params.get("n_estimators", 100),
                                      maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+    if name == "gbm":
+        return GBTRegressor(seed=seed, **(GBM | _gbt_params(params)), **kw)
     if name in BOOSTERS:
-        return GBTRegressor(seed=seed, **(BOOSTERS[name] | _gbt_params(params)), **kw)
+        return booster(name, seed=seed, **params, **kw)
     raise ValueError(name)
 
 
@@ -326,8 +336,10 @@ def classifier(name: str, featuresCol: str = "features", labelCol: str = "label"
                                       maxDepth=params.get("max_depth", 30), seed=seed, **kw)
     if name == "adaboost":
         return AdaBoostSAMME(params.get("n_estimators", 50), params.get("learning_rate", 1.0), seed=seed, **kw)
+    if name == "gbm":
+        return GBTClassifier(seed=seed, **(GBM | _gbt_params(params)), **kw)
     if name in BOOSTERS:
-        return GBTClassifier(seed=seed, **(BOOSTERS[name] | _gbt_params(params)), **kw)
+        return booster(name, seed=seed, classification=True, **params, **kw)
     raise ValueError(name)
 
 

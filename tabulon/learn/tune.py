@@ -2,8 +2,11 @@
 
 Folds are a column (``kfold`` / ``stratified_kfold``), so every fit sees the
 same split and ``CrossValidator(foldCol=...)`` can run grid points in
-parallel.  The fold frame is persisted for the fits of a call and released
-after them; out-of-fold predictions are unioned and scored by one grouped aggregation.
+parallel.  The fold frame is written once and persisted for the fits of a call, in
+partitions sized by its bytes.  Where a whole grid follows from one aggregation
+(least squares), from common passes (logistic regression) or from one fit a fold
+(rounds of boosted trees), no fit is run for each point.  Out-of-fold predictions of
+all models are one written table, scored by one aggregation and one sort.
 """
 
 from __future__ import annotations
@@ -12,17 +15,24 @@ import json
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.moments import MOST_EXPRESSIONS, pairwise_sums
-from tabulon.learn.evaluate import cross_validated_scores, regression_metrics
-from tabulon.learn.models import Ridge, assemble
+from tabulon.learn.boosters import _Booster, fit_folds
+from tabulon.learn.evaluate import cross_validated_scores, metrics_by_fold, regression_metrics
+from tabulon.learn.models import ElasticNet, Lasso, LogisticC, Ridge, assemble
+from tabulon.learn.paths import (elastic_net_grid_search, least_squares_folds, linear_by_fold, logistic_fits, logistic_grid_search,
+                                 out_of_fold_probabilities)
+from tabulon.learn.staged import staged_metrics, staged_scores
+from tabulon.session import scratch_path
 
 
 def _folds(df: DataFrame, fold: str) -> list[int]:
@@ -55,47 +65,107 @@ def _persisted(df: DataFrame):
         df.unpersist()
 
 
-def out_of_fold(estimator, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                keep: Sequence[str] = (), parallelism: int = 4, score: bool = False) -> DataFrame:
-    """Out-of-fold predictions: for each fold, fit on the other folds and score this one
-    (folds fitted concurrently).  With ``score``, the classifier's score of class 1 as well."""
-    pipe = Pipeline(stages=[assemble(features), estimator])
-    base = df.select(*keep, *features, F.col(label).alias("label"), fold)
+# ----------------------------------------------------------------- out-of-fold predictions
+PARTITION_BYTES = 16 << 20  # of numbers that a task of a fit reads at least, if there are so many
 
-    with _persisted(base) as held:
-        def one(f):
-            return pipe.fit(held.where(F.col(fold) != f))
 
-        folds = _folds(held, fold)
-        models = _parallel(one, folds, parallelism)
-    parts = []
-    for f, model in zip(folds, models, strict=True):
-        p = model.transform(base.where(F.col(fold) == f))
-        parts.append(p.select(*keep, "label", fold, "prediction", *([_score_column(p).alias("score")] if score else [])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _fold_table(df: DataFrame, cols: Sequence) -> DataFrame:
+    """``cols`` of ``df`` written in the shared folder and read in few partitions if the rows are few.
+
+    Fits run many short jobs; what a task costs counts more than its rows on a small table.
+    """
+    path = scratch_path(df.sparkSession, "folds")
+    df.select(*cols).write.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    return table.coalesce(max(1, -(-table.count() * len(table.columns) * 8 // PARTITION_BYTES)))
+
+
+def _penalty(est):
+    """(kind, alpha, l1_ratio) if a model's folds follow from sums of products, else None."""
+    if type(est) is Ridge:
+        return "ridge", est.getOrDefault("alpha"), 0.0
+    if type(est) is Lasso:
+        return "net", est.getOrDefault("alpha"), 1.0
+    if type(est) is ElasticNet:
+        return "net", est.getOrDefault("alpha"), est.getOrDefault("l1_ratio")
+    if type(est) is LinearRegression and est.getRegParam() == 0 and est.getLoss() == "squaredError" and est.getFitIntercept():
+        return "ridge", 0.0, 0.0
+    return None
+
+
+def out_of_fold_table(models: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", keep: Sequence[str] = (),
+                      task: str = "regression", parallelism: int = 8) -> DataFrame:
+    """(model, keep..., label, fold, prediction, score): one written table of the out-of-fold predictions of all models.
+
+    The folds of all least-squares models follow from one aggregation, those of all
+    logistic models from common Newton passes; the fits of the others, over all
+    models and folds, share one pool.  ``score`` is that of class 1 (null in regression).
+    """
+    spark = df.sparkSession
+    table = _fold_table(df, [*keep, *features, F.col(label).alias("label"), fold])
+    path = scratch_path(spark, "out-of-fold")
+    penalties = {n: _penalty(e) for n, e in models.items() if task == "regression" and _penalty(e)}
+    logistic = {n: float(e.getOrDefault("C")) for n, e in models.items() if task != "regression" and type(e) is LogisticC}
+    others = [n for n in models if n not in penalties and n not in logistic]
+    columns = [*keep, "label", fold, "prediction"]
+    no_score = F.lit(None).cast("double").alias("score")
+
+    with _persisted(table) as held:
+        done = []
+        if penalties:
+            fits = least_squares_folds(held, features, "label", penalties, fold)
+            done += [(n, held.where(F.col(fold).isNotNull()).withColumn("prediction", linear_by_fold(features, fits[n], fold)).select(
+                F.lit(n).alias("model"), *columns, no_score)) for n in penalties]
+        if logistic:
+            fits = logistic_fits(held, features, "label", list(dict.fromkeys(logistic.values())), fold, full=False)
+            done += [(n, out_of_fold_probabilities(held, fits, [c], "label", fold, keep).select(F.lit(n).alias("model"), *columns, "score"))
+                     for n, c in logistic.items()]
+        rows = assemble(features).transform(held).select(*keep, "features", "label", fold)
+        with _persisted(rows) as vectors:
+            folds = [f for f in _folds(vectors, fold) if f is not None] if others else []
+            boosted = [n for n in others if isinstance(models[n], _Booster)]
+            jobs = [(n, None) for n in boosted] + [(n, f) for n in others if n not in boosted for f in folds]
+
+            def fit(job):
+                name, left_out = job
+                if left_out is None:
+                    return fit_folds([models[name]], vectors, folds, fold)[0]
+                return models[name].fit(vectors.where(F.col(fold) != left_out))
+
+            fitted = dict(zip(jobs, _parallel(fit, jobs, parallelism)))
+            fitted |= {(n, f): fitted[n, None][f] for n in boosted for f in folds}
+            for n in others:
+                parts = None
+                for f in folds:
+                    p = fitted[n, f].transform(vectors.where(F.col(fold) == f))
+                    p = p.select(F.lit(n).alias("model"), *columns, no_score if task == "regression" else _score_column(p).alias("score"))
+                    parts = p if parts is None else parts.unionByName(p)
+                if parts is not None:
+                    done.append((n, parts))
+            _parallel(lambda job: job[1][1].write.parquet(f"{path}/{job[0]}"), list(enumerate(done)), parallelism)
+    return spark.read.schema(done[0][1].schema).parquet(*[f"{path}/{i}" for i in range(len(done))])
+
+
+def out_of_fold(estimator, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
+                keep: Sequence[str] = (), parallelism: int = 8, score: bool = False) -> DataFrame:
+    """Out-of-fold predictions of one model, as a written table; with ``score``, the classifier's score of class 1 as well."""
+    found = out_of_fold_table({"model": estimator}, df, features, label, fold, keep, "classification" if score else "regression", parallelism)
+    return found.select(*keep, "label", fold, "prediction", *(["score"] if score else []))
 
 
 def compare_models(models: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                   task: str = "regression") -> DataFrame:
+                   task: str = "regression", parallelism: int = 8) -> DataFrame:
     """One row of cross-validated scores per (name, estimator).
 
     Regression: mean over folds of RMSE (T05), MAE and R^2.  Classification:
     mean over folds of accuracy, precision, recall and F1 of class 1, and AUC (T04).
+    All models are scored together: one aggregation, and one sort for the AUC.
     """
-    rows = None
-    for name, est in models.items():
-        oof = out_of_fold(est, df, features, label, fold, score=task != "regression")
-        if task == "regression":
-            per = regression_metrics(oof, "label", "prediction", [fold])
-            score = per.agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("r2").alias("r2"))
-        else:
-            score = cross_validated_scores(oof, "label", "prediction", fold, "score")
-        score = score.select(F.lit(name).alias("model"), "*")
-        rows = score if rows is None else rows.unionByName(score)
-    return rows
+    oof = out_of_fold_table(models, df, features, label, fold, (), task, parallelism)
+    if task == "regression":
+        per = regression_metrics(oof, "label", "prediction", ["model", fold])
+        return per.groupBy("model").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("r2").alias("r2"))
+    return cross_validated_scores(oof, "label", "prediction", fold, "score", by=["model"])
 
 
 def evaluator(metric: str, task: str = "regression"):
@@ -107,29 +177,115 @@ def evaluator(metric: str, task: str = "regression"):
     return MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
 
 
+class GridResult:
+    """A finished grid: ``bestModel`` is the model of the best point, refit on all rows."""
+
+    def __init__(self, bestModel, avgMetrics: list[float]):
+        self.bestModel, self.avgMetrics = bestModel, avgMetrics
+
+
+def grid_points(grid: dict) -> list[dict]:
+    """All combinations, the last parameter moving fastest."""
+    points = [{}]
+    for name, values in grid.items():
+        points = [p | {name: v} for p in points for v in values]
+    return points
+
+
+def _path_scores(estimator, points: list[dict], df: DataFrame, features, label, fold, task, metric) -> list[float] | None:
+    """Mean scores of all points if they follow from sums of products or from common Newton passes, else None."""
+    names = set(points[0])
+    if task == "regression" and metric in ("r2", "rmse") and type(estimator) in (Ridge, Lasso, ElasticNet) and names <= {"alpha", "l1_ratio"}:
+        alphas = list(dict.fromkeys(float(p.get("alpha", estimator.getOrDefault("alpha"))) for p in points))
+        if type(estimator) is Ridge:
+            table = {(r["alpha"],): r for r in ridge_grid_search(df, features, label, alphas, fold).collect()}  # one row a point
+            keys = [(float(p.get("alpha", estimator.getOrDefault("alpha"))),) for p in points]
+        else:
+            own = 1.0 if type(estimator) is Lasso else estimator.getOrDefault("l1_ratio")
+            ratios = list(dict.fromkeys(float(p.get("l1_ratio", own)) for p in points))
+            table = {(r["alpha"], r["l1_ratio"]): r for r in elastic_net_grid_search(df, features, label, alphas, ratios, fold).collect()}
+            keys = [(float(p.get("alpha", estimator.getOrDefault("alpha"))), float(p.get("l1_ratio", own))) for p in points]
+        return [table[k]["mean_" + metric] for k in keys]
+    if task != "regression" and type(estimator) is LogisticC and names == {"C"} and metric in ("accuracy", "roc_auc", "areaUnderROC"):
+        _, found = logistic_grid_search(df, features, label, [float(p["C"]) for p in points], fold)
+        name = "accuracy" if metric == "accuracy" else "auc"
+        table = {r["C"]: r[name] for r in found.collect()}  # one row a point
+        return [table[float(p["C"])] for p in points]
+    return None
+
+
+def _rounds_of(estimator) -> str | None:
+    """The parameter that counts the rounds of a boosted model."""
+    if isinstance(estimator, (GBTRegressor, GBTClassifier)):
+        return "maxIter"
+    return "n_estimators" if isinstance(estimator, _Booster) else None
+
+
+def _fit_every_fold(estimators: list, held: DataFrame, folds: Sequence[int], fold: str, parallelism: int) -> list[dict]:
+    """For each estimator, the model of each fold left out; boosters of one kind in common passes."""
+    if isinstance(estimators[0], _Booster):
+        return fit_folds(estimators, held, folds, fold)
+    jobs = [(i, f) for i in range(len(estimators)) for f in folds]
+    fitted = dict(zip(jobs, _parallel(lambda job: estimators[job[0]].fit(held.where(F.col(fold) != job[1])), jobs, parallelism)))
+    return [{f: fitted[i, f] for f in folds} for i in range(len(estimators))]
+
+
+def _staged_scores(estimator, points: list[dict], held: DataFrame, fold, task, metric, parallelism) -> list[float] | None:
+    """Mean validation scores where the number of rounds is an axis: one fit a fold at the largest number."""
+    axis = _rounds_of(estimator)
+    if axis is None or axis not in points[0] or metric not in STAGED[task]:
+        return None
+    rounds = sorted({int(p[axis]) for p in points})
+    rest = list(dict.fromkeys(json.dumps({k: v for k, v in p.items() if k != axis}, sort_keys=True) for p in points))
+    folds = _folds(held, fold)
+    most = [estimator.copy({estimator.getParam(k): v for k, v in (json.loads(r) | {axis: rounds[-1]}).items()}) for r in rest]
+    scores = {}
+    for r, models in zip(rest, _fit_every_fold(most, held, folds, fold, parallelism)):
+        oof = staged_scores(held, models, rounds, fold, task)
+        if task == "regression":
+            per = regression_metrics(oof, "label", "prediction", ["rounds", fold])
+        else:
+            per = metrics_by_fold(oof, "label", "prediction", fold, "score" if metric != "accuracy" else None, by=["rounds"])
+        column = STAGED[task][metric]
+        for x in per.groupBy("rounds").agg(F.avg(column).alias("s")).collect():  # one row a number of rounds
+            scores[r, x["rounds"]] = x["s"]
+    return [scores[json.dumps({k: v for k, v in p.items() if k != axis}, sort_keys=True), int(p[axis])] for p in points]
+
+
+STAGED = {"regression": {"r2": "r2", "rmse": "rmse", "mae": "mae"},
+          "classification": {"accuracy": "accuracy", "roc_auc": "auc", "areaUnderROC": "auc"}}
+
+
 def grid_search(estimator, grid: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                task: str = "regression", metric: str | None = None, parallelism: int = 4):
+                task: str = "regression", metric: str | None = None, parallelism: int = 8):
     """Every grid combination scored by k-fold CV (default R^2 / accuracy, like GridSearchCV);
-    returns (CrossValidatorModel refit on ``df``, a table of (params, score, is_best))."""
-    ev = evaluator(metric or ("r2" if task == "regression" else "accuracy"), task)
-    b = ParamGridBuilder()
-    for p, values in grid.items():
-        b = b.addGrid(estimator.getParam(p), list(values))
-    maps = b.build()
-    data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"),
-                                                   F.col(fold).cast("int").alias(fold))
-    with _persisted(data) as held:
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
-                            numFolds=len(_folds(held, fold)), parallelism=parallelism)
-        model = cv.fit(held)
-    larger = ev.isLargerBetter()
-    scores = list(model.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: scores[i]) if larger else min(range(len(scores)),
-                                                                             key=lambda i: scores[i])
-    spark = df.sparkSession
-    rows = [(json.dumps({k.name: v for k, v in m.items()}, sort_keys=True), float(s), int(i == best))
-            for i, (m, s) in enumerate(zip(maps, scores))]
-    return model, spark.createDataFrame(rows, "params string, score double, is_best int")
+    returns (a result whose ``bestModel`` is refit on ``df``, a table of (params, score, is_best)).
+
+    Ridge, lasso and elastic net are scored from one aggregation, logistic regression
+    over C from common Newton passes, boosted trees along their rounds from one fit a fold
+    and combination of the other parameters; other models by ``CrossValidator``.
+    """
+    metric = metric or ("r2" if task == "regression" else "accuracy")
+    points = grid_points(grid)
+    ev = evaluator(metric, task)
+    table = _fold_table(df, [*features, F.col(label).cast("double").alias("label"), F.col(fold).cast("int").alias(fold)])
+    with _persisted(assemble(features).transform(table)) as held:
+        scores = _path_scores(estimator, points, held, features, "label", fold, task, metric)
+        if scores is None:
+            scores = _staged_scores(estimator, points, held, fold, task, metric, parallelism)
+        if scores is None:
+            b = ParamGridBuilder()
+            for p, values in grid.items():
+                b = b.addGrid(estimator.getParam(p), list(values))
+            maps = b.build()
+            cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
+                                numFolds=len(_folds(held, fold)), parallelism=parallelism)
+            model = cv.fit(held)
+            scores, points = list(model.avgMetrics), [{k.name: v for k, v in m.items()} for m in maps]
+        best = (max if ev.isLargerBetter() else min)(range(len(scores)), key=lambda i: scores[i])
+        final = estimator.copy({estimator.getParam(k): v for k, v in points[best].items()}).fit(held)
+    rows = [(json.dumps(p, sort_keys=True), float(s), int(i == best)) for i, (p, s) in enumerate(zip(points, scores))]
+    return GridResult(final, scores), df.sparkSession.createDataFrame(rows, "params string, score double, is_best int")
 
 
 def tune_models(candidates: dict, df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
@@ -149,27 +305,37 @@ def tune_models(candidates: dict, df: DataFrame, features: Sequence[str], label:
 
 
 def validation_curve(estimator, param: str, values: Sequence, df: DataFrame, features: Sequence[str],
-                     label: str, fold: str = "fold", metric: str = "rmse", task: str = "regression") -> DataFrame:
-    """Mean train and validation score over folds for each value of one parameter, by any metric of ``evaluator``."""
-    data = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"), fold)
-    ev = evaluator(metric, task)
+                     label: str, fold: str = "fold", metric: str = "rmse", task: str = "regression", parallelism: int = 8) -> DataFrame:
+    """Mean train and validation score over folds for each value of one parameter, by any metric of ``evaluator``.
 
-    with _persisted(data) as held:
+    Along the rounds of boosted trees each fold is fitted once; other
+    parameters are fitted value by value, all values and folds in one pool.
+    """
+    table = _fold_table(df, [*features, F.col(label).cast("double").alias("label"), fold])
+    with _persisted(assemble(features).transform(table)) as held:
         folds = _folds(held, fold)
+        if param == _rounds_of(estimator) and metric in STAGED[task]:
+            most = estimator.copy({estimator.getParam(param): max(int(v) for v in values)})
+            models = _fit_every_fold([most], held, folds, fold, parallelism)[0]
+            per = staged_metrics(held, models, [int(v) for v in values], STAGED[task][metric], fold, task)
+            found = {(r["rounds"], r["split"]): r["s"] for r in per.groupBy("rounds", "split").agg(F.avg("score").alias("s")).collect()}
+            rows = [(str(v), split, float(found[int(v), split])) for v in values for split in ("train", "validation")]
+        else:
+            ev = evaluator(metric, task)
 
-        def one(job):
-            v, f = job
-            m = estimator.copy({estimator.getParam(param): v}).fit(held.where(F.col(fold) != f))
-            return (v, ev.evaluate(m.transform(held.where(F.col(fold) != f))),
-                    ev.evaluate(m.transform(held.where(F.col(fold) == f))))
-
-        scores = _parallel(one, [(v, f) for v in values for f in folds], 4)
-    rows = []
-    for v in values:
-        tr = [t for vv, t, _ in scores if vv == v]
-        va = [a for vv, _, a in scores if vv == v]
-        rows.append((str(v), "train", sum(tr) / len(tr)))
-        rows.append((str(v), "validation", sum(va) / len(va)))
+            def one(job):
+                v, f = job
+                m = estimator.copy({estimator.getParam(param): v}).fit(held.where(F.col(fold) != f))
+                return (v, ev.evaluate(m.transform(held.where(F.col(fold) != f))),
+                        ev.evaluate(m.transform(held.where(F.col(fold) == f))))
+
+            scores = _parallel(one, [(v, f) for v in values for f in folds], parallelism)
+            rows = []
+            for v in values:
+                tr = [t for vv, t, _ in scores if vv == v]
+                va = [a for vv, _, a in scores if vv == v]
+                rows.append((str(v), "train", sum(tr) / len(tr)))
+                rows.append((str(v), "validation", sum(va) / len(va)))
     return df.sparkSession.createDataFrame(rows, "value string, split string, score double")
 
 
@@ -229,29 +395,29 @@ class StackingRegressor(Estimator):
         return StackingModel(by_fold[None], meta, self.features)
 
 
-__all__ = ["out_of_fold", "compare_models", "grid_search", "tune_models", "validation_curve",
+__all__ = ["out_of_fold", "out_of_fold_table", "compare_models", "grid_search", "tune_models", "validation_curve",
            "StackingRegressor", "fold_moments", "ridge_grid_search"]
 
 
 # ----------------------------------------------------------------- T08 for ridge: one pass for the whole grid
-def fold_moments(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold"):
+def fold_moments(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", with_means: bool = False):
     """Per-fold sufficient statistics of (1, x, y) for a linear model, in one aggregation.
 
     Values are centred by their global means first (one small aggregation) so that the
     second moments do not lose digits.  Returns ``{fold: (n, S)}`` with ``S`` the
     (d+2) x (d+2) matrix of sums of products of ``[1, x_1..x_d, y]`` -- a bounded
-    (folds x (d+2)^2) result, whatever the row count.
+    (folds x (d+2)^2) result, whatever the row count; with ``with_means`` also the means taken off.
     """
     import numpy as np
     cols = list(features) + [label]
     if len(cols) * (len(cols) + 1) // 2 > MOST_EXPRESSIONS:  # matrices of sums in place of an expression a pair
-        _, sums = pairwise_sums(df, cols, fold)
+        means, sums = pairwise_sums(df, cols, fold)
         out = {}
         for f, (n, x, _, xy) in sums.items():
             S = np.zeros((len(cols) + 1, len(cols) + 1))
             S[0, 0], S[0, 1:], S[1:, 0], S[1:, 1:] = n[0, 0], np.diag(x), np.diag(x), xy
             out[f] = (int(n[0, 0]), S)
-        return out
+        return (out, means) if with_means else out
     mrow = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()  # d+1 numbers
     z = [F.col(c).cast("double") - F.lit(mrow[f"m{i}"]) for i, c in enumerate(cols)]
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -268,7 +434,7 @@ def fold_moments(df: DataFrame, features: Sequence[str], label: str, fold: str =
             for j in range(i, len(cols)):
                 S[i + 1, j + 1] = S[j + 1, i + 1] = r[f"p{i}_{j}"]
         out[r[fold]] = (int(r["n"]), S)
-    return out
+    return (out, np.array([mrow[f"m{i}"] for i in range(len(cols))])) if with_means else out
 
 
 def _ridge_from_moments(S, alpha):
@@ -281,7 +447,8 @@ def _ridge_from_moments(S, alpha):
     mx, my = sx / n, sy / n
     cxx = xx - n * np.outer(mx, mx)
     cxy = xy - n * mx * my
-    w = np.linalg.solve(cxx + alpha * np.eye(d), cxy)
+    # without a penalty columns may depend on one another: the smallest solution
+    w = np.linalg.solve(cxx + alpha * np.eye(d), cxy) if alpha else np.linalg.lstsq(cxx, cxy, rcond=None)[0]
     return w, my - mx @ w
 
 

@@ -31,13 +31,14 @@ def test_tuned_models_have_a_holdout_score(data):
     assert r["score"] > 0.9 and 0 < r["holdout"] < 3
 
 
-def test_boosters_differ_and_a_share_of_one_is_all_columns(data):
-    assert len({tuple(sorted(v.items())) for v in M.BOOSTERS.values()}) == 4
-    assert M.regressor("lgbm", colsample_bytree=1).getFeatureSubsetStrategy() == "1.0"
-    assert M.regressor("lgbm", colsample_bytree=0.5).getFeatureSubsetStrategy() == "0.5"
+def test_boosters_differ_and_take_the_names_of_their_parameters(data):
+    assert len({type(M.regressor(n)) for n in M.BOOSTERS}) == 3
+    assert M.classifier("lgbm", colsample_bytree=0.5).spec()["columns"] == 0.5
+    assert M.regressor("catboost", iterations=7, depth=3, l2_leaf_reg=2.0).spec()["rounds"] == 7
+    assert M.regressor("gbm", n_estimators=4, max_features=1).getFeatureSubsetStrategy() == "1.0"
     df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data)
     preds = [tuple(r["prediction"] for r in M.regressor(n, labelCol="y", n_estimators=3).fit(df).transform(df).orderBy("id").collect())
-             for n in ("xgb", "lgbm", "catboost")]
+             for n in M.BOOSTERS]
     assert len(set(preds)) == 3
 
 
@@ -78,3 +79,132 @@ def test_knn_with_a_dense_cluster_in_parts_equals_brute_force(spark):
     np.fill_diagonal(far, np.inf)
     want = {(q, n + 1): t for q in range(len(x)) for n, t in enumerate(np.lexsort((np.arange(len(x)), far[q]))[:4])}
     assert {(r["qid"], r["rank"]): r["tid"] for r in got} == want
+
+
+# ----------------------------------------------------------------- whole grids from few passes
+def test_elastic_net_grid_equals_direct_fits(spark, data):
+    from tabulon.learn.paths import elastic_net_folds
+    wide = data.withColumn("d", F.col("a") * 0.5 + F.col("b") + (F.col("id") % 5)).withColumn("e", F.lit(2.0))
+    cols = ["a", "b", "d", "e"]
+    for r in elastic_net_folds(wide, cols, "y", [0.001, 0.3, 5.0], [0.0, 0.4, 1.0]).collect():
+        train = VectorAssembler(inputCols=cols, outputCol="features").transform(wide.where(F.col("fold") != r["fold"]))
+        lr = M.ElasticNet(alpha=r["alpha"], l1_ratio=r["l1_ratio"], labelCol="y").fit(train)
+        # the direct fit stops at a tolerance, with columns that depend on one another
+        assert list(lr.coefficients) == pytest.approx(r["coefficients"], abs=1e-3) and lr.intercept == pytest.approx(r["intercept"], abs=1e-2)
+        test = VectorAssembler(inputCols=cols, outputCol="features").transform(wide.where(F.col("fold") == r["fold"]))
+        assert lr.evaluate(test).rootMeanSquaredError == pytest.approx(r["rmse"], rel=1e-3)
+
+
+def test_elastic_net_grid_meets_its_optimality_conditions():
+    import numpy as np
+    from tabulon.learn.paths import Training, elastic_net_path
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 12)) @ rng.normal(size=(12, 12))
+    y = x[:, 0] - 2 * x[:, 3] + rng.normal(size=300)
+    z = np.column_stack([np.ones(300), x, y])
+    alphas, ratios = [0.001, 0.003, 0.005, 0.01, 0.03], [0.001, 0.005, 0.01, 0.03, 0.05, 0.1]
+    path = elastic_net_path([Training(z.T @ z)], alphas, ratios)[0]
+    xc, yc = x - x.mean(0), y - y.mean()
+    for a, alpha in enumerate(alphas):
+        for r, ratio in enumerate(ratios):
+            w = path[a, r]
+            slope = xc.T @ (yc - xc @ w) / 300 - alpha * (1 - ratio) * w
+            assert np.all(np.abs(slope[w != 0] - alpha * ratio * np.sign(w[w != 0])) < 1e-6) and np.all(np.abs(slope[w == 0]) <= alpha * ratio + 1e-6)
+
+
+def test_logistic_grid_equals_single_fits(spark, data):
+    from pyspark.ml.classification import LogisticRegression
+    from tabulon.learn.paths import logistic_fits
+    noisy = data.withColumn("c", ((F.col("y") + (F.col("id") * 37 % 11)) > 20).cast("double"))
+    cs = [0.01, 0.1, 1.0, 30.0]
+    fits = logistic_fits(noisy, ["a", "b"], "c", cs)
+    assert fits.steps < 15
+    for c in cs:
+        for f in (0, 1, 2, -1):
+            train = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(noisy.where(F.col("fold") != f))
+            lr = LogisticRegression(labelCol="c", regParam=1.0 / (c * train.count()), standardization=False, maxIter=500, tol=1e-14).fit(train)
+            intercept, w = fits.fit(c, f)
+            assert intercept == pytest.approx(lr.intercept, rel=1e-6, abs=1e-6) and list(w) == pytest.approx(list(lr.coefficients), rel=1e-6, abs=1e-6)
+
+
+def test_logistic_grid_search_scores_each_c(data):
+    from tabulon.learn.evaluate import cross_validated_scores
+    from tabulon.learn.paths import logistic_grid_search, out_of_fold_probabilities
+    fits, table = logistic_grid_search(data, ["a", "b"], "c", [0.001, 1.0], metric="auc")
+    for r in table.collect():
+        one = cross_validated_scores(out_of_fold_probabilities(data, fits, [r["C"]], "c"), "label", "prediction", "fold", "score").first()
+        assert one["auc"] == pytest.approx(r["auc"]) and one["f1"] == pytest.approx(r["f1"])
+    assert table.agg(F.sum("is_best")).first()[0] == 1
+
+
+def test_a_separable_fold_and_models_that_take_turns(spark, monkeypatch):
+    from tabulon.learn import paths as P
+    rows = [(float(k), float(k >= 10), k % 2) for k in range(20)]
+    df = spark.createDataFrame(rows, "x double, c double, fold int")
+    one = P.logistic_fits(df, ["x"], "c", [0.1, 100.0])
+    monkeypatch.setattr(P, "MOST_NUMBERS", 1)
+    two = P.logistic_fits(df, ["x"], "c", [0.1, 100.0])
+    assert one.weights == pytest.approx(two.weights, rel=1e-6)
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_staged_scores_equal_separate_fits(data, task):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+    est = GBTRegressor(seed=3, maxDepth=3) if task == "regression" else GBTClassifier(seed=3, maxDepth=2)
+    label, metric = ("y", "rmse") if task == "regression" else ("c", "roc_auc")
+    got = {(r["value"], r["split"]): r["score"] for r in TU.validation_curve(est, "maxIter", [1, 3, 6], data, ["a", "b"], label, metric=metric, task=task).collect()}
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data).withColumn("label", F.col(label))
+    ev = TU.evaluator(metric, task)
+    for n in (1, 3, 6):
+        fits = [est.copy({est.maxIter: n}).fit(rows.where(F.col("fold") != f)) for f in range(3)]
+        want = sum(ev.evaluate(m.transform(rows.where(F.col("fold") == f))) for f, m in enumerate(fits)) / 3
+        seen = sum(ev.evaluate(m.transform(rows.where(F.col("fold") != f))) for f, m in enumerate(fits)) / 3
+        assert got[str(n), "validation"] == pytest.approx(want, rel=1e-6) and got[str(n), "train"] == pytest.approx(seen, rel=1e-6)
+
+
+def test_grid_over_rounds_fits_each_combination_once(data):
+    for est, grid in ((M.regressor("xgb"), {"max_depth": [1, 2], "n_estimators": [1, 3]}), (M.regressor("gbm"), {"maxDepth": [1, 2], "maxIter": [1, 3]})):
+        model, table = TU.grid_search(est, grid, data, ["a", "b"], "y")
+        rows = table.collect()
+        assert len(rows) == 4 and sum(r["is_best"] for r in rows) == 1
+        best = max(rows, key=lambda r: r["score"])
+        assert best["is_best"] and model.bestModel.transform(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data)).count() == 300
+        # the score of a point is that of its own fits
+        import json
+        p = json.loads(rows[0]["params"])
+        one = est.copy({est.getParam(k): v for k, v in p.items()})
+        oof = TU.out_of_fold(one, data, ["a", "b"], "y")
+        from tabulon.learn.evaluate import regression_metrics
+        assert regression_metrics(oof, "label", "prediction", ["fold"]).agg(F.avg("r2")).first()[0] == pytest.approx(rows[0]["score"])
+
+
+def test_comparison_of_all_families_equals_their_own_folds(data):
+    models = {"lr": M.regressor("lr"), "ridge": M.Ridge(3.0), "lasso": M.Lasso(0.2), "cart": M.regressor("cart", max_depth=3), "lgbm": M.regressor("lgbm", n_estimators=2)}
+    got = {r["model"]: r["rmse"] for r in TU.compare_models(models, data, ["a", "b"], "y").collect()}
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data).withColumn("label", F.col("y"))
+    ev = TU.evaluator("rmse")
+    for name in ("lr", "ridge", "lasso", "cart"):
+        want = sum(ev.evaluate(models[name].fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))) for f in range(3)) / 3
+        assert got[name] == pytest.approx(want, rel=1e-3), name
+    assert set(got) == set(models)
+
+
+def test_group_means_without_the_own_fold(spark):
+    from tabulon.operators.features import cross_group_means, group_mean, group_means
+    rows = [(k, "hot" if k % 3 else "abc"[k % 9 // 3], None if k % 7 == 0 else float(k), None if k % 10 == 9 else k % 4, None if k % 8 == 0 else k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, y double, fold int, h int")
+
+    def want(row, keys):
+        if any(row[k] is None for k in keys):
+            return None
+        others = [r["y"] for r in data_ if all(r[k] == row[k] for k in keys) and r["fold"] != row["fold"] and r["y"] is not None]
+        return sum(others) / len(others) if others else None
+
+    data_ = [r.asDict() for r in df.collect()]
+    for out, sets in ((group_mean(df, "y", "g", "m0", out_of_fold=True), [["g"]]),
+                      (group_means(df, "y", [["g"], ["g", "h"]], ["m0", "m1"], out_of_fold=True), [["g"], ["g", "h"]])):
+        for r in out.collect():
+            for i, keys in enumerate(sets):
+                assert r[f"m{i}"] == pytest.approx(want(r, keys)) if want(r, keys) is not None else r[f"m{i}"] is None
+    assert cross_group_means(df, "y", ["g"], ["h", "fold"], out_of_fold=True).count() == 120

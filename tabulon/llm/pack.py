@@ -55,6 +55,7 @@ class WordEncoder:
         whole = self._encode([" \n".join(words)])[0].ids
         if whole != [i for e in self._encode(words) for i in e.ids]:
             raise ValueError("this tokenizer joins text across white space; encode whole texts instead")
+        self.normalized = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -78,6 +79,11 @@ class WordEncoder:
         found = [e.ids for e in self._encode(texts)]
         self._remember(words, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
 
+    def _letters(self, text: str) -> bool:
+        """Letters only, and letters still when they are normalized: some become a letter and a mark of its own, which
+        the tokenizer joins with what follows."""
+        return text.isalpha() and (text.isascii() or self.normalized(text).isalpha())
+
     def _add_letters(self, words: list[bytes], texts: list[str]) -> None:
         """Words of letters only: encoded as one text, cut after each id that ends a word."""
         ids = np.array(self._encode([" ".join(texts)])[0].ids, dtype=np.uint32)
@@ -103,9 +109,9 @@ class WordEncoder:
         texts = [w.decode() for w in new]
         letters, marked, rest = {}, [], []
         for w, t in zip(new, texts, strict=True):
-            if t.isalpha():
+            if self._letters(t):
                 letters[w] = t
-            elif t[-1] in ".,;:!?" and t[:-1].isalpha():  # the word's ids and the mark's
+            elif t[-1] in ".,;:!?" and self._letters(t[:-1]):  # the word's ids and the mark's
                 marked.append((w, w[:-1], w[-1:]))
                 if w[:-1] not in place:
                     letters[w[:-1]] = t[:-1]

@@ -62,3 +62,21 @@ def test_no_rows_and_a_bad_size(spark):
     assert pack(df, PATH).count() == 0
     with pytest.raises(ValueError):
         pack(df, PATH, max_tokens=1000)
+
+
+def test_every_letter_before_every_mark_is_encoded_as_in_the_whole_text():
+    """Letters that the normalizer takes apart (a dotted capital I, nukta letters) change what follows them."""
+    import sys
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tabulon.llm import pack as P
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha()]
+    texts = [" ".join(x + m for m in ["", *".,;:!?"]) + f" a{x}b. {x}{x}" for x in letters]
+    texts = [" ".join(texts[k:k + 200]) for k in range(0, len(texts), 200)] + ["SEVG\u0130. \u0130! \u0958?"]
+    ids, offsets = P.encode_texts(pa.array(texts), path, 2)
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:])] == [[*e.ids, 2] for e in whole]

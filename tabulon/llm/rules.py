@@ -10,14 +10,15 @@ test has a minimum length.
 References cover all documents.  A word is common if it makes up ``SHARE`` of
 the language's words; such a word has that share in at least one slice of the
 input, so a first pass names candidates slice by slice and a second counts them
-exactly.  A language has its own reference if it holds ``LANGUAGE_SHARE`` of all
-words (so there are at most 1 / LANGUAGE_SHARE of them, with 1 / SHARE words
-each); other languages and null are compared with the reference of all words.
+exactly.
 
-With ``own=True`` (the pipeline) no document is compared with other languages:
-every language of ``REFERENCE_WORDS`` words or more has a reference of its own,
-those of small share in a table that is joined; documents of smaller languages
-and without one are judged by the base rules only.
+With ``own=True`` (the query and the pipeline) no document is compared with other
+languages: every language of ``REFERENCE_WORDS`` words or more, whatever its share, has
+a reference of its own; documents of smaller languages and without one are judged by
+the base rules only.  References of languages with ``LANGUAGE_SHARE`` of all words (at most
+1 / LANGUAGE_SHARE, with 1 / SHARE words each) travel with the tasks, those of the
+others are a table that is joined: two ways to one result.  Without ``own``,
+languages below that share and null are compared with the reference of all words.
 
 Defined results: a null or empty text has zero counts, fails the base rules and
 has distances of 0; rows that repeat are judged alike; an empty table gives an
@@ -41,7 +42,7 @@ SHARE = 0.002
 LANGUAGE_SHARE = 0.001
 CLASS_DISTANCE, CLASS_WORDS = 0.29, 50
 WORD_DISTANCE, WORD_WORDS = 0.44, 50
-POOLED = "*"  # the reference of all words
+POOLED = "\x00all"  # the reference of all words; not the name of a language
 REFERENCE_WORDS = 5_000  # 10 of a common word
 
 # Classes of bytes (every code point counts once, by its first byte).
@@ -338,7 +339,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 
 def op9_divergence_rules(spark, sf_dir):
-    judged = quality_rules(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    judged = quality_rules(read_table(spark, sf_dir, "documents"), keep=["doc_id"], own=True)
     return judged.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
                          "rules.n_repeat_words", "rules.base_failed", "rules.kept")
 
@@ -365,18 +366,17 @@ WITH d AS (
          coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN lines ON d.r = lines.r LEFT JOIN cov ON d.r = cov.r
 ), tot AS (
-  SELECT lang AS k, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT '*', count(*) FROM w
+  SELECT lang AS k, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang
 ), big AS (
-  SELECT k, n FROM tot WHERE n >= 0.001 * (SELECT n FROM tot WHERE k = '*')
+  SELECT k, n FROM tot WHERE n >= 5000
 ), common AS (
   SELECT c.k, c.low, c.n, big.n AS total FROM (
-    SELECT lang AS k, low, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang, low
-    UNION ALL SELECT '*', low, count(*) FROM w GROUP BY low) c JOIN big ON c.k = big.k WHERE c.n >= 0.002 * big.n
+    SELECT lang AS k, low, count(*) AS n FROM w WHERE lang IS NOT NULL GROUP BY lang, low) c JOIN big ON c.k = big.k WHERE c.n >= 0.002 * big.n
 ), q_word AS (
   SELECT k, low, n::DOUBLE / total AS q FROM common
   UNION ALL SELECT big.k, NULL, 1 - coalesce(sum(c.n), 0)::DOUBLE / any_value(big.n) FROM big LEFT JOIN common c ON big.k = c.k GROUP BY big.k
 ), doc AS (
-  SELECT base.*, CASE WHEN lang IN (SELECT k FROM big) THEN lang ELSE '*' END AS k FROM base
+  SELECT base.*, big.k FROM base LEFT JOIN big ON base.lang = big.k
 ), p_word AS (
   SELECT doc.r, doc.k, c.low, count(*)::DOUBLE / any_value(doc.n_words) AS p
   FROM doc JOIN w ON doc.r = w.r LEFT JOIN common c ON c.k = doc.k AND c.low = w.low GROUP BY doc.r, doc.k, c.low
@@ -392,8 +392,8 @@ WITH d AS (
                   length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F]', '', 'g'))] AS l FROM doc)
 ), q_cls AS (
   SELECT k, c, sum(n)::DOUBLE / sum(sum(n)) OVER (PARTITION BY k) AS q FROM (
-    SELECT cls.c, cls.n, doc.lang AS k FROM cls JOIN doc ON cls.r = doc.r UNION ALL SELECT c, n, '*' FROM cls)
-  WHERE k IN (SELECT k FROM big) GROUP BY k, c
+    SELECT c, n, k FROM cls WHERE k IS NOT NULL)
+  GROUP BY k, c
 ), js_cls AS (
   SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
                               + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS js

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from tabulon.llm.mix import emit, mix_sources
-from tabulon.llm.rules import distance, quality_rules, references
+from tabulon.llm.rules import POOLED, distance, quality_rules, references
 
 
 def fill(sizes, weights, total, cap):
@@ -121,7 +121,7 @@ def test_reference_covers_all_rows_and_odd_texts_are_far(spark):
     rows = [(k, prose(120), "en") for k in range(150)] + [(900, prose(120).upper().replace(" ", "!! "), "en"), (901, prose(120).replace(" ", " | "), "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     refs = references(df)
-    assert set(refs) == {"*", "en"} and {b"the", b"of", b"and", b"to"} <= set(refs["en"][1])
+    assert set(refs) == {POOLED, "en"} and {b"the", b"of", b"and", b"to"} <= set(refs["en"][1])
     assert refs["en"][2].sum() == sum(len(t.split()) for _, t, _ in rows)
     dropped = {r["doc_id"] for r in quality_rules(df).where("not rules.kept").collect()}
     assert dropped == {900, 901}
@@ -135,12 +135,13 @@ def test_small_languages_are_judged_within_themselves(spark, monkeypatch):
     def prose(n, letters):
         return " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(n))
 
-    greek = [(k, prose(60, "αεινοστ"), "el") for k in range(30)] + [(70, prose(60, "αεινοστ").replace(" ", " ||||||| "), "el")]
+    star = [(300 + k, prose(60, "mnopq"), "*") for k in range(20)]
+    greek = star + [(k, prose(60, "αεινοστ"), "el") for k in range(30)] + [(70, prose(60, "αεινοστ").replace(" ", " ||||||| "), "el")]
     rows = greek + [(80, prose(60, "абвгд"), None), (81, prose(60, "абвгд"), "ru"), (82, "абв", "ru"), (83, None, None), (84, None, "el"), (85, None, "xx")]
     rows += [(100 + k, prose(200, "aeinrst"), "en") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(module, "REFERENCE_WORDS", 1000)
-    want = {*range(30), 80, 81, *range(100, 130)}
+    want = {*range(30), 80, 81, *range(100, 130), *range(300, 320)}
     for share in (0.001, 0.5):  # the result does not depend on the way
         monkeypatch.setattr(module, "LANGUAGE_SHARE", share)
         got = quality_rules(df, own=True).collect()
@@ -154,3 +155,12 @@ def test_small_languages_are_judged_within_themselves(spark, monkeypatch):
 def test_distance_is_zero_to_one():
     p = np.array([[1, 0], [0, 5], [2, 2], [0, 0]])
     assert np.allclose(distance(p, np.array([3, 0])), [0, 1, distance(np.array([[1, 1]]), np.array([1, 0]))[0], 0])
+
+
+def test_a_source_without_ids_comes_near_its_target(spark):
+    rows = [(None, f"w{k} " * (1 + k % 9), "a") for k in range(3000)] + [(k, f"v{k} x", "b") for k in range(3000)] + [(7, f"u{k}", "c") for k in range(3000)]
+    taken, target = Counter(), {}
+    for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r["source"]] += r["mix"]["size"] * r["mix"]["copies"]
+        target[r["source"]] = r["mix"]["target"]
+    assert all(abs(taken[s] - t) <= 0.06 * t for s, t in target.items())

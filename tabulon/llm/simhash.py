@@ -225,10 +225,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     prints = written(src.mapInArrow(_printer(shingle), f"id {kind}, fp long"), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = connected_components(fingerprint_links(distinct, max_bits, hot_rows))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = written(placed.join(least, "root").select("fp", "n", "component_id"), "labels")
+    placed = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    # most components are one fingerprint, which is its own root and meets no other
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    least = written(least.where("prints > 1"), "least")
+    large = least.where(F.col("prints") >= distinct.count() / 1000.0)  # at most 1,000 components
+    label = hot_aware_join(placed, least.select("root", "component_id"), ["root"], large, ["fp"])
+    label = written(label.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "labels")
     hot = label.where(F.col("n") >= prints.count() / 1000.0)  # at most 1,000 fingerprints
     joined = hot_aware_join(prints, label.select("fp", "component_id"), ["fp"], hot, ["id"])
     return joined.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")

@@ -106,12 +106,22 @@ def m04_elastic_net(spark, sf):
 
 @query("m06_decision_tree")
 def m06_decision_tree(spark, sf):
-    return _fit_score(spark, sf, M.regressor("cart", max_depth=8))
+    return _fit_score(spark, sf, M.regressor("cart"))
 
 
 @query("m07_random_forest")
 def m07_random_forest(spark, sf):
-    return _fit_score(spark, sf, M.regressor("rf", max_depth=8))
+    """100 trees without a depth bound."""
+    return _fit_score(spark, sf, M.regressor("rf"))
+
+
+@query("m06_tree_of_distinct_rows", """select p_partkey, (round(p_retailprice, 6) + 0.0) as prediction from part""")
+def m06_tree_of_distinct_rows(spark, sf):
+    """Grown until leaves are pure, a tree over a column without ties gives every row its label."""
+    from tabulon.sources.io import table
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("label"))
+    _, out = M.fit_predict(M.regressor("cart"), p, p, ["p_partkey", "p_size"])
+    return rounded(out.select("p_partkey", "prediction"))
 
 
 @query("m08_gradient_boosting")
@@ -122,8 +132,8 @@ def m08_gradient_boosting(spark, sf):
 @query("m09_booster_regressors")
 def m09_booster_regressors(spark, sf):
     parts = []
-    for name in ("xgb", "lgbm", "catboost"):
-        p = _fit_score(spark, sf, M.regressor(name, n_estimators=30))
+    for name in M.BOOSTERS:
+        p = _fit_score(spark, sf, M.regressor(name, n_estimators=30, **({"max_depth": 6} if name == "lgbm" else {})))
         parts.append(p.withColumn("model", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -131,8 +141,8 @@ def m09_booster_regressors(spark, sf):
 @query("m10_booster_classifiers")
 def m10_booster_classifiers(spark, sf):
     parts = []
-    for name in ("xgb", "lgbm", "catboost"):
-        p = _fit_score(spark, sf, M.classifier(name, n_estimators=30), "c_custkey", _churn_folds, CH_X)
+    for name in M.BOOSTERS:
+        p = _fit_score(spark, sf, M.classifier(name, n_estimators=30, **({"max_depth": 6} if name == "lgbm" else {})), "c_custkey", _churn_folds, CH_X)
         parts.append(p.withColumn("model", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -142,22 +152,33 @@ def m11_logistic_regression(spark, sf):
     return _fit_score(spark, sf, M.classifier("logreg"), "c_custkey", _churn_folds, CH_X)
 
 
+def _kernel_rows(spark, sf, folds, cols, **scaled):
+    from tabulon.operators.encode import StandardScaler
+    df = folds(spark, sf)
+    df = StandardScaler(inputCols=[*cols, *scaled]).fit(df).transform(df)
+    return M.assemble(cols).transform(df)
+
+
 @query("m12_kernel_svm")
 def m12_kernel_svm(spark, sf):
-    df = _churn_folds(spark, sf)
-    from tabulon.operators.encode import StandardScaler
-    scaled = StandardScaler(inputCols=CH_X).fit(df).transform(df)
-    model = M.kernel_svc(CH_X, "label").fit(scaled)
-    return model.transform(scaled).select("c_custkey", "label", "prediction")
+    """RBF classifier with the hinge loss, to a duality gap of 0.1 %."""
+    rows = _kernel_rows(spark, sf, _churn_folds, CH_X)
+    return M.classifier("svc").fit(rows).transform(rows).select("c_custkey", "label", "prediction")
 
 
 @query("m12_kernel_svr")
 def m12_kernel_svr(spark, sf):
-    df = _salary_folds(spark, sf)
-    from tabulon.operators.encode import StandardScaler
-    scaled = StandardScaler(inputCols=SAL_X).fit(df).transform(df)
-    model = M.kernel_svr(SAL_X, "label").fit(scaled)
-    return model.transform(scaled).select("p_partkey", "label", "prediction")
+    """RBF regressor with the epsilon-insensitive loss on scaled prices."""
+    rows = _kernel_rows(spark, sf, _salary_folds, SAL_X, label=True)
+    return M.regressor("svr").fit(rows).transform(rows).select("p_partkey", "label", "prediction")
+
+
+@query("m12_duality_gaps")
+def m12_duality_gaps(spark, sf):
+    """Primal and dual value and their difference after each round, for both losses."""
+    one = M.classifier("svc").fit(_kernel_rows(spark, sf, _churn_folds, CH_X)).gaps(spark).withColumn("loss", F.lit("hinge"))
+    two = M.regressor("svr").fit(_kernel_rows(spark, sf, _salary_folds, SAL_X, label=True)).gaps(spark).withColumn("loss", F.lit("epsilon"))
+    return one.unionByName(two)
 
 
 @query("m13_adaboost")
@@ -261,8 +282,8 @@ def t08_booster_grid_search(spark, sf):
 
 @query("t09_compare_models")
 def t09_compare_models(spark, sf):
-    """All regressors of the comparison that MLlib fits; ensembles with ROUNDS trees (a parameter of the query)."""
-    models = {n: M.regressor(n) for n in ("lr", "ridge", "lasso", "enet")}
+    """All regressors of the reference's comparison; ensembles with ROUNDS trees (a parameter of the query)."""
+    models = {n: M.regressor(n) for n in ("lr", "ridge", "lasso", "enet")} | {"knn": M.regressor("knn", mode="approximate"), "svr": M.regressor("svr", maxIter=10)}
     models |= {"cart": M.regressor("cart", max_depth=8), "rf": M.regressor("rf", n_estimators=ROUNDS, max_depth=8)}
     models |= {n: M.regressor(n, n_estimators=ROUNDS) for n in ("gbm", "xgb", "lgbm", "catboost")}
     return TU.compare_models(models, _salary_folds(spark, sf), SAL_X, "label")
@@ -270,7 +291,7 @@ def t09_compare_models(spark, sf):
 
 @query("t09_compare_classifiers")
 def t09_compare_classifiers(spark, sf):
-    models = {"logreg": M.classifier("logreg"), "cart": M.classifier("cart", max_depth=8),
+    models = {"logreg": M.classifier("logreg"), "knn": M.classifier("knn", mode="approximate"), "svc": M.classifier("svc", maxIter=10), "cart": M.classifier("cart", max_depth=8),
               "rf": M.classifier("rf", n_estimators=ROUNDS, max_depth=8),
               "adaboost": M.classifier("adaboost", n_estimators=ROUNDS)}
     models |= {n: M.classifier(n, n_estimators=ROUNDS) for n in ("gbm", "xgb", "lgbm", "catboost")}
@@ -346,6 +367,32 @@ def k04_hierarchical_segments(spark, sf):
     return seg.select("customer_id", "hsegment")
 
 
+@query("k04_ward_segments")
+def k04_ward_segments(spark, sf):
+    seg, _ = K.ward_segments(rfm_features(spark, sf), RFM_COLS, 5)
+    return seg.select("customer_id", "hsegment")
+
+
+@query("k04_ward_dendrogram")
+def k04_ward_dendrogram(spark, sf):
+    """The last 30 merges of the tree, as a truncated dendrogram shows them."""
+    _, tree = K.ward_segments(rfm_features(spark, sf), RFM_COLS, 5)
+    return tree.table().orderBy(F.desc("step")).limit(30)
+
+
+@query("k04_ward_total", f"""select count(*) as n, {R('sum(ss)', 3)} as sum_of_squares from (
+  select c_custkey, power(c_acctbal - avg(c_acctbal) over (), 2) + power(c_nationkey - avg(c_nationkey) over (), 2) as ss from customer)""")
+def k04_ward_total(spark, sf):
+    """Ward's merges take up the whole sum of squares: half the squared heights and what is left within the summaries."""
+    from tabulon.learn.ward import summaries, ward_merges
+    from tabulon.sources.io import table
+    c = table(spark, sf, "customer").select("c_acctbal", "c_nationkey")
+    s = summaries(c, ["c_acctbal", "c_nationkey"])
+    within = float((s.squares - (s.sums ** 2).sum(axis=1) / s.n).sum())
+    total = within + float((ward_merges(s.n, s.centres)[:, 2] ** 2 / 2).sum())
+    return rounded(c.agg(F.count(F.lit(1)).alias("n"), F.lit(total).alias("sum_of_squares")), 3)
+
+
 # ------------------------------------------------------------------ M05: exact kNN with pivot pruning
 _KNN_SQL = """with e as (select vec_id, label, embedding from embeddings),
 d as (select a.vec_id as qid, b.vec_id as tid, b.label as tlabel,
@@ -367,6 +414,18 @@ def m05_knn_classifier(spark, sf):
     return knn_classify(e, e, "vec_id", "embedding", "label", k=5, exclude_self=True, n_pivots=32)
 
 
+@query("m05_knn_approximate")
+def m05_knn_approximate(spark, sf):
+    """Leave-one-out 5-NN label of every embedding by multi-probe random projections."""
+    from tabulon.learn.knn import approximate_neighbours
+    from tabulon.sources.io import table
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
+    near = approximate_neighbours(e, e, "vec_id", "embedding", "label", k=5, exclude_self=True)
+    votes = near.groupBy("qid", "tlabel").agg(F.count(F.lit(1)).alias("c"))
+    best = votes.groupBy("qid").agg(F.min(F.struct((-F.col("c")).alias("less"), F.col("tlabel"))).alias("b"))
+    return best.select(F.col("qid").alias("vec_id"), F.col("b.tlabel").alias("prediction"))
+
+
 @query("m05_knn_regressor")
 def m05_knn_regressor(spark, sf):
     """5-NN regression of the part price from scaled salary features (rows-only; ties in distance are common)."""
@@ -411,7 +470,7 @@ def s34_segmentation_flow(spark, sf):
     knee = K.elbow(feats, RFM_COLS, 2, 20, seed=42).where("is_knee = 1").first()
     k = knee["k"] if knee else 2
     seg, _ = K.kmeans_segments(feats, RFM_COLS, k, seed=42)
-    tree, _ = K.hierarchical_segments(feats, RFM_COLS, k, seed=42)
+    tree, _ = K.ward_segments(feats, RFM_COLS, k)
     feats.unpersist()
     one = K.segment_profile(seg, "segment", RFM_COLS).withColumn("method", F.lit("kmeans"))
     two = K.segment_profile(tree, "hsegment", RFM_COLS).withColumnRenamed("hsegment", "segment").withColumn("method", F.lit("hierarchical"))

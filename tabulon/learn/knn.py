@@ -18,13 +18,33 @@ Pivot-based pruning (metric-space indexing):
 The answer equals brute force (ties broken by training id); the work shrinks
 with how clustered the data are.  Prediction is the majority label (smallest
 label among equal counts) or the mean label.
+
+``approximate_neighbours`` is the mode for large tables whose vectors cannot be pruned:
+multi-probe tables of random projections.  In each of ``tables`` a training row's
+key is the side of ``bits`` random planes through the mean that it lies on; a query
+looks into its own bucket and into those behind the planes that it is closest to.
+Distances are exact, recall is a measured figure (``recall``), and a bucket of any size is
+dealt into parts, so nothing is capped.
+
+``KNN`` is the Estimator over either mode, for folds and comparisons.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators._mlbase import WithParts
+from tabulon.session import scratch_path, ship_package
+
 
 def _as_doubles(col: str) -> Column:
     return F.transform(F.col(col), lambda x: x.cast("double"))
@@ -156,3 +176,170 @@ def knn_regress(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, l
     nb = knn_neighbours(train, query, id_col, vec_col, label_col, k, **kw)
     return nb.groupBy("qid").agg(F.avg(F.col("tlabel").cast("double")).alias("prediction")) \
         .withColumnRenamed("qid", id_col)
+
+
+# ----------------------------------------------------------------- approximate: multi-probe random projections
+def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, bits, dim))
+
+
+def _keys(planes: np.ndarray, mean: np.ndarray, scale: np.ndarray, flips: int):
+    """Rows -> (id, vector, label) with the keys of its buckets; ``flips`` 0 gives the own bucket of each table only."""
+    tables, bits, dim = planes.shape
+    subsets = [c for n in range(3) for c in combinations(range(min(flips, bits)), n)]  # none, one or two planes crossed
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                x = np.asarray(b.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, dim)
+                side = np.einsum("nd,tbd->ntb", (x - mean) / scale, planes)
+                own = ((side > 0) << np.arange(bits)).sum(axis=2)
+                closest = np.argsort(np.abs(side), axis=2)
+                found = []
+                for c in subsets:
+                    flip = np.zeros_like(own)
+                    for k in c:
+                        flip |= 1 << closest[:, :, k]
+                    found.append(own ^ flip)
+                keys = np.stack(found, axis=2) + (np.arange(tables)[None, :, None] << bits)
+                many = tables * len(subsets)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * many, pa.int32()), pa.array(keys.reshape(-1).astype(np.int64)))],
+                    names=[*b.schema.names, "keys"])
+
+    return emit
+
+
+def _nearest(need: int, exclude_self: bool):
+    """The ``need`` nearest training rows of each query of one bucket part."""
+
+    def find(key, queries: pa.Table, train: pa.Table) -> pa.Table:
+        empty = pa.table({"qid": queries["id"].slice(0, 0), "tid": train["id"].slice(0, 0), "tlabel": pa.array([], pa.float64()), "dist": pa.array([], pa.float64())})
+        if not queries.num_rows or not train.num_rows:
+            return empty
+        t = np.asarray(train["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(train.num_rows, -1)
+        tid, label = train["id"].to_numpy(), train["label"].to_numpy()
+        ids = queries["id"].to_numpy()
+        out = []
+        for at in range(0, queries.num_rows, 256):
+            q = np.asarray(queries["v"].slice(at, 256).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, t.shape[1])
+            far = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (t * t).sum(1)[None] - 2 * q @ t.T, 0.0))
+            if exclude_self:
+                far[ids[at:at + 256, None] == tid[None, :]] = np.inf
+            some = np.argpartition(far, min(need, far.shape[1]) - 1, axis=1)[:, :need]
+            # a difference of squares loses digits for close vectors: the few chosen are measured again
+            exact = np.sqrt(((q[:, None, :] - t[some]) ** 2).sum(axis=2))
+            ok = np.isfinite(np.take_along_axis(far, some, axis=1))
+            line, col = np.nonzero(ok)
+            out.append((ids[at:at + 256][line], tid[some[line, col]], label[some[line, col]], exact[line, col]))
+        cols = [np.concatenate([o[k] for o in out]) for k in range(4)]
+        return pa.table({"qid": pa.array(cols[0]), "tid": pa.array(cols[1]), "tlabel": pa.array(cols[2].astype(float)), "dist": pa.array(cols[3])})
+
+    return find
+
+
+def approximate_neighbours(train: DataFrame, query: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, exclude_self: bool = False,
+                           tables: int = 8, flips: int = 4, bucket_rows: int = 500, part_rows: int = 5_000, seed: int = 42) -> DataFrame:
+    """(qid, tid, tlabel, dist, rank): the k nearest of the training rows that share a probed bucket with the query.
+
+    Buckets have ``bucket_rows`` rows on average; more tables, flips or rows a bucket
+    raise recall and work.  ``id_col`` is a long and label a number.  A bucket with more than ``part_rows`` rows on
+    either side is dealt into parts of both.
+    """
+    ship_package(train.sparkSession)
+
+    def rows(df):
+        return df.select(F.col(id_col).cast("long").alias("id"), _as_doubles(vec_col).alias("v"), F.col(label_col).cast("double").alias("label"))
+
+    tr, qu = rows(train), rows(query if label_col in query.columns else query.withColumn(label_col, F.lit(0.0)))
+    head = tr.select(F.size("v").alias("d")).first()
+    if head is None:
+        raise ValueError("no training rows")
+    dim = head["d"]
+    stats = tr.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)],
+                   *[F.stddev_pop(F.col("v")[i]).alias(f"s{i}") for i in range(dim)]).first()
+    mean, scale = np.array([stats[f"m{i}"] for i in range(dim)]), np.array([stats[f"s{i}"] or 1.0 for i in range(dim)])
+    # planes are drawn in the units of the distance, so columns are centred and not scaled
+    bits = max(0, min(40, math.ceil(math.log2(max(stats["n"] / bucket_rows, 1)))))
+    planes = _planes(dim, tables, max(bits, 1), seed) if bits else np.zeros((1, 1, dim))
+    scale = np.full(dim, float(scale.mean()) or 1.0)
+    kind = "id long, v array<double>, label double, keys array<long>"
+    put = tr.mapInArrow(_keys(planes, mean, scale, 0), kind).withColumn("key", F.explode("keys")).drop("keys")
+    ask = qu.mapInArrow(_keys(planes, mean, scale, flips if bits else 0), kind).withColumn("key", F.explode("keys")).drop("keys")
+
+    def parts(df, name):
+        return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias(name))
+
+    counts = parts(put, "t_parts").join(parts(ask, "q_parts"), "key")
+    path = scratch_path(train.sparkSession, "buckets")
+    counts.write.parquet(path)
+    counts = train.sparkSession.read.parquet(path)
+
+    def dealt(df, own, other):
+        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_parts")).cast("int").alias(own)
+        return df.join(counts, "key").select("key", "id", "v", "label", mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other))
+
+    left, right = dealt(ask, "q", "t"), dealt(put, "t", "q")
+    met = left.groupBy("key", "q", "t").cogroup(right.groupBy("key", "q", "t")).applyInArrow(
+        _nearest(k + int(exclude_self), exclude_self), "qid long, tid long, tlabel double, dist double")
+    once = met.groupBy("qid", "tid").agg(F.min("tlabel").alias("tlabel"), F.min("dist").alias("dist"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "tid"))).where(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n, hits, recall): the share of the exact neighbours that were found."""
+    pairs = exact.select("qid", "tid").join(found.select("qid", "tid", F.lit(1).alias("hit")), ["qid", "tid"], "left")
+    out = pairs.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    return out.withColumn("recall", F.try_divide("hits", "n"))
+
+
+class KNN(Estimator):
+    """M05 as an Estimator: ``fit`` writes the training rows, ``transform`` adds the prediction (and, for two classes,
+    ``probability``: the share of the votes).  ``mode``: ``exact`` or ``approximate``."""
+
+    def __init__(self, k: int = 5, classification: bool = False, mode: str = "exact", featuresCol: str = "features", labelCol: str = "label", **options):
+        super().__init__()
+        self.k, self.classification, self.mode, self.featuresCol, self.labelCol, self.options = k, classification, mode, featuresCol, labelCol, options
+
+    def _fit(self, dataset):
+        path = scratch_path(dataset.sparkSession, "neighbours")
+        rows = dataset.select(vector_to_array(self.featuresCol).alias("v"), F.col(self.labelCol).cast("double").alias("label"))
+        rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+        return KNNModel(path, self.k, self.classification, self.mode, self.featuresCol, self.options)
+
+
+class KNNModel(WithParts, Model):
+    """Saved with its training rows."""
+
+    def __init__(self, path, k, classification, mode, featuresCol, options):
+        super().__init__()
+        self.path, self.k, self.classification, self.mode, self.featuresCol, self.options = path, k, classification, mode, featuresCol, options
+
+    def _parts(self):
+        from pyspark.sql import SparkSession
+        values = dict(k=self.k, classification=self.classification, mode=self.mode, featuresCol=self.featuresCol, options=self.options)
+        return values, {"rows": SparkSession.getActiveSession().read.parquet(self.path)}, {}
+
+    @classmethod
+    def _from_parts(cls, values, tables, children):
+        return cls(tables["rows"], **values)
+
+    def _transform(self, dataset):
+        spark = dataset.sparkSession
+        path = scratch_path(spark, "queries")  # numbered once, as the neighbours come back by number
+        numbered = dataset.withColumn("__row", F.monotonically_increasing_id())
+        numbered.write.parquet(path)
+        numbered = spark.read.schema(numbered.schema).parquet(path)
+        asked = numbered.select(F.col("__row").alias("id"), vector_to_array(self.featuresCol).alias("v"), F.lit(0.0).alias("label"))
+        near = knn_neighbours if self.mode == "exact" else approximate_neighbours
+        found = near(spark.read.parquet(self.path), asked, "id", "v", "label", self.k, **self.options)
+        if not self.classification:
+            per = found.groupBy(F.col("qid").alias("__qid")).agg(F.avg("tlabel").alias("prediction"))
+            return numbered.join(per, F.col("__row") == F.col("__qid"), "left").drop("__row", "__qid")
+        votes = found.groupBy("qid", "tlabel").agg(F.count(F.lit(1)).alias("c"))
+        per = votes.groupBy("qid").agg(F.min(F.struct((-F.col("c")).alias("less"), F.col("tlabel"))).alias("best"),
+                                       F.coalesce(F.sum(F.when(F.col("tlabel") == 1, F.col("c"))), F.lit(0)).alias("ones"), F.sum("c").alias("all"))
+        share = F.coalesce(F.col("ones") / F.col("all"), F.lit(0.0))
+        per = per.select(F.col("qid").alias("__qid"), F.col("best.tlabel").alias("prediction"), array_to_vector(F.array(1 - share, share)).alias("probability"))
+        return numbered.join(per, F.col("__row") == F.col("__qid"), "left").drop("__row", "__qid")

@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.learn.boosters import LeafWiseBooster, ObliviousBooster, SecondOrderBooster
+from tabulon.learn.fulltree import FullForest
+from tabulon.learn.knn import KNN
+from tabulon.learn.svm import KernelSVM
+from tabulon.operators._mlbase import WithParts
 from tabulon.session import ensure_checkpoint_dir
 
 
@@ -127,7 +131,7 @@ class LogisticC(Estimator, _ColumnParams):
 
 
 # ----------------------------------------------------------------- M12: kernel machines via random features
-class RandomFourierFeatures(Model):
+class RandomFourierFeatures(WithParts, Model):
     """Maps numeric input columns to ``D`` random cosine features approximating an RBF kernel
     exp(-gamma ||x - y||^2) (Rahimi & Recht, 2007).  Pure Catalyst expressions: no UDF."""
 
@@ -140,6 +144,13 @@ class RandomFourierFeatures(Model):
         self.W = rng.normal(0.0, math.sqrt(2 * self.gamma), size=(dim, len(self.inputCols)))
         self.b = rng.uniform(0, 2 * math.pi, size=dim)
 
+    def _parts(self):
+        return dict(inputCols=self.inputCols, outputPrefix=self.outputPrefix, gamma=float(self.gamma), dim=self.dim, seed=self.seed), {}, {}
+
+    @classmethod
+    def _from_parts(cls, values, tables, children):
+        return cls(**values)  # the features follow from the seed
+
     def output_cols(self):
         return [f"{self.outputPrefix}{j}" for j in range(self.dim)]
 
@@ -172,7 +183,7 @@ def kernel_svr(inputCols: Sequence[str], labelCol: str = "label", dim: int = 100
 
 
 # ----------------------------------------------------------------- M13: AdaBoost SAMME
-class AdaBoostSAMMEModel(Model):
+class AdaBoostSAMMEModel(WithParts, Model):
     """Adds the class with the most weighted votes, and ``probability``: the classes' shares of the votes."""
 
     def __init__(self, stumps, alphas, classes, featuresCol, predictionCol="prediction"):
@@ -180,6 +191,14 @@ class AdaBoostSAMMEModel(Model):
         self.stumps, self.alphas, self.classes = stumps, alphas, classes
         self.featuresCol, self.predictionCol = featuresCol, predictionCol
 
+    def _parts(self):
+        values = dict(alphas=[float(a) for a in self.alphas], classes=list(self.classes), featuresCol=self.featuresCol, predictionCol=self.predictionCol)
+        return values, {}, {f"stump-{i}": s for i, s in enumerate(self.stumps)}
+
+    @classmethod
+    def _from_parts(cls, values, tables, children):
+        return cls([children[f"stump-{i}"] for i in range(len(children))], **values)
+
     def _transform(self, dataset):
         out = dataset
         votes = {k: F.lit(0.0) for k in self.classes}
@@ -300,9 +319,18 @@ def booster(name: str, featuresCol: str = "features", labelCol: str = "label", s
 GBM = dict(maxIter=100, stepSize=0.1, maxDepth=3)
 
 
+def full_forest(name: str, classification: bool, seed: int, params: dict, columns: dict) -> FullForest:
+    """M06/M07 without a depth bound: one tree of all rows and columns, or a forest of bootstrapped trees."""
+    named = {k: v for k, v in params.items() if k in ("n_estimators", "max_features", "min_samples_split", "min_samples_leaf", "finish_rows")}
+    if name == "cart":
+        return FullForest(**(named | {"n_estimators": 1}), classification=classification, seed=seed, **columns)
+    return FullForest(**({"n_estimators": 100} | named), bootstrap=True, classification=classification, seed=seed, **columns)
+
+
 def regressor(name: str, featuresCol: str = "features", labelCol: str = "label", seed: int = 42, **params):
     """M01-M10 (regression): name -> estimator.  Names: lr, ridge, lasso, enet, cart, rf, gbm, xgb, lgbm,
-    catboost.  Trees of ``cart`` and ``rf`` grow to MLlib's largest depth (30) unless ``max_depth`` is given."""
+    catboost, knn, svr.  Trees of ``cart`` and ``rf`` grow until leaves are pure, unless ``max_depth`` (30 at most,
+    on MLlib) is given."""
     kw = dict(featuresCol=featuresCol, labelCol=labelCol)
     if name == "lr":
         return LinearRegression(regParam=0.0, solver="normal", **kw)
@@ -312,11 +340,17 @@ def regressor(name: str, featuresCol: str = "features", labelCol: str = "label",
         return Lasso(params.get("alpha", 1.0), **kw)
     if name == "enet":
         return ElasticNet(params.get("alpha", 1.0), params.get("l1_ratio", 0.5), **kw)
+    if name in ("cart", "rf") and not params.get("max_depth"):
+        return full_forest(name, False, seed, params, kw)
     if name == "cart":
-        return DecisionTreeRegressor(maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+        return DecisionTreeRegressor(maxDepth=params["max_depth"], seed=seed, **kw)
     if name == "rf":
         return RandomForestRegressor(numTrees=params.get("n_estimators", 100),
-                                     maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+                                     maxDepth=params["max_depth"], seed=seed, **kw)
+    if name == "knn":
+        return KNN(k=params.pop("k", 5), **params, **kw)
+    if name == "svr":
+        return KernelSVM(**params, **kw)
     if name == "gbm":
         return GBTRegressor(seed=seed, **(GBM | _gbt_params(params)), **kw)
     if name in BOOSTERS:
@@ -329,13 +363,19 @@ def classifier(name: str, featuresCol: str = "features", labelCol: str = "label"
     kw = dict(featuresCol=featuresCol, labelCol=labelCol)
     if name == "logreg":
         return LogisticC(params.get("C", 1.0), params.get("max_iter", 100), **kw)
+    if name in ("cart", "rf") and not params.get("max_depth"):
+        return full_forest(name, True, seed, params, kw)
     if name == "cart":
-        return DecisionTreeClassifier(maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+        return DecisionTreeClassifier(maxDepth=params["max_depth"], seed=seed, **kw)
     if name == "rf":
         return RandomForestClassifier(numTrees=params.get("n_estimators", 100),
-                                      maxDepth=params.get("max_depth", 30), seed=seed, **kw)
+                                      maxDepth=params["max_depth"], seed=seed, **kw)
     if name == "adaboost":
         return AdaBoostSAMME(params.get("n_estimators", 50), params.get("learning_rate", 1.0), seed=seed, **kw)
+    if name == "knn":
+        return KNN(k=params.pop("k", 5), classification=True, **params, **kw)
+    if name == "svc":
+        return KernelSVM(classification=True, **params, **kw)
     if name == "gbm":
         return GBTClassifier(seed=seed, **(GBM | _gbt_params(params)), **kw)
     if name in BOOSTERS:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.learn.models import assemble
+from tabulon.learn.ward import MOST, WardTree
 
 
 def _renumber_by_size(pred: DataFrame, raw: str, name: str) -> DataFrame:
@@ -73,11 +74,15 @@ def segment_profile(df: DataFrame, segment: str, cols: Sequence[str]) -> DataFra
     return df.groupBy(segment).agg(*aggs)
 
 
+def ward_segments(df: DataFrame, features: Sequence[str], k: int = 5, name: str = "hsegment", most: int = MOST) -> tuple[DataFrame, WardTree]:
+    """Ward's tree over at most ``most`` summaries of the rows, cut at ``k`` clusters, numbered by falling size."""
+    tree = WardTree(df, features, most)
+    return _renumber_by_size(tree.labels(df, k, "__raw"), "__raw", name), tree
+
+
 def hierarchical_segments(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42,
                           name: str = "hsegment") -> tuple[DataFrame, object]:
-    """Re-aimed agglomerative clustering as top-down bisecting k-means (each split a
-    distributed 2-means).  Results differ from Ward linkage by design: the exact
-    bottom-up merge tree needs all pairwise distances."""
+    """Top-down alternative to ``ward_segments``: bisecting k-means, each split a distributed 2-means."""
     data = assemble(features, "__features").transform(df)
     model = BisectingKMeans(k=k, seed=seed, featuresCol="__features", predictionCol="__raw").fit(data)
     out = model.transform(data).drop("__features")

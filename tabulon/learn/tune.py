@@ -32,6 +32,7 @@ from tabulon.learn.models import ElasticNet, Lasso, LogisticC, Ridge, assemble
 from tabulon.learn.paths import (elastic_net_grid_search, least_squares_folds, linear_by_fold, logistic_fits, logistic_grid_search,
                                  out_of_fold_probabilities)
 from tabulon.learn.staged import staged_metrics, staged_scores
+from tabulon.operators._mlbase import WithParts
 from tabulon.session import scratch_path
 
 
@@ -340,11 +341,20 @@ def validation_curve(estimator, param: str, values: Sequence, df: DataFrame, fea
 
 
 # ----------------------------------------------------------------- N03
-class StackingModel(Model):
+class StackingModel(WithParts, Model):
+    """Saved with its base models and the meta model."""
+
     def __init__(self, bases, meta, features):
         super().__init__()
         self.bases, self.meta, self.features = bases, meta, list(features)
 
+    def _parts(self):
+        return {"features": self.features}, {}, {"meta": self.meta} | {f"base-{i}": b for i, b in enumerate(self.bases)}
+
+    @classmethod
+    def _from_parts(cls, values, tables, children):
+        return cls([children[f"base-{i}"] for i in range(len(children) - 1)], children["meta"], values["features"])
+
     def _transform(self, dataset):
         out = assemble(self.features).transform(dataset)
         for i, b in enumerate(self.bases):
@@ -372,14 +382,17 @@ class StackingRegressor(Estimator):
         with _persisted(data) as held:
             folds = _folds(held, self.fold)
 
+            every = [*folds, None]
+            jobs = [(i, f) for i, est in enumerate(self.bases) for f in ([None] if isinstance(est, _Booster) else every)]
+
             def one(job):
-                est, f = job
-                return est.copy().setFeaturesCol("features").setLabelCol("label").fit(
-                    held if f is None else held.where(F.col(self.fold) != f))
+                est = self.bases[job[0]].copy().setFeaturesCol("features").setLabelCol("label")
+                if isinstance(est, _Booster):  # all folds and the whole in common passes
+                    return fit_folds([est], held, folds, self.fold, full=True)[0]
+                return est.fit(held if job[1] is None else held.where(F.col(self.fold) != job[1]))
 
-            jobs = [(est, f) for f in [*folds, None] for est in self.bases]
-            fitted = iter(_parallel(one, jobs, 4))
-            by_fold = {f: [next(fitted) for _ in self.bases] for f in [*folds, None]}
+            fitted = dict(zip(jobs, _parallel(one, jobs, 4)))
+            by_fold = {f: [fitted[i, None][f] if isinstance(est, _Booster) else fitted[i, f] for i, est in enumerate(self.bases)] for f in every}
         # every base model of a fold scores that fold's rows in one pass: no row id, no join
         oof = None
         for f in folds:

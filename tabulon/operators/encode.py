@@ -13,11 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.ranking import row_index
-from tabulon.operators._mlbase import ColumnsEstimator, ColumnsModel
+from tabulon.operators._mlbase import ColumnsEstimator, ColumnsModel, WithParts
 from tabulon.session import scratch_path
 
 
@@ -28,8 +28,19 @@ def _levels(df: DataFrame, col: str) -> list[str]:
 
 
 # ----------------------------------------------------------------- G01
-class LabelEncoderModel(ColumnsModel):
-    """The codes of a column are a written table (level, code); transforming joins it."""
+class LabelEncoderModel(WithParts, ColumnsModel):
+    """The codes of a column are a written table (level, code); transforming joins it.  A saved model holds the tables."""
+
+    def _parts(self):
+        columns = list(self._state())
+        spark = SparkSession.getActiveSession()
+        return {"columns": columns}, {f"codes-{i}": spark.read.parquet(self._state()[c]) for i, c in enumerate(columns)}, {}
+
+    @classmethod
+    def _from_parts(cls, values, tables, children):
+        model = cls()
+        model._set_state({c: tables[f"codes-{i}"] for i, c in enumerate(values["columns"])})
+        return model
 
     def _transform(self, dataset):
         out, tables = dataset, self._state()

@@ -57,7 +57,8 @@ MIN_BYTES = 200
 GRAM = 64
 CHUNK = 1 << 16         # windows hashed at once: arrays that stay in a core's cache
 RUN_SUFFIXES = 50_000   # suffixes of a sorted run
-RANGES = 8             # ranges of fingerprints a partition
+RANGES = 8             # ranges of fingerprints a partition, at least
+RANGE_SUFFIXES = 50_000  # suffixes of a range on average, at most
 PART_BYTES = 1 << 20   # segments whose windows are compared at once, or one anchor's
 
 # Odd multipliers of the rolling hashes and of the last mixing.
@@ -519,12 +520,17 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
     rows = docs.count()
     groups = src.groupBy("whole").agg(F.count(F.lit(1)).alias("copies"), F.min("k1").alias("stays"))
     groups = written(groups.where((F.col("copies") > 1) & (F.col("copies") >= rows / 1000.0)), "copies")
-    src = src.join(F.broadcast(groups), "whole", "left").drop("whole")
+    src = src.join(F.broadcast(groups), "whole", "left")
     copied = (F.col("copies") > 1) & (F.octet_length("text") >= min_bytes)
     copies = src.where(copied)
-    # one copy goes on as a partner of others
-    others = src.where(~F.coalesce(copied, F.lit(False)) | (F.col("k1") == F.col("stays"))).select(
-        "k1", "k2", "row", "text", F.coalesce(copied, F.lit(False)).alias("partner"))
+    # one copy of each goes on as a partner of others, also where many rows have its id
+    kind = src.schema["row"].dataType.simpleString()
+    partners = written(copies.where(F.col("k1") == F.col("stays")).groupBy("whole").agg(
+        F.min("k1").alias("k1"), F.first("k2").alias("k2"), F.first("text").alias("text")).select("k1", "k2", "text"), "partners")
+    # keys that cannot be null: a filter for nulls before one of its two readers would keep the exchange below from being shared
+    known = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("k1", "k2")]
+    others = src.where(~F.coalesce(copied, F.lit(False))).select("k1", "k2", "row", "text", F.lit(False).alias("partner")).unionByName(
+        partners.select(*known, F.lit(None).cast(kind).alias("row"), "text", F.lit(True).alias("partner")))
 
     # anchors that occur more than once
     plain = others.select("k1", "k2", "text")
@@ -540,13 +546,13 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
 
     # one exchange of the texts serves the sorted runs and the result
     moved = others.repartition("k1", "k2")
-    runs = moved.join(repeated, ["k1", "k2"]).mapInArrow(_run_writer(min_bytes, RANGES * partitions), "range int, run binary")
+    ranges = max(RANGES * partitions, -(-total // RANGE_SUFFIXES))
+    runs = moved.join(repeated, ["k1", "k2"]).mapInArrow(_run_writer(min_bytes, ranges), "range int, run binary")
     spans = runs.groupBy("range").applyInArrow(_range_merger(min_bytes), "k1 long, k2 long, start long, stop long")
     spans = spans.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     if len(hot):
         both = spans.unionByName(_spans_of_hot(plain, hot, min_bytes))
         spans = both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
-    kind = src.schema["row"].dataType.simpleString()
     left = moved.join(spans, ["k1", "k2"], "left").mapInArrow(
         _remover(as_text), f"row {kind}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     size = F.octet_length("text").cast("long")

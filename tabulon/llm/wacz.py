@@ -40,6 +40,7 @@ from tabulon.llm.common import hot_aware_join, read_table, shared_dir, written
 from tabulon.session import ship_package
 
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a task starts its next archive
+TASK_RANGES = 64          # ranges that one task reads, at most, on large archives
 RANGE_BYTES = 1 << 20     # compressed bytes of a range of records
 
 # Fixed values of the ZIP format: signatures and sizes of its parts.
@@ -281,8 +282,12 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of the archives named in column ``path``: directory, index, then range reads dealt out evenly."""
     ship_package(archives.sparkSession)
-    ranges = archives.select("path").mapInArrow(_ranges, "path string, start long, lengths array<int>")
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_records, RECORD_SCHEMA)
+    ranges = written(archives.select("path").mapInArrow(_ranges, "path string, start long, lengths array<int>"), "ranges")
+    # an explicit number of tasks: the rows are tiny, the records behind them are not
+    count = ranges.count()
+    least = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = max(1, min(count, max(least, -(-count // TASK_RANGES))))
+    return ranges.repartition(tasks, F.col("path"), F.col("start")).mapInArrow(_records, RECORD_SCHEMA)
 
 
 def op5_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Sizes are summed per source, a target is derived for each source, and each
 document is emitted ``floor(rate)`` times plus one more time if a number that is
-hashed from its id falls below the rate's fraction (``rate = target / size of
+hashed from its id and text falls below the rate's fraction (``rate = target / size of
 the source``).
 
 Targets: the sources share ``total`` times all sizes by weight; no target
@@ -13,7 +13,9 @@ sources by weight until none is above.  That is the level ``L`` with
 
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; a source of size 0 has target 0 and its documents are emitted
-0 times; rows that repeat with one ``doc_id`` get the same number of copies; an
+0 times; rows that repeat with one ``doc_id`` and text get the same number of copies
+(so a source made of few different rows can miss its target by as much as one of
+them weighs), rows without an id are told apart by their texts; an
 empty table gives an empty result.  Other columns are kept; an input column ``mix`` is replaced.
 """
 
@@ -34,9 +36,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from a key: the first 52 bits of an MD5, which other engines repeat."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def uniform(key: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from a key and a text: the first 52 bits of an MD5, which other engines repeat."""
+    of_text = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), of_text, F.lit(f":{seed}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -76,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total: floa
         hot = targets.where(F.col("n_rows") >= rows / 1000.0)  # at most 1,000 sources
         joined = hot_aware_join(row, targets, on, hot, [f"row.{id_col}"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (uniform(F.col(f"row.{id_col}"), seed) < rate - F.floor(rate)).cast("long")
+    copies = F.floor(rate) + (uniform(F.col(f"row.{id_col}"), F.col(f"row.{text_col}"), seed) < rate - F.floor(rate)).cast("long")
     return joined.select("row.*", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))
 
 
@@ -95,7 +98,7 @@ def op8_mix_sources(spark, sf_dir):
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS of_text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -118,7 +121,7 @@ WITH d AS (
 ), m AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':42'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || of_text || ':42'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -44,6 +44,7 @@ CLASS_DISTANCE, CLASS_WORDS = 0.29, 50
 WORD_DISTANCE, WORD_WORDS = 0.44, 50
 POOLED = "\x00all"  # the reference of all words; not the name of a language
 REFERENCE_WORDS = 5_000  # 10 of a common word
+CANDIDATE_BYTES = 4 << 20  # candidate words of all languages that are collected; further languages are counted in tables
 
 # Classes of bytes (every code point counts once, by its first byte).
 LOWER, UPPER, DIGIT, SENTENCE, SYMBOL, LETTER, WHITE, CONTROL, NONE = range(9)
@@ -246,11 +247,21 @@ def _named(src: DataFrame) -> DataFrame:
         F.sum("words").alias("words")), "words")
 
 
-def _references(src: DataFrame, named: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
+def _references(src: DataFrame, named: DataFrame, own: bool = False) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """With ``own`` without the reference of all words, and of languages only as many as have CANDIDATE_BYTES of candidates."""
     totals = {r["lang"]: r["words"] for r in named.where("word is null").join(
         F.broadcast(named.where(f"word is null and lang = '{POOLED}'").select(F.col("words").alias("whole"))),
         F.col("words") >= LANGUAGE_SHARE * F.col("whole")).collect()}
     names = sorted(totals)
+    if own and names:
+        size = named.where(F.col("word").isNotNull() & F.col("lang").isin(names) & (F.col("lang") != POOLED)).groupBy("lang").agg(
+            F.sum(F.length("word") + 64).alias("bytes"))  # a row a name
+        held, out = 0, {POOLED}
+        for r in sorted(size.collect(), key=lambda r: (r["bytes"], r["lang"])):
+            held += r["bytes"]
+            if held > CANDIDATE_BYTES:
+                out.add(r["lang"])
+        names = [n for n in names if n not in out]
     found: dict[str, list[bytes]] = {n: [] for n in names}
     for r in named.where(F.col("word").isNotNull() & F.col("lang").isin(names)).collect() if names else []:
         found[r["lang"]].append(bytes(r["word"]))
@@ -319,7 +330,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """``docs`` (or its columns ``keep``) with ``rules``: the counts, the two distances, ``base_failed`` and ``kept``."""
     plain = _source(docs, text_col, lang_col)
     named = _named(plain)
-    refs = _references(plain, named)
+    refs = _references(plain, named, own)
     cols = [docs[c] for c in (docs.columns if keep is None else keep) if c != "rules"]
     src = docs.select(F.struct(*cols).alias("__row"), docs[text_col].alias("__text"), docs[lang_col].cast("string").alias("__lang"))
     kind = src.schema["__row"].dataType.simpleString()

@@ -142,14 +142,15 @@ def test_small_languages_are_judged_within_themselves(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(module, "REFERENCE_WORDS", 1000)
     want = {*range(30), 80, 81, *range(100, 130), *range(300, 320)}
-    for share in (0.001, 0.5):  # the result does not depend on the way
+    for share, held in ((0.001, 4 << 20), (0.5, 4 << 20), (0.001, 0), (0.001, 20_000)):  # the result does not depend on the way
         monkeypatch.setattr(module, "LANGUAGE_SHARE", share)
+        monkeypatch.setattr(module, "CANDIDATE_BYTES", held)
         got = quality_rules(df, own=True).collect()
         assert len(got) == len(rows) and {r["doc_id"] for r in got if r["rules"]["kept"]} == want
-        if share == 0.001:
+        if share == 0.001 and held == 4 << 20:
             before = {r["doc_id"]: r["rules"] for r in got}
-    for r in got:
-        assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(r["rules"], before[r["doc_id"]]))
+        for r in got:
+            assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(r["rules"], before[r["doc_id"]]))
 
 
 def test_distance_is_zero_to_one():

@@ -57,3 +57,17 @@ def test_saved_models(spark, tmp_path):
     assert again == model.transform(df).orderBy("id").select("prediction").collect()
     with pytest.raises(ValueError):
         S.KernelSVM().fit(df.withColumnRenamed("y", "label").limit(0))
+
+
+def test_rounds_write_columns_and_not_kernel_features(spark, monkeypatch):
+    df, *_ = table(spark, n=120)
+    seen = []
+    ascend = S.dual_ascent
+
+    def watched(blocks, *rest):
+        seen.append(blocks.selectExpr("sum(n) as n", "sum(octet_length(x)) as bytes").first())
+        return ascend(blocks, *rest)
+
+    monkeypatch.setattr(S, "dual_ascent", watched)
+    S.KernelSVM(classification=True, labelCol="c", landmarks=50, maxIter=2).fit(df)
+    assert seen[0]["n"] == 120 and seen[0]["bytes"] == 120 * 2 * 8  # two columns, whatever the landmarks

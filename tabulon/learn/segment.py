@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.learn.models import assemble
+from tabulon.learn.tune import fold_table
 from tabulon.learn.ward import MOST, WardTree
 
 
@@ -31,14 +32,17 @@ def kmeans_segments(df: DataFrame, features: Sequence[str], k: int, seed: int =
 
 def elbow(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 20, seed: int = 42) -> DataFrame:
     """Training cost for each k in [k_min, k_max) and the knee (Kneedle on the
-    normalised, decreasing convex curve: largest gap to the chord)."""
+    normalised, decreasing convex curve: largest gap to the chord).
+
+    The fits are about a thousand short jobs, so the features are written once and
+    read in partitions that follow their bytes, not the plan that made them."""
     from concurrent.futures import ThreadPoolExecutor
-    data = assemble(features, "__features").transform(df).select("__features").persist()
+    data = assemble(features, "__features").transform(fold_table(df, features)).select("__features").persist()
 
     def cost(k: int) -> tuple[int, float]:
         return k, float(KMeans(k=k, seed=seed, featuresCol="__features").fit(data).summary.trainingCost)
 
-    with ThreadPoolExecutor(max_workers=4) as pool:  # independent fits; the scheduler interleaves their tasks
+    with ThreadPoolExecutor(max_workers=8) as pool:  # independent fits; the scheduler interleaves their tasks
         costs = list(pool.map(cost, range(k_min, k_max)))
     data.unpersist()
     knee = knee_point(costs)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.learn.segment import kmeans_segments, segment_profile
+from tabulon.learn.tune import fold_table
 from tabulon.operators.clean import OutlierCapper
 from tabulon.operators.encode import MinMaxScaler
 from tabulon.operators.features import log1p_cols, rfm
@@ -20,11 +21,15 @@ RFM_COLS = ["recency", "tenure", "frequency", "monetary"]
 
 
 def rfm_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-customer RFM table, capped at the .05/.95 limits, log1p'd and scaled to [0, 1]."""
+    """Per-customer RFM table, capped at the .05/.95 limits, log1p'd and scaled to [0, 1].
+
+    The customers' histories are written once: limits, scales and every pass of a
+    fit read that table, and the orders are grouped a single time.
+    """
     h = customer_history(spark, sf)
     r = rfm(h, "first_order_date", "last_order_date", ["order_num_online", "order_num_offline"],
             ["value_online", "value_offline"]).select("customer_id", *RFM_COLS)
-    r = r.select("customer_id", *[r[c].cast("double").alias(c) for c in RFM_COLS])
+    r = fold_table(r, ["customer_id", *[r[c].cast("double").alias(c) for c in RFM_COLS]])
     capped = OutlierCapper(inputCols=RFM_COLS, q1=0.05, q3=0.95, k=1.5, mode="both").fit(r).transform(r)
     logged = log1p_cols(capped, RFM_COLS)
     return MinMaxScaler(inputCols=RFM_COLS).fit(logged).transform(logged)

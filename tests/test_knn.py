@@ -67,3 +67,18 @@ def test_estimator(spark, mode, tmp_path):
     scores = {r["model"]: r["accuracy"] for r in got.collect()}
     assert scores["knn"] > 0.9 and set(scores) == {"knn", "logreg"}
     assert M.regressor("knn", mode=mode, k=1).fit(rows).transform(rows).where("abs(prediction - label) > 1e-9 and id >= 60").count() == 0
+
+
+def test_exact_neighbours_meet_in_bins(spark):
+    """Many bins, cells larger than a bin, equal rows: as brute force; a query is sent once a bin at most."""
+    df, x, _ = table(spark, n=600, d=9)
+    got = N.knn_neighbours(df, df, "id", "v", "label", k=4, exclude_self=True, part_rows=50, n_pivots=16).collect()
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    assert len(got) == 600 * 4
+    for r in got:
+        assert r["dist"] == pytest.approx(np.sort(far[r["qid"]])[r["rank"] - 1], abs=1e-9)
+    assert [r["tid"] for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == 7] == [0, 1, 2, 3]  # equal rows by their id
+    first, many = N._binned(np.arange(8.0).reshape(4, 2), [5_000, 100_000, 10, 20], 50_000)
+    assert many[1] > 1 and many[0] == many[2] == many[3] == 1 and first[2] == first[3]
+    assert max(f + m for f, m in zip(first, many)) <= 2 * N.LEAST_BINS + 4

@@ -211,3 +211,29 @@ def test_no_label_and_no_rows(spark):
     assert np.allclose(predictions(est.fit(part), df), predictions(est.fit(df.where("id < 20")), df))
     with pytest.raises(ValueError):
         est.fit(df.limit(0))
+
+
+def test_walk_ends_in_the_leaf_of_each_row():
+    rng = np.random.default_rng(4)
+    n, d = 700, 5
+    x = rng.integers(0, 256, (n, d)).astype(np.uint8)
+    x[rng.random((n, d)) < 0.2] = B.MISSING
+    for depth in (0, 1, 3, 4, 9):
+        tree, todo = B._Tree(), [(0, 0)]
+        while todo:
+            node, level = todo.pop()
+            if level < depth and (level < 2 or rng.random() < 0.7):
+                todo += [(child, level + 1) for child in tree.split(node, rng.integers(d), rng.integers(0, 255), rng.random() < 0.5, 1.0)]
+        feature, last, missing_left, left, right, _ = arrays = tree.arrays()
+        want = []
+        for row in x:
+            node = 0
+            while feature[node] >= 0:
+                value = row[feature[node]]
+                low = missing_left[node] if value == B.MISSING else value <= last[node]
+                node = left[node] if low else right[node]
+            want.append(node)
+        walk, begins = B._Walk(arrays), np.arange(n) * d
+        some = np.flatnonzero(rng.random(n) < 0.3)
+        assert walk(x.ravel(), begins).tolist() == want and walk(x.ravel(), begins[some]).tolist() == np.array(want)[some].tolist()
+        assert len(walk(x.ravel(), begins[:0])) == 0

@@ -208,3 +208,17 @@ def test_group_means_without_the_own_fold(spark):
             for i, keys in enumerate(sets):
                 assert r[f"m{i}"] == pytest.approx(want(r, keys)) if want(r, keys) is not None else r[f"m{i}"] is None
     assert cross_group_means(df, "y", ["g"], ["h", "fold"], out_of_fold=True).count() == 120
+
+
+def test_models_of_a_query_share_one_stand_in(spark, tmp_path, monkeypatch):
+    """The tables are joined and added up once for all models of a query, and folds are numbered from the written result."""
+    from tabulon.catalog import q_learn as Q
+    spark.range(40).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size", "cast(900 + id * 3 % 50 as double) as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(200).selectExpr("id % 40 as l_partkey", "cast(id % 9 as double) as l_quantity", "cast(id as double) as l_extendedprice",
+                                "date_add(date'1996-01-01', cast(id * 5 as int)) as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made, plans, salary, kfold = [], [], Q.salary, Q.kfold
+    monkeypatch.setattr(Q, "salary", lambda *a: made.append(a) or salary(*a))
+    monkeypatch.setattr(Q, "kfold", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kfold(df, *a))
+    rows = Q.m09_mean_invariants(spark, str(tmp_path)).collect()
+    assert {r["model"] for r in rows} == {"gbm", "xgb", "lgbm", "catboost"} and {r["n"] for r in rows} == {40}
+    assert len(made) == 1 and not any("Join" in p or "Aggregate" in p for p in plans)

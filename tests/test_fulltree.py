@@ -46,6 +46,61 @@ def test_the_first_split_is_the_best_one():
     assert spread(left) + spread(~left) == pytest.approx(best[0])
 
 
+def _by_node(x, y, w, rows, min_leaf):
+    """Leaf value of each row of a tree that is grown node by node."""
+    out = np.full(len(rows), (w[rows] * y[rows]).sum() / w[rows].sum())
+    best = (-np.inf,)
+    for f in range(x.shape[1]):
+        for t in np.unique(x[rows, f])[:-1]:
+            left = x[rows, f] <= t
+            if min(left.sum(), (~left).sum()) >= min_leaf:
+                a, b = rows[left], rows[~left]
+                gain = (w[a] * y[a]).sum() ** 2 / w[a].sum() + (w[b] * y[b]).sum() ** 2 / w[b].sum()
+                best = max(best, (gain, f, t))
+    if len(rows) >= 2 and y[rows].min() < y[rows].max() and best[0] > -np.inf:
+        left = x[rows, best[1]] <= best[2]
+        out[left], out[~left] = _by_node(x, y, w, rows[left], min_leaf), _by_node(x, y, w, rows[~left], min_leaf)
+    return out
+
+
+def test_nodes_of_one_size_are_divided_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n, min_leaf in ((1, 1), (150, 1), (150, 3)):
+        x, y, w = np.round(rng.normal(size=(n, 3)), 2), rng.normal(size=n), rng.integers(1, 4, n).astype(float)
+        for most in (1 << 16, 1):
+            monkeypatch.setattr(T, "BATCH_NUMBERS", most)
+            feature, threshold, left, right, value, gains = T.grow_exact(x, y, w, 3, (0,), 2, min_leaf)
+            at = np.zeros(n, int)
+            for _ in range(n):
+                go = x[np.arange(n), np.array(feature)[at]] <= np.array(threshold)[at]
+                at = np.where(np.array(feature)[at] < 0, at, np.where(go, np.array(left)[at], np.array(right)[at]))
+            got, want = np.array(value)[at], _by_node(x, y, w, np.arange(n), min_leaf)
+            # a pair of rows that several columns part has one tree of several
+            assert np.allclose(got, want) and np.isclose(gains.sum(), (w * want ** 2).sum() - (w * y).sum() ** 2 / w.sum())
+    monkeypatch.setattr(T, "BATCH_NUMBERS", 1 << 16)
+    x, y = rng.normal(size=(4000, 2)), rng.normal(size=4000)
+    steps = []
+
+    class Counted:
+        def __getattr__(self, name):
+            steps.append(name)
+            return getattr(np, name)
+
+    monkeypatch.setattr(T, "np", Counted())
+    inner = sum(f >= 0 for f in T.grow_exact(x, y, np.ones(4000), 2, (0,))[0])
+    assert inner == 3999 and steps.count("cumsum") < inner / 5  # was two for each node
+
+
+def test_splits_found_in_tasks_are_those_of_the_driver(spark, monkeypatch):
+    df, x, y = table(spark, seed=6)
+    found = []
+    for most in (10 ** 6, 0):
+        monkeypatch.setattr(T, "DRIVER_SUMS", most)
+        model = T.FullForest(n_estimators=3, bootstrap=True, max_features=2, seed=2, finish_rows=40).fit(df)
+        found.append((model.tops, predictions(model, df).tolist()))
+    assert found[0] == found[1] and len(found[0][0][0]["feature"]) > 5
+
+
 def test_equal_rows_and_fine_values(spark):
     # values that common bins cannot tell apart, equal rows of different labels, and one hot value
     rows = [(k, 1.0 + k * 1e-9 if k < 400 else 5.0, float(k % 2)) for k in range(900)] + [(900 + k, 1000.0 * k, 3.0) for k in range(300)]

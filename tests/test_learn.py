@@ -1,5 +1,6 @@
 """Estimators as Params, booster defaults, stacking and comparisons."""
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -222,3 +223,23 @@ def test_models_of_a_query_share_one_stand_in(spark, tmp_path, monkeypatch):
     rows = Q.m09_mean_invariants(spark, str(tmp_path)).collect()
     assert {r["model"] for r in rows} == {"gbm", "xgb", "lgbm", "catboost"} and {r["n"] for r in rows} == {40}
     assert len(made) == 1 and not any("Join" in p or "Aggregate" in p for p in plans)
+
+
+def test_grid_of_trees_keeps_no_copy_of_a_fold(data, monkeypatch):
+    """Scores are those of a fit a point and fold; nothing but the table of all folds is held."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rows = M.assemble(["a", "b"]).transform(data).withColumn("label", F.col("y").cast("double"))
+    folds, want = sorted(r[0] for r in data.select("fold").distinct().collect()), []
+    for depth in (1, 3):
+        fits = {f: DecisionTreeRegressor(seed=3, maxDepth=depth).fit(rows.where(F.col("fold") != f)) for f in folds}
+        want.append(np.mean([RegressionEvaluator(metricName="r2").evaluate(fits[f].transform(rows.where(F.col("fold") == f))) for f in folds]))
+
+    def cache(df):
+        raise AssertionError("a fold is copied")
+
+    monkeypatch.setattr(type(data), "cache", cache)
+    model, table = TU.grid_search(DecisionTreeRegressor(seed=3), {"maxDepth": [1, 3]}, data, ["a", "b"], "y")
+    found = {r["params"]: (r["score"], r["is_best"]) for r in table.collect()}
+    assert np.allclose([found['{"maxDepth": %d}' % k][0] for k in (1, 3)], want)
+    assert found['{"maxDepth": %d}' % (1, 3)[int(np.argmax(want))]][1] == 1 and model.bestModel.depth in (1, 2, 3)

@@ -82,3 +82,25 @@ def test_exact_neighbours_meet_in_bins(spark):
     first, many = N._binned(np.arange(8.0).reshape(4, 2), [5_000, 100_000, 10, 20], 50_000)
     assert many[1] > 1 and many[0] == many[2] == many[3] == 1 and first[2] == first[3]
     assert max(f + m for f, m in zip(first, many)) <= 2 * N.LEAST_BINS + 4
+
+
+def test_leaves_stay_small_where_few_columns_have_all_the_distance(spark):
+    """One column of large scale, many equal rows: leaves of about equal size, the nearest rows are found, folds do not meet."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.exponential(1e6, 4000), rng.normal(size=(4000, 5))])
+    sizes = np.bincount(N._Leaves(x, 6, 1, 5, 1).probe(x, 0, 1)[1], minlength=32)
+    assert sizes.max() <= 2 * 4000 / 32 and sizes.min() > 0
+    x[1000:2000] = x[0]
+    fold = np.arange(4000) % 4
+    rows = spark.createDataFrame([(i, [float(a) for a in v], float(i), int(f)) for i, (v, f) in enumerate(zip(x, fold))], "id long, v array<double>, label double, fold int").repartition(5)
+    got = N.approximate_neighbours(rows, rows, "id", "v", "label", k=3, bucket_rows=100, part_rows=100, fold="fold").collect()
+    assert len(got) == 12_000 and all(r["qid"] % 4 != r["tid"] % 4 for r in got)
+    far = np.abs(x[:, None, 0] - x[None, :, 0])
+    far[fold[:, None] == fold[None]] = np.inf
+    kth = np.sort(far, axis=1)[:, 2]
+    assert np.mean([r["dist"] <= kth[r["qid"]] + 20 for r in got]) >= 0.95  # by the column that has the distance
+    # of equal rows those of the smallest ids
+    assert sorted(r["tid"] for r in got if r["qid"] == 1500) == [1001, 1002, 1003]
+    model = N.KNN(k=3, mode="approximate", bucket_rows=100)
+    each = {r["id"]: r["prediction"] for r in model.out_of_fold(rows.withColumn("features", array_to_vector("v")), "fold").collect()}
+    assert len(each) == 4000 and all(v is not None for v in each.values())

@@ -164,6 +164,25 @@ def test_staged_scores_equal_separate_fits(data, task):
         assert got[str(n), "validation"] == pytest.approx(want, rel=1e-6) and got[str(n), "train"] == pytest.approx(seen, rel=1e-6)
 
 
+@pytest.mark.parametrize("metric", ["mae", "rmse", "r2"])
+def test_staged_sums_of_regression_write_no_row_for_each_model(data, metric):
+    """The metric of every (fold, rounds, split) follows from sums of the tasks; rows without a fold take no part."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from tabulon.learn.evaluate import regression_metrics
+    from tabulon.learn.staged import staged_metrics
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data).withColumn("label", F.col("y"))
+    models = {f: GBTRegressor(seed=3, maxDepth=2, maxIter=2).fit(rows.where(F.col("fold") != f)) for f in range(3)}
+    some = rows.withColumn("fold", F.when(F.col("id") % 10 != 4, F.col("fold")))
+    table = staged_metrics(some, models, [1, 2], metric)
+    assert "Generate" not in table._jdf.queryExecution().toString()
+    got = {(r["fold"], r["rounds"], r["split"]): r["score"] for r in table.collect()}
+    assert len(got) == 12
+    for f, m in models.items():
+        for split, part in (("validation", some.where(F.col("fold") == f)), ("train", some.where(F.col("fold") != f))):
+            assert got[f, 2, split] == pytest.approx(regression_metrics(m.transform(part), "label", "prediction").first()[metric], rel=1e-9)
+
+
 def test_grid_over_rounds_fits_each_combination_once(data):
     for est, grid in ((M.regressor("xgb"), {"max_depth": [1, 2], "n_estimators": [1, 3]}), (M.regressor("gbm"), {"maxDepth": [1, 2], "maxIter": [1, 3]})):
         model, table = TU.grid_search(est, grid, data, ["a", "b"], "y")

@@ -57,6 +57,44 @@ def test_stacking_over_the_ridge_family(spark, data):
     assert one == pytest.approx(two) and all(abs(p - r["y"]) < 3 for p, r in zip(one, data.orderBy("id").collect()))
 
 
+def test_stacking_scores_each_row_once(spark, data):
+    """The penalty and the meta model read predictions held; rows that have the base models' take the same prediction."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def first(v):
+        seen.add(1)
+        return float(v[0])
+
+    class Counted:
+        def copy(self):
+            return Counted()
+
+        def setFeaturesCol(self, _):
+            return self
+
+        setLabelCol = setFeaturesCol
+
+        def setPredictionCol(self, name):
+            self.name = name
+            return self
+
+        def fit(self, _):
+            return self
+
+        def transform(self, df):
+            return df.withColumn(self.name, first("features"))
+
+    TU.StackingRegressor([Counted()], ["a", "b"], "y").fit(data)
+    assert seen.value == 300
+    model = TU.StackingRegressor([M.Ridge(), M.Ridge(alpha=50.0)], ["a", "b"], "y").fit(data)
+    rows = model.transform(data)
+    for i, base in enumerate(model.bases):
+        rows = base.copy().setPredictionCol(f"p{i}").transform(M.assemble(["a", "b"]).transform(rows.drop("features")))
+    again = model.stacked(rows.withColumnRenamed("prediction", "whole"), ["p0", "p1"])
+    assert again.where("prediction <> whole").count() == 0 and again.count() == 300
+
+
 def test_comparison_has_five_scores(data):
     out = TU.compare_models({"logreg": M.classifier("logreg"), "ada": M.classifier("adaboost", n_estimators=3)}, data, ["a", "b"], "c", task="classification")
     assert out.columns == ["model", "accuracy", "precision", "recall", "f1", "auc"]

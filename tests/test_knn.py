@@ -101,6 +101,8 @@ def test_leaves_stay_small_where_few_columns_have_all_the_distance(spark):
     assert np.mean([r["dist"] <= kth[r["qid"]] + 20 for r in got]) >= 0.95  # by the column that has the distance
     # of equal rows those of the smallest ids
     assert sorted(r["tid"] for r in got if r["qid"] == 1500) == [1001, 1002, 1003]
+    # a row that is there twice counts once
+    assert [r["tid"] for r in N.approximate_neighbours(rows.union(rows), rows.where("id = 1500"), "id", "v", "label", k=3, fold="fold").orderBy("rank").collect()] == [1001, 1002, 1003]
     model = N.KNN(k=3, mode="approximate", bucket_rows=100)
     each = {r["id"]: r["prediction"] for r in model.out_of_fold(rows.withColumn("features", array_to_vector("v")), "fold").collect()}
     assert len(each) == 4000 and all(v is not None for v in each.values())

@@ -160,6 +160,26 @@ def test_folds_in_common_passes_equal_single_fits(spark, monkeypatch, kind):
         assert np.allclose(predictions(found[f], df), predictions(est.model(alone), df))
 
 
+@pytest.mark.parametrize("kind", [B.SecondOrderBooster, B.LeafWiseBooster, B.ObliviousBooster])
+@pytest.mark.parametrize("classification", [False, True])
+def test_a_model_grown_in_one_task_is_that_of_passes(spark, monkeypatch, kind, classification):
+    """The same trees from one task that holds all blocks, without a pass, and from passes of a few models at a time."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    df, *_ = table(spark, seed=9, parts=1)
+    est = kind(n_estimators=11, max_depth=3, num_leaves=6, subsample=0.8, colsample_bytree=0.7, min_child_samples=2, labelCol="c" if classification else "y",
+               classification=classification)
+    passes, run = [], B._run
+    monkeypatch.setattr(B, "_run", lambda *a: passes.append(a[4]) or run(*a))
+    whole = B.fit_folds([est], df, [0, 1, 2], "fold", full=True)[0]
+    assert not passes
+    monkeypatch.setattr(B, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(B, "MODELS", 3)
+    by_passes = B.fit_folds([est], df, [0, 1, 2], "fold", full=True)[0]
+    assert set(passes) == {1, 3} and list(whole) == list(by_passes) == [0, 1, 2, None]
+    for f in whole:
+        assert whole[f]._state() == by_passes[f]._state() and len(whole[f]._state()["trees"]) == 11
+
+
 def test_a_saved_model_is_whole_and_staged(spark, tmp_path):
     df, x, y, _ = table(spark, seed=6)
     est = B.LeafWiseBooster(n_estimators=6, num_leaves=5, labelCol="y")

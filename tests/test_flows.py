@@ -19,7 +19,7 @@ def assert_whole(models, task):
         assert g["adaboost"]("n_estimators") == 50
 
 
-@pytest.mark.parametrize("query, task, number", [("t09_compare_models", "regression", 12)])
+@pytest.mark.parametrize("query, task, number", [("t09_compare_models", "regression", 12), ("t09_compare_classifiers", "classification", 10)])
 def test_comparisons_fit_whole_models(spark, monkeypatch, query, task, number):
     seen = []
     monkeypatch.setattr(Q, "_salary_folds", lambda *a: None)

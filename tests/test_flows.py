@@ -4,6 +4,7 @@ import pytest
 
 from tabulon.catalog import q_learn as Q
 from tabulon.learn import tune as TU
+from tabulon.plans import flows
 
 
 def assert_whole(models, task):
@@ -28,3 +29,9 @@ def test_comparisons_fit_whole_models(spark, monkeypatch, query, task, number):
     getattr(Q, query)(None, "")
     assert len(seen[0]) == number
     assert_whole(seen[0], task)
+
+
+def test_flows_compare_whole_models(spark):
+    models = flows._classifiers(42)
+    assert len(models) == 10 and flows.FOLDS == 10
+    assert_whole(models, "classification")

@@ -35,3 +35,21 @@ def test_flows_compare_whole_models(spark):
     models = flows._classifiers(42)
     assert len(models) == 10 and flows.FOLDS == 10
     assert_whole(models, "classification")
+
+
+def test_the_price_flow_fits_whole_boosters(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id div 4 as l_orderkey", "id % 37 as l_partkey", "id % 11 as l_suppkey", "cast(id % 4 as int) as l_linenumber",
+                                "cast(id % 50 as double) as l_quantity", "cast(1000 + 30 * (id % 50) + id % 7 as double) as l_extendedprice",
+                                "id % 11 / 100 as l_discount", "id % 9 / 100 as l_tax", "substr('ANR', cast(id % 3 as int) + 1, 1) as l_returnflag",
+                                "substr('FO', cast(id % 2 as int) + 1, 1) as l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    class Seen(Exception):
+        pass
+
+    def stack(bases, *a):
+        raise Seen({type(b).__name__: (b.getOrDefault("n_estimators"), b.getOrDefault("max_bin")) for b in bases})
+
+    monkeypatch.setattr(TU, "StackingRegressor", stack)
+    with pytest.raises(Seen) as seen:
+        flows.house_price_flow(spark, str(tmp_path))
+    assert seen.value.args[0] == {"LeafWiseBooster": (100, 255), "ObliviousBooster": (1000, 255), "SecondOrderBooster": (100, 255)}
